@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from lakeloom.operators.changes import ChangeStream, Fields, fold, net
 from lakeloom.operators.joins import lookup_join
 from lakeloom.operators.predicates import Range
+from lakeloom.session import materialize
 from lakeloom.sources.changelog import TruncatedError
 
 
@@ -147,6 +148,7 @@ class Group(Stream):
 
 
 def _difference(node: Stream, ids: DataFrame) -> ChangeStream:
+    ids = materialize(ids, "touched")  # few as a rule: written once, then broadcast to every side if small
     now, before = node.rows("now", ids), node.rows("before", ids)
     a = now.select(F.col("id").alias("_a"), doc_of(now).alias("obj"))
     b = before.select(F.col("id").alias("_b"), doc_of(before).alias("old"))

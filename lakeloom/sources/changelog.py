@@ -35,8 +35,9 @@ def record_schema(doc: T.StructType) -> T.StructType:
 
 
 class Changelog:
-    def __init__(self, spark: SparkSession, path: str, doc: T.StructType):
-        self.spark, self.path, self.doc, self.files = spark, path, doc, Files(spark)
+    def __init__(self, spark: SparkSession, path: str, doc: T.StructType, append_only: bool = False):
+        """append_only: every record is a document of its own, whatever its id, so nothing needs to be folded."""
+        self.spark, self.path, self.doc, self.append_only, self.files = spark, path, doc, append_only, Files(spark)
 
     # versions
 
@@ -75,12 +76,18 @@ class Changelog:
     def snapshot(self, version: int | None = None) -> DataFrame:
         """The documents that exist at a version."""
         version = self.version() if version is None else version
+        if self.append_only:
+            return self.records(0, version).filter("op = 'put'").select("obj.*")
         base = max((v for v in self.versions("base") if v <= version), default=0)
         if base < self.cleared_to() and self.cleared_to() > 0:
             raise TruncatedError(f"version {version} is older than what is kept")
         log = self.changes(base, version) if base < version else None
+        if log is None and not base:
+            return self.spark.createDataFrame([], self.doc)
         if not base:
-            return fold(log).select("obj.*") if log is not None else self.spark.createDataFrame([], self.doc)
+            # a version has one record for each id, so a single one is its own fold
+            single = sum(v <= version for v in self.versions()) == 1
+            return log.filter("obj is not null").select("obj.*") if single else fold(log).select("obj.*")
         kept = self.spark.read.schema(self.doc).parquet(self._at(base, "base"))
         if log is None:
             return kept
@@ -94,7 +101,8 @@ class Changelog:
     def append(self, rows: DataFrame, order: list[str] | None = None, note: dict | None = None, base: int | None = None, now_ms: int | None = None) -> int:
         """Stamp rows of (op, id, obj, old) with time and sequence, and publish them as the next version; 0 rows publish nothing but a note.
 
-        order: columns of rows that say in which order they happened. note: kept in the version's meta. base: the version the rows
+        order: columns of rows that say in which order they happened; without it the counters only tell the records of the version
+        apart, which spares the rows a sort. A version must not have two puts or deletes of one id. note: kept in the version's meta. base: the version the rows
         were made from, by default the current one.
         """
         base = self.version() if base is None else base
@@ -102,7 +110,7 @@ class Changelog:
         ms = max(int(time.time() * 1000) if now_ms is None else now_ms, before["last_ts"] + 1)
         schema = record_schema(self.doc)
         given = [c for c in schema.names if c in rows.columns and c not in ("seq", "ts")]
-        stamped = numbered(rows, order or ["id"]).withColumns({"seq": sequence_key(F.lit(ms), F.col("_n")), "ts": F.lit(ms)})
+        stamped = (numbered(rows, order) if order else rows.withColumn("_n", F.monotonically_increasing_id())).withColumns({"seq": sequence_key(F.lit(ms), F.col("_n")), "ts": F.lit(ms)})
         stamped = stamped.select(*[(F.col(c) if c in ("seq", "ts", *given) else F.lit(None)).cast(schema[c].dataType).alias(c) for c in schema.names])
         return self._publish(stamped, base, ms, note)
 
@@ -121,6 +129,11 @@ class Changelog:
             raise ConflictError(f"version {base + 1} of {self.path} was appended by another writer")
         return base + 1
 
+    def uncompacted(self) -> int:
+        """How many versions a snapshot has to fold."""
+        base = max(self.versions("base"), default=0)
+        return sum(v > base for v in self.versions())
+
     def compact(self) -> int:
         """Write the snapshot of the current version, from which later reads begin."""
         version = self.version()

@@ -12,9 +12,14 @@ from lakeloom.functions.keys import numbered, sequence_key
 from lakeloom.operators.changes import ChangeStream
 from lakeloom.operators.mutators import compile_update
 from lakeloom.operators.predicates import Range
+from lakeloom.session import materialize
 from lakeloom.sources.changelog import Changelog
 from lakeloom.sources.files import Files
 
+BAD_ID = "an id must be a non-empty string"
+#: A snapshot that has to fold more versions than this is compacted by the next write.
+COMPACT_AFTER = 32
+
 
 class Rows:
     """Reading a keyed collection; everything is a lazy DataFrame, ordered by id where an order is promised."""
@@ -75,44 +80,57 @@ class Table(Rows):
         fields = [(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in self.schema.fields]
         return df.select(*fields)
 
-    def _checked(self, ids: DataFrame, column: str = "id") -> None:
-        if not ids.filter(F.col(column).isNull() | (F.col(column) == "")).isEmpty():
-            raise ValueError("an id must be a non-empty string")
+    def _checked_id(self, column: str = "id"):
+        c = F.col(column).cast("string")
+        return F.when(c.isNull() | (c == ""), F.raise_error(F.lit(BAD_ID))).otherwise(c)
+
+    def _write(self, wanted: DataFrame, note: dict | None = None, marker: DataFrame | None = None) -> int:
+        """wanted: (id, obj), obj null for a delete, one row for each id; returns the version that holds.
 
-    def _write(self, wanted: DataFrame, order: Sequence[str] | None = None, note: dict | None = None) -> int:
-        """wanted: (id, obj), obj null for a delete, one row for each id; returns the version that holds."""
+        The snapshot is first restricted to the wanted ids by a semi join, so that a small write meets a large table as a broadcast of
+        its ids.
+        """
         base = self.changelog.version()
+        try:
+            wanted = materialize(wanted, "wanted")
+        except Exception as e:
+            if BAD_ID in str(e):
+                raise ValueError(BAD_ID) from e
+            raise
+        ids = wanted.select(F.col("id").alias("_wanted"))
         rows = self.changelog.snapshot(base)
+        rows = rows.join(ids, rows["id"] == ids["_wanted"], "left_semi")
         now = rows.select(F.col("id").alias("_id"), F.struct(*[F.col(c) for c in self.schema.names]).alias("old"))
         both = wanted.join(now, wanted["id"] == now["_id"], "left").filter(~F.col("obj").eqNullSafe(F.col("old")))
-        op = F.when(F.col("obj").isNull(), "delete").otherwise("put")
-        records = both.select(op.alias("op"), "id", "obj", "old", *[c for c in order or [] if c in wanted.columns])
-        return self.changelog.append(records, [*(order or []), "id"], note, base)
+        records = both.select(F.when(F.col("obj").isNull(), "delete").otherwise("put").alias("op"), "id", "obj", "old")
+        if marker is not None:
+            records = records.unionByName(marker, allowMissingColumns=True)
+        version = self.changelog.append(records, note=note, base=base)
+        if self.changelog.uncompacted() > COMPACT_AFTER:
+            self.changelog.compact()
+        return version
 
     def _last(self, df: DataFrame, order: Sequence[str] | None) -> DataFrame:
         docs = F.struct(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in self.schema.fields])
-        keyed = df.select(F.col("id").cast("string").alias("id"), docs.alias("obj"), F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order or [])], F.to_json(docs).alias("_text")).alias("_at"))
+        keyed = df.select(self._checked_id().alias("id"), docs.alias("obj"), F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order or [])], F.to_json(docs).alias("_text")).alias("_at"))
         return keyed.groupBy("id").agg(F.max_by("obj", "_at").alias("obj"))
 
     def put(self, df: DataFrame, order: Sequence[str] | None = None) -> int:
-        self._checked(df)
         return self._write(self._last(df, order))
 
     def delete(self, ids: DataFrame) -> int:
-        self._checked(ids)
         doc = F.lit(None).cast(self.schema)
-        return self._write(ids.select(F.col("id").cast("string").alias("id")).distinct().withColumn("obj", doc))
+        return self._write(ids.select(self._checked_id().alias("id")).distinct().withColumn("obj", doc))
 
-    def write_changes(self, changes: ChangeStream, note: dict | None = None) -> int:
+    def write_changes(self, changes: ChangeStream, note: dict | None = None, marker: DataFrame | None = None) -> int:
         """Apply changes of rows of this table; the last of each id counts."""
         last = changes.changes.groupBy("id").agg(F.max_by(F.struct("obj"), "seq").alias("_last"))
         doc = F.struct(*[F.col(f"_last.obj.{f.name}").cast(f.dataType).alias(f.name) for f in self.schema.fields])
-        return self._write(last.select("id", F.when(F.col("_last.obj").isNotNull(), doc).alias("obj")), note=note)
+        return self._write(last.select("id", F.when(F.col("_last.obj").isNotNull(), doc).alias("obj")), note, marker)
 
     def update(self, ids: DataFrame, operations: Sequence[dict], if_exists: bool = False, legacy: bool = False) -> int:
         """Change the documents with the given ids by a list of operations; what doesn't exist is made from {id}, unless if_exists."""
-        self._checked(ids)
-        wanted = ids.select(F.col("id").cast("string").alias("_want")).distinct()
+        wanted = ids.select(self._checked_id().alias("_want")).distinct()
         rows = self.rows()
         docs = wanted.join(rows, wanted["_want"] == rows["id"], "inner" if if_exists else "left")
         docs = docs.select(*[(F.col("_want") if c == "id" else F.col(c)).alias(c) for c in self.schema.names])
@@ -129,10 +147,10 @@ class Log(Rows):
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType):
         extra = [f for f in schema.fields if f.name not in ("id", "timestamp")]
         self.spark, self.schema = spark, T.StructType([T.StructField("id", T.StringType()), T.StructField("timestamp", T.LongType()), *extra])
-        self.changelog = Changelog(spark, path, self.schema)
+        self.changelog = Changelog(spark, path, self.schema, append_only=True)
 
     def rows(self) -> DataFrame:
-        return self.changelog.records().filter("op = 'put'").select("obj.*")
+        return self.changelog.snapshot()
 
     def changes(self, after: int = 0, upto: int | None = None) -> ChangeStream:
         return ChangeStream(self.changelog.changes(after, upto))

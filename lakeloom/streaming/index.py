@@ -49,10 +49,8 @@ class Index(Table):
             changes = self._union(s.changes() for s in output.streams) if before else self._rebuilt(output)
         except TruncatedError:
             changes = self._rebuilt(output)
-        self.write_changes(changes, note={"sources": frame.now})
-        if not before:
-            marker = self.spark.createDataFrame([("indexed",)], "op string").withColumn("id", F.lit(None).cast("string"))
-            self.changelog.append(marker, note={"sources": frame.now})
+        marker = None if before else self.spark.createDataFrame([("indexed",)], "op string")
+        self.write_changes(changes, {"sources": frame.now}, marker)
         return True
 
     def _union(self, streams) -> ChangeStream:
