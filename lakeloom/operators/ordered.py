@@ -64,8 +64,8 @@ class OrderedHistory:
         df = df.withColumn("_now", F.struct(value.alias("v")))
         df = df.withColumn(out, F.lag("_now").over(self._window(extra)))
         if self.hot:
-            df = self._carry(df, {"_before": F.max_by("_now", self.order)}, True, extra)
-            df = df.withColumn(out, F.coalesce(out, "_before")).drop("_before")
+            df = self._carry(df, {"_earlier": F.max_by("_now", self.order)}, True, extra)
+            df = df.withColumn(out, F.coalesce(out, "_earlier")).drop("_earlier")
         return df.drop("_now")
 
     def filled(self, df: DataFrame, columns: Sequence[str], extra: Sequence[str] = ()) -> DataFrame:
@@ -81,6 +81,6 @@ class OrderedHistory:
         """Adds as ``out`` the order column of the next row, null in the last."""
         df = df.withColumn(out, F.lead(self.order).over(self._window(extra)))
         if self.hot:
-            df = self._carry(df, {"_after": F.min(self.order)}, False, extra)
-            df = df.withColumn(out, F.coalesce(out, "_after")).drop("_after")
+            df = self._carry(df, {"_later": F.min(self.order)}, False, extra)
+            df = df.withColumn(out, F.coalesce(out, "_later")).drop("_later")
         return df
