@@ -19,6 +19,14 @@ def null_safe(pairs: Iterable[tuple[Column, Column]]) -> Column:
     return reduce(lambda a, b: a & b, (a.eqNullSafe(b) for a, b in pairs))
 
 
+def restricted(df: DataFrame, ids: DataFrame | None, column: str = "id") -> DataFrame:
+    """Rows whose id is in the first column of ids; all of them without ids."""
+    if ids is None:
+        return df
+    wanted = ids.select(F.col(ids.columns[0]).alias("_wanted"))
+    return df.join(wanted, df[column] == wanted["_wanted"], "left_semi")
+
+
 def lookup_join(left: DataFrame, right: DataFrame, key: str, into: str, right_id: str = "id") -> DataFrame:
     """Left outer N:1 join: the row of right whose id is left's key, embedded as struct ``into``; null where there's none.
 

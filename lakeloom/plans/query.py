@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeloom.operators.changes import ChangeStream, Fields, fold, net
-from lakeloom.operators.joins import lookup_join
+from lakeloom.operators.joins import lookup_join, restricted
 from lakeloom.operators.predicates import Range
 from lakeloom.session import materialize
 from lakeloom.sources.changelog import TruncatedError
@@ -63,13 +63,6 @@ class Stream:
         return Range.of(r).filter(self.rows()).agg(F.count("*").alias("n"))
 
 
-def restricted(df: DataFrame, ids: DataFrame | None, column: str = "id") -> DataFrame:
-    if ids is None:
-        return df
-    wanted = ids.select(F.col(ids.columns[0]).alias("_wanted"))
-    return df.join(wanted, df[column] == wanted["_wanted"], "left_semi")
-
-
 class Source(Stream):
     """A table, log or index, or a range of it."""
 
@@ -89,9 +82,9 @@ class Source(Stream):
         return Source(self.collection, self.frame, r)
 
     def rows(self, when: str = "now", ids: DataFrame | None = None) -> DataFrame:
-        df = self.frame.rows(self.collection, when)
-        df = self.range.apply(df) if self.range.limit is not None or self.range.offset else self.range.filter(df)
-        return restricted(df, ids)
+        if self.range.limit is not None or self.range.offset:
+            return restricted(self.range.apply(self.frame.rows(self.collection, when)), ids)
+        return self.range.filter(self.frame.rows(self.collection, when, ids))
 
     def changes(self) -> ChangeStream:
         return ChangeStream(self.range.filter(net(self.frame.changes(self.collection))))
@@ -170,9 +163,9 @@ class Frame:
             self.now[key] = collection.changelog.version()
         return self.now[key]
 
-    def rows(self, collection, when: str) -> DataFrame:
+    def rows(self, collection, when: str, ids: DataFrame | None = None) -> DataFrame:
         version = self.see(collection)
-        return collection.changelog.snapshot(version if when == "now" else self.before.get(collection.changelog.path, 0))
+        return collection.changelog.snapshot(version if when == "now" else self.before.get(collection.changelog.path, 0), ids)
 
     def changes(self, collection) -> DataFrame:
         version = self.see(collection)
@@ -212,20 +205,19 @@ class Output:
         self.spark, self.database, self.can_update = spark, database, can_update
         self.reverse = False
         self.streams: list[Stream] = []
-        self._said: list[ChangeStream] = []
+        self._said: list[ChangeStream | Stream] = []
 
     def change(self, what: Stream | ChangeStream) -> None:
         if isinstance(what, Stream):
             self.streams.append(what)
-            what = ChangeStream.of_rows(what.rows())
-        self._said.append(what.by_result_id())
+        self._said.append(what if isinstance(what, Stream) else what.by_result_id())
 
     def put(self, rows: DataFrame) -> None:
         self._said.append(ChangeStream.of_rows(rows))
 
     def delete(self, rows: DataFrame) -> None:
         ids = rows.select("id")
-        shape = self._said[0].changes.schema["obj"].dataType if self._said else ids.schema
+        shape = self._changes()[0].changes.schema["obj"].dataType if self._said else ids.schema
         none = F.lit(None).cast(shape)
         self._said.append(_Deletes(ids.select("id", F.lit("").alias("seq"), none.alias("obj"), none.alias("old"))))
 
@@ -255,15 +247,19 @@ class Output:
             raise PermissionError("only an update query may write")
         return self.database.open(kind, name)
 
+    def _changes(self) -> list[ChangeStream]:
+        """What was said, streams as inserts of their rows."""
+        return [ChangeStream.of_rows(s.rows()) if isinstance(s, Stream) else s for s in self._said]
+
     def _folded(self) -> DataFrame:
+        if len(self._said) == 1 and isinstance(self._said[0], Stream):
+            return self._said[0].rows()
         out = None
-        for i, said in enumerate(self._said):
+        for i, said in enumerate(self._changes()):
             part = said.changes.withColumn("seq", F.lit(f"{i:06d}"))
             out = part if out is None else _union_docs(out, part)
         if out is None:
             return self.spark.createDataFrame([], "id string")
-        if len(self._said) == 1 and self.streams:
-            return out.filter("obj is not null").select("obj.*")
         return fold(out).select("obj.*")
 
     def result(self) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from lakeloom.functions.keys import numbered, sequence_key
 from lakeloom.operators.changes import fold
+from lakeloom.operators.joins import restricted
 from lakeloom.sources.files import Files
 
 
@@ -29,6 +30,17 @@ class TruncatedError(RuntimeError):
     """The changes asked for were removed by clear_oplog."""
 
 
+def nullable(t: T.DataType) -> T.DataType:
+    """The type with everything in it nullable, as Parquet files give it back."""
+    if isinstance(t, T.StructType):
+        return T.StructType([T.StructField(f.name, nullable(f.dataType)) for f in t.fields])
+    if isinstance(t, T.ArrayType):
+        return T.ArrayType(nullable(t.elementType))
+    if isinstance(t, T.MapType):
+        return T.MapType(t.keyType, nullable(t.valueType))
+    return t
+
+
 def record_schema(doc: T.StructType) -> T.StructType:
     fields = [("seq", T.StringType()), ("ts", T.LongType()), ("op", T.StringType()), ("id", T.StringType()), ("obj", doc), ("old", doc), ("from_seq", T.StringType()), ("to_seq", T.StringType())]
     return T.StructType([T.StructField(n, t) for n, t in fields])
@@ -73,22 +85,22 @@ class Changelog:
         present = self.versions()
         return min(present) - 1 if present else 0
 
-    def snapshot(self, version: int | None = None) -> DataFrame:
-        """The documents that exist at a version."""
+    def snapshot(self, version: int | None = None, ids: DataFrame | None = None) -> DataFrame:
+        """The documents that exist at a version; ids: a DataFrame whose first column are those wanted, by which records are reduced before they're folded."""
         version = self.version() if version is None else version
         if self.append_only:
-            return self.records(0, version).filter("op = 'put'").select("obj.*")
+            return restricted(self.records(0, version).filter("op = 'put'"), ids).select("obj.*")
         base = max((v for v in self.versions("base") if v <= version), default=0)
         if base < self.cleared_to() and self.cleared_to() > 0:
             raise TruncatedError(f"version {version} is older than what is kept")
-        log = self.changes(base, version) if base < version else None
+        log = restricted(self.changes(base, version), ids) if base < version else None
         if log is None and not base:
             return self.spark.createDataFrame([], self.doc)
         if not base:
             # a version has one record for each id, so a single one is its own fold
             single = sum(v <= version for v in self.versions()) == 1
             return log.filter("obj is not null").select("obj.*") if single else fold(log).select("obj.*")
-        kept = self.spark.read.schema(self.doc).parquet(self._at(base, "base"))
+        kept = restricted(self.spark.read.schema(self.doc).parquet(self._at(base, "base")), ids)
         if log is None:
             return kept
         # only ids that changed since the base are folded

@@ -97,9 +97,7 @@ class Table(Rows):
             if BAD_ID in str(e):
                 raise ValueError(BAD_ID) from e
             raise
-        ids = wanted.select(F.col("id").alias("_wanted"))
-        rows = self.changelog.snapshot(base)
-        rows = rows.join(ids, rows["id"] == ids["_wanted"], "left_semi")
+        rows = self.changelog.snapshot(base, wanted.select("id"))
         now = rows.select(F.col("id").alias("_id"), F.struct(*[F.col(c) for c in self.schema.names]).alias("old"))
         both = wanted.join(now, wanted["id"] == now["_id"], "left").filter(~F.col("obj").eqNullSafe(F.col("old")))
         records = both.select(F.when(F.col("obj").isNull(), "delete").otherwise("put").alias("op"), "id", "obj", "old")
@@ -131,7 +129,7 @@ class Table(Rows):
     def update(self, ids: DataFrame, operations: Sequence[dict], if_exists: bool = False, legacy: bool = False) -> int:
         """Change the documents with the given ids by a list of operations; what doesn't exist is made from {id}, unless if_exists."""
         wanted = ids.select(self._checked_id().alias("_want")).distinct()
-        rows = self.rows()
+        rows = self.changelog.snapshot(ids=wanted)
         docs = wanted.join(rows, wanted["_want"] == rows["id"], "inner" if if_exists else "left")
         docs = docs.select(*[(F.col("_want") if c == "id" else F.col(c)).alias(c) for c in self.schema.names])
         changed = docs.select(compile_update(self.schema, operations, legacy=legacy).alias("doc"))

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from lakeloom.plans.query import Frame, Input, run_get, run_update
+from lakeloom.sources.changelog import nullable
 from lakeloom.sources.collection import Log, Table, remove
 from lakeloom.sources.files import Files
 
@@ -107,7 +108,7 @@ class Database:
             schema = self.spark.createDataFrame([], schema).schema
         if kind == "table" and "id" not in schema.names:
             raise ValueError("a table needs a field id")
-        self._create(kind, name, {"schema": schema.jsonValue()})
+        self._create(kind, name, {"schema": nullable(schema).jsonValue()})
         return self.open(kind, name)
 
     def create_index(self, name: str, code: Callable, params: Mapping | None = None):
@@ -116,7 +117,7 @@ class Database:
 
         frame, output = Frame(incremental=True), IndexOutput(self.spark, self)
         code(Input(self, frame), output, dict(params or {}))
-        schema = output._folded().schema
+        schema = nullable(output._folded().schema)
         self._create("index", name, {"code": _reference(code), "params": dict(params or {}), "schema": schema.jsonValue(), "sources": frame.lineage, "status": "ready"})
         index = self.open("index", name)
         try:

@@ -10,7 +10,7 @@ sys.path[:0] = [str(Path(__file__).parent.parent), str(Path(__file__).parent)]
 def spark():
     from lakeloom.session import local_session
 
-    session = local_session("tests", partitions=4, memory="6g")
+    session = local_session("tests", partitions=2, memory="6g")
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
