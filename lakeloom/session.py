@@ -10,6 +10,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dirs: list[str] = []
+_work_dirs: list[str] = []
+_run = uuid.uuid4().hex
 
 
 def local_session(app: str = "lakeloom", cpus: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -28,10 +30,13 @@ def local_session(app: str = "lakeloom", cpus: int | str = "*", partitions: int
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir. Where that is unset (tests), one of our own that ends with the driver."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    """The folder named in spark.checkpoint.dir. Where that is unset in local mode (tests), one of our own that ends with the driver."""
+    context = spark.sparkContext
+    conf = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if conf:
         return conf.rstrip("/")
+    if not context.master.startswith("local"):
+        raise ValueError("on a cluster, name a folder that all executors share in spark.checkpoint.dir")
     if not _own_dirs:
         _own_dirs.append(tempfile.mkdtemp(prefix="lakeloom-"))
         atexit.register(shutil.rmtree, _own_dirs[0], True)
@@ -39,8 +44,23 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def work_path(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder, used by nobody else."""
-    return f"{shared_dir(spark)}/lakeloom/{uuid.uuid4().hex}/{label}"
+    """A new path in the shared folder, used by nobody else; removed when the driver ends."""
+    mine = f"{shared_dir(spark)}/lakeloom/{_run}"
+    if mine not in _work_dirs:
+        _work_dirs.append(mine)
+        atexit.register(_clean, spark, mine)
+    return f"{mine}/{uuid.uuid4().hex}/{label}"
+
+
+def _clean(spark: SparkSession, path: str) -> None:
+    """Best effort: what is left if the driver is killed is a folder that nobody reads."""
+    try:
+        jvm = spark._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(folder, True)
+    except Exception:
+        if path.startswith(("file:", "/")):
+            shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), True)
 
 
 def materialize(df: DataFrame, label: str = "table") -> DataFrame:
