@@ -1,11 +1,15 @@
 """Filling containers of a fixed capacity with whole texts that have words in common.
 
 Texts above the capacity are divided: all pieces but the last fill a container each, the last is an item like any whole text.
-Items go to shards of about SHARD_ITEMS by a locality key (a min-hash of their longer words), range-partitioned with the document's
-id as a second key, so a shard has a bounded number of items even if all texts were alike. A shard is one task's work: it builds an
-inverted index of its items, weighs terms with BM25 by the document frequencies of the whole corpus, takes the largest unused item as
-a seed, ranks all unused items against it and fills the container greedily in that order; what room is left takes the largest unused
-items that fit, so a container is closed only when no unused item of its shard fits. Every document is in the result.
+The largest unused item is a seed; all unused items of the corpus are ranked against it with BM25, and the container is filled greedily
+in that order; what room is left takes the largest unused items that fit, so a container is closed only when no unused item fits.
+Every document is in the result.
+
+Up to SHARD_ITEMS items are one task's work. More lie in shards of at most that many, each with an inverted index, and are packed in
+rounds: the next SEEDS seeds are sent to every shard, the best unused items of all shards are merged for each seed, and the driver
+gives them out in the order of the seeds. A seed whose list ends before its container is full is searched for again in the next round,
+behind the seeds that came meanwhile. The search is exact and shards don't change its results, but it's seeds times items: its
+time grows with the square of the corpus. The driver holds a byte for each item, a histogram of sizes and one round's lists.
 
 Document frequencies are counted over all items in a vector of TERMS hashed terms, so the driver and the tasks get the
 same 1 MB whatever the size of the corpus; terms that share an entry share their frequency.
@@ -17,14 +21,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakeloom.functions.keys import numbered
 from lakeloom.llm.sizes import char_start, n_tokens
-from lakeloom.session import materialize
+from lakeloom.session import materialize, work_path
 
 TERMS = 1 << 18
-SHARD_ITEMS = 1024
+SHARD_ITEMS = 16_384
+SEEDS, NEIGHBOURS = 8192, 32  # of a round, and of each of its seeds where it has so many
 K1, B = 1.2, 0.75
 SCRIPTS_WITHOUT_BLANKS = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}"
 WORD_ENDS = rf"[^\p{{L}}\p{{N}}_]+|(?<=[{SCRIPTS_WITHOUT_BLANKS}])"
@@ -45,7 +51,7 @@ def divide(data: bytes, capacity: int) -> list[tuple[int, int]]:
 
 
 def items_of(documents: DataFrame, capacity: int) -> DataFrame:
-    """(doc_id, piece_no, pieces, start_token, n_tokens, key, terms); terms and key are null for pieces that fill their container."""
+    """(doc_id, piece_no, pieces, start_token, n_tokens, terms); terms are null for all pieces but the last, which fill their container."""
     docs = documents.select("doc_id", "text", n_tokens(F.col("text")).alias("n_tokens"))
     whole = docs.filter(F.col("n_tokens") <= capacity)
     whole = whole.select("doc_id", F.lit(0).alias("piece_no"), F.lit(1).alias("pieces"), F.lit(0).cast("bigint").alias("start_token"), "n_tokens", F.coalesce("text", F.lit("")).alias("tail"))
@@ -63,11 +69,8 @@ def items_of(documents: DataFrame, capacity: int) -> DataFrame:
     divided = docs.filter(F.col("n_tokens") > capacity).select("doc_id", "text").mapInArrow(pieces, schema)
     words = F.filter(F.split(F.lower("tail"), WORD_ENDS), lambda w: w != "")
     items = whole.unionByName(divided).withColumn("_words", words)
-    hashed = lambda ws: F.transform(ws, lambda w: F.hash(w))
-    longer = F.array_min(hashed(F.filter("_words", lambda w: F.length(w) > 5)))
-    key = F.coalesce(longer, F.array_min(hashed(F.col("_words"))), F.when(F.col("tail").isNotNull(), 0))
     terms = F.transform("_words", lambda w: F.pmod(F.hash(w), F.lit(TERMS)))
-    return items.select("doc_id", "piece_no", "pieces", "start_token", "n_tokens", key.alias("key"), terms.alias("terms"))
+    return items.select("doc_id", "piece_no", "pieces", "start_token", "n_tokens", terms.alias("terms"))
 
 
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece_no", pa.int32()), ("pieces", pa.int32()), ("start_token", pa.int64()), ("n_tokens", pa.int64()), ("tail", pa.string())])
@@ -97,19 +100,56 @@ class Shard:
         by_term = np.argsort(term, kind="stable")
         self.posted_item, self.posted_weight = item[by_term], weight[by_term]
         known, start = np.unique(term[by_term], return_index=True)
-        self.start, self.count = start, np.diff(np.append(start, len(term)))
+        self.known, self.start, self.count = known, start, np.diff(np.append(start, len(term)))
         self.local = np.searchsorted(known, term)
         self.n = n
+        self.posting = np.repeat(np.arange(len(known)), self.count) * n + self.posted_item
 
     def scores(self, seed: int) -> np.ndarray:
         """BM25 of every item of the shard for all distinct terms of the seed."""
-        terms = self.local[self.own[seed] : self.own[seed + 1]]
+        return self._sum(self.local[self.own[seed] : self.own[seed + 1]])
+
+    def best(self, queries: list[np.ndarray], k: int, unused: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each query, given as distinct terms that may be another shard's, the k best unused items from its ``first`` on, and their scores; of equal ones the first.
+
+        Terms that many items have are a dense matrix, multiplied with a block of queries at a time; the sums are the same.
+        """
+        heavy = np.flatnonzero(self.count > max(1, self.n // 24))
+        column = np.full(len(self.known) + 1, -1)
+        column[heavy] = np.arange(len(heavy))
+        dense = np.zeros((len(heavy), self.n))
+        for c, t in enumerate(heavy):
+            at = slice(self.start[t], self.start[t] + self.count[t])
+            dense[c, self.posted_item[at]] = self.posted_weight[at]
+        for q in range(0, len(queries), 64):
+            block, low = queries[q : q + 64], int(first[q : q + 64].min())
+            asked, light = np.zeros((len(block), len(heavy))), []
+            for j, terms in enumerate(block):
+                at = np.searchsorted(self.known, terms)
+                at = at[self.known[np.minimum(at, len(self.known) - 1)] == terms] if len(self.known) else at[:0]
+                asked[j, column[at[column[at] >= 0]]] = 1
+                light.append(at[column[at] < 0])
+            both = asked @ dense[:, low:]
+            for j, at in enumerate(light):
+                f = int(first[q + j])
+                scores = ((both[j, f - low :] + self._sum(at, f)[f:]) * unused[f:]).astype(np.float32)
+                items = np.flatnonzero(scores > 0)
+                if len(items) > k:
+                    least = -np.partition(-scores[items], k - 1)[k - 1]
+                    above, equal = items[scores[items] > least], items[scores[items] == least]
+                    items = np.concatenate([above, equal[: k - len(above)]])
+                yield f + items, scores[items]
+
+    def _sum(self, terms: np.ndarray, first: int = 0) -> np.ndarray:
         if not len(terms):
             return np.zeros(self.n)
         start, count = self.start[terms], self.count[terms]
+        if first:
+            skipped = np.searchsorted(self.posting, terms * self.n + first) - start
+            start, count = start + skipped, count - skipped
         before = np.cumsum(count) - count
         at = np.arange(before[-1] + count[-1]) + np.repeat(start - before, count)
-        return np.bincount(self.posted_item[at], self.posted_weight[at], self.n)
+        return np.bincount(self.posted_item[at], self.posted_weight[at], self.n) if len(at) else np.zeros(self.n)
 
 
 def fill(shard: Shard, sizes: np.ndarray, capacity: int) -> list[list[int]]:
@@ -126,7 +166,7 @@ def fill(shard: Shard, sizes: np.ndarray, capacity: int) -> list[list[int]]:
         unused[seed] = free[rank[seed]] = False
         room, inside = capacity - int(sizes[seed]), [int(seed)]
         if (fits := np.flatnonzero(unused & (sizes <= room))).size:
-            scores = shard.scores(seed)[fits]
+            scores = shard.scores(seed)[fits].astype(np.float32)  # sums in another order are equal
             near = fits[np.argsort(-scores, kind="stable")][: int((scores > 0).sum())]
             room = _take(near, sizes, room, inside, unused, free, rank)
             rest = order[np.searchsorted(-ranked, -room) :] if room >= 0 else order[:0]
@@ -151,7 +191,119 @@ def _take(near: np.ndarray, sizes: np.ndarray, room: int, inside: list[int], unu
     return room
 
 
-def pack(documents: DataFrame, capacity: int, shard_items: int = SHARD_ITEMS) -> DataFrame:
+def _terms(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and values of the terms of rows."""
+    terms = t["terms"].combine_chunks()
+    if isinstance(terms, pa.ChunkedArray):
+        terms = pa.concat_arrays(terms.chunks)
+    return np.concatenate([[0], np.cumsum(np.diff(terms.offsets.to_numpy()))]), terms.flatten().to_numpy(zero_copy_only=False)
+
+
+def search(loose: DataFrame, queries: list[np.ndarray], first: np.ndarray, used: bytes, k: int, idf, mean_length: float, shard_items: int) -> DataFrame:
+    """(query, number, score): for each query, given as distinct terms, the k items of all shards that score best of those unused and numbered from its ``first`` on."""
+    sent = loose.sparkSession.sparkContext.broadcast((queries, first, used))
+
+    def search_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries, first, used = sent.value
+        taken = np.frombuffer(used, np.uint8)
+
+        def found(t: pa.Table) -> pa.RecordBatch:
+            t = t.sort_by("number")
+            number, shard = t["number"].to_numpy(), Shard(*_terms(t), idf.value, mean_length)
+            unused = taken[number] == 0
+            rows = list(shard.best(queries, k, unused, np.searchsorted(number, first)))
+            query = np.repeat(np.arange(len(rows), dtype=np.int32), [len(i) for i, _ in rows])
+            items, scores = (np.concatenate(x) for x in zip(*rows))
+            return pa.RecordBatch.from_arrays([pa.array(query), pa.array(number[items], pa.int64()), pa.array(scores, pa.float32())], ["query", "number", "score"])
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            while batch.num_rows:
+                some = batch.slice(0, shard_items - sum(b.num_rows for b in held))
+                held, batch = [*held, some], batch.slice(some.num_rows)
+                if sum(b.num_rows for b in held) == shard_items:
+                    yield found(pa.Table.from_batches(held))
+                    held = []
+        if held:
+            yield found(pa.Table.from_batches(held))
+
+    rows = loose.select("number", "terms").mapInArrow(search_shards, "query int, number long, score float")
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "number")
+    return rows.withColumn("_rank", F.row_number().over(best)).filter(F.col("_rank") <= k).drop("_rank")
+
+
+class Sizes:
+    """Sizes of items that are numbered from the largest down, from how many there are of each."""
+
+    def __init__(self, counts: dict[int, int], capacity: int):
+        self.sizes = np.array(sorted(counts, reverse=True), np.int64)
+        self.ends = np.cumsum([counts[s] for s in self.sizes.tolist()])
+        starts = np.concatenate([[0], self.ends])
+        #: for each room the first item that fits
+        self.first = starts[np.searchsorted(-self.sizes, -np.arange(capacity + 1))]
+
+    def of(self, numbers: np.ndarray) -> np.ndarray:
+        return self.sizes[np.searchsorted(self.ends, numbers, "right")]
+
+
+def _pack_in_rounds(loose: DataFrame, n: int, capacity: int, idf, mean_length: float, shard_items: int, seeds: int) -> DataFrame:
+    """(number, container_no, position, container_tokens) of all items, numbered from the largest down."""
+    spark = loose.sparkSession
+    sizes = Sizes({r[0]: r[1] for r in loose.groupBy("n_tokens").count().collect()}, capacity)  # at most a row for each size up to the capacity
+    path, used, containers, at = work_path(spark, "containers"), bytearray(n), 0, 0
+    waiting: list[tuple[list[int], int, np.ndarray]] = []  # items of an open container, room, terms of its seed
+    while waiting or used.find(0, at) >= 0:
+        new: list[int] = []
+        while len(waiting) + len(new) < seeds and (at := used.find(0, at)) >= 0:
+            new.append(at)
+            at += 1
+        at = n if at < 0 else at
+        rows = loose.join(F.broadcast(spark.createDataFrame(pa.table({"number": pa.array(new, pa.int64())}))), "number").select("number", "terms").toArrow() if new else None
+        terms = {}
+        if rows:
+            offsets, flat = _terms(rows)
+            terms = {i: np.unique(flat[a:b]) for i, a, b in zip(rows["number"].to_pylist(), offsets, offsets[1:])}
+        asked = [*waiting, *(([i], capacity - s, terms[i]) for i, s in zip(new, sizes.of(np.array(new, np.int64)).tolist()))]
+        k = max(NEIGHBOURS, seeds * NEIGHBOURS // len(asked))
+        found = search(loose, [q for _, _, q in asked], sizes.first[[room for _, room, _ in asked]], bytes(used), k, idf, mean_length, shard_items).toArrow()
+        query, number, score = (found[c].to_numpy() for c in ("query", "number", "score"))
+        order = np.lexsort((number, -score, query))
+        number, cuts = number[order], np.searchsorted(query[order], np.arange(len(asked) + 1))
+        size = sizes.of(number)
+        full: list[tuple[list[int], int]] = []
+        opened, waiting = len(waiting), []
+        for j, (inside, room, q) in enumerate(asked):
+            if j >= opened:
+                if used[inside[0]]:
+                    continue
+                used[inside[0]] = 1
+            for i, s in zip(number[cuts[j] : cuts[j + 1]].tolist(), size[cuts[j] : cuts[j + 1]].tolist()):
+                if s <= room and not used[i]:
+                    used[i] = 1
+                    inside.append(i)
+                    room -= s
+            i = used.find(0, int(sizes.first[room]))
+            if i >= 0 and cuts[j + 1] - cuts[j] == k:
+                waiting.append((inside, room, q))
+                continue
+            while i >= 0:
+                used[i] = 1
+                inside.append(i)
+                room -= int(sizes.of(np.array([i]))[0])
+                i = used.find(0, max(i + 1, int(sizes.first[room])))
+            full.append((inside, capacity - room))
+        if full:
+            lengths = [len(inside) for inside, _ in full]
+            table = pa.table({
+                "number": pa.array([i for inside, _ in full for i in inside], pa.int64()), "container_no": pa.array(np.repeat(np.arange(containers, containers + len(full)), lengths)),
+                "position": pa.array([p for m in lengths for p in range(m)], pa.int32()), "container_tokens": pa.array(np.repeat([t for _, t in full], lengths), pa.int64()),
+            })
+            spark.createDataFrame(table).coalesce(1).write.mode("append").parquet(path)
+            containers += len(full)
+    return spark.read.schema("number long, container_no long, position int, container_tokens long").parquet(path)
+
+
+def pack(documents: DataFrame, capacity: int, shard_items: int = SHARD_ITEMS, seeds: int = SEEDS) -> DataFrame:
     """Rows of PACKED: every piece of every document with its container, its place there and the room the container leaves unused.
 
     documents: (doc_id, text), doc_id unique and not null; other columns don't matter. A null or empty text takes no room and lies in
@@ -159,42 +311,44 @@ def pack(documents: DataFrame, capacity: int, shard_items: int = SHARD_ITEMS) ->
     character. start_token and n_tokens place a piece in its text. No documents, no containers.
     """
     spark = documents.sparkSession
-    items = materialize(items_of(documents, capacity), "items")
+    items, many = items_of(documents, capacity), documents.count() > shard_items  # each document has one item that isn't a full piece
+    if many:
+        last = items.filter("piece_no = pieces - 1").select("doc_id", (-F.col("n_tokens")).alias("_size"))
+        items = items.join(numbered(last, ["_size", "doc_id"], "number").select("doc_id", "number"), "doc_id")
+    items = materialize(items, "items")
     df, n, mean_length = document_frequencies(items)
     idf = spark.sparkContext.broadcast(np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32))
 
     def fill_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
         batches = [b for b in batches if b.num_rows]
         if not batches:
             return
-        t, shard = pa.Table.from_batches(batches).combine_chunks(), TaskContext.get().partitionId()
-        sizes, terms = t["n_tokens"].to_numpy(), t["terms"].combine_chunks()
-        if isinstance(terms, pa.ChunkedArray):
-            terms = pa.concat_arrays(terms.chunks)
-        flat, lengths = terms.flatten().to_numpy(zero_copy_only=False), np.diff(terms.offsets.to_numpy())
-        index = Shard(np.concatenate([[0], np.cumsum(lengths)]), flat, idf.value, mean_length)
-        containers = fill(index, sizes, capacity)
+        t = pa.Table.from_batches(batches).sort_by([("n_tokens", "descending"), ("doc_id", "ascending")])
+        sizes = t["n_tokens"].to_numpy()
+        containers = fill(Shard(*_terms(t), idf.value, mean_length), sizes, capacity)
         item = np.array([i for c in containers for i in c], np.int64)
         no = np.repeat(np.arange(len(containers)), [len(c) for c in containers])
         filled = np.bincount(no, sizes[item]).astype(np.int64)[no]
         got = t.select(["doc_id", "piece_no", "pieces", "start_token", "n_tokens"]).take(item)
         first = np.concatenate([[0], np.flatnonzero(np.diff(no)) + 1])
         columns = [
-            pa.array([f"s{shard}-{i}" for i in no]), pa.array((np.arange(len(no)) - first[no]).astype(np.int32)), *got.columns,
+            pa.array([f"c{i}" for i in no]), pa.array((np.arange(len(no)) - first[no]).astype(np.int32)), *got.columns,
             pa.array(filled), pa.array(capacity - filled),
         ]
         yield from pa.Table.from_arrays(columns, schema=_PACKED).to_batches(max_chunksize=10_000)
 
     packed = ["doc_id", "piece_no", "pieces", "start_token", "n_tokens"]
-    shards = max(1, -(-n // shard_items))
-    loose = items.filter("terms is not null").repartitionByRange(shards, "key", "doc_id").select(*packed, "terms")
-    full = items.filter("terms is null").select(
-        F.concat(F.lit("f"), "doc_id", F.lit("-"), "piece_no").alias("container_id"), F.lit(0).alias("position"), *packed,
-        F.col("n_tokens").alias("container_tokens"), (F.lit(capacity) - F.col("n_tokens")).alias("unused"),
+    loose = items.filter("terms is not null")
+    unused = (F.lit(capacity) - F.col("container_tokens")).alias("unused")
+    if many:
+        placed = loose.join(_pack_in_rounds(loose, n, capacity, idf, mean_length, shard_items, seeds), "number")
+        placed = placed.select(F.concat(F.lit("c"), "container_no").alias("container_id"), "position", *packed, "container_tokens", unused)
+    else:
+        placed = loose.select(*packed, "terms").repartition(1).mapInArrow(fill_shard, PACKED)
+    full = items.filter("terms is null").withColumn("container_tokens", F.col("n_tokens")).select(
+        F.concat(F.lit("f"), "doc_id", F.lit("-"), "piece_no").alias("container_id"), F.lit(0).alias("position"), *packed, "container_tokens", unused
     )
-    return loose.mapInArrow(fill_shard, PACKED).unionByName(full)
+    return placed.unionByName(full)
 
 
 def with_texts(packed: DataFrame, documents: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lakeloom.llm import queries as llm
 from lakeloom.llm.mixing import Mixture, ramp_schedule
-from lakeloom.llm.packing import B, K1, TERMS, Shard, divide, fill, pack, with_texts
+from lakeloom.llm.packing import B, K1, TERMS, Shard, divide, fill, items_of, pack, search, with_texts
 from lakeloom.llm.splitting import LEVELS, Limit, blocks, split, split_documents
 
 D = f"{TABLES_AT}/sf0.001"
@@ -105,6 +105,38 @@ def test_pack_holds_every_text_whole(spark):
     assert len(by_container) <= total / 256 * 1.1 + 10
 
 
+def test_neighbours_are_found_over_all_shards(spark):
+    """The ten best items of each query are those of brute force over all items, and containers of one round are the same however many shards there are."""
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(rng.choices(words, k=rng.randrange(1, 40))), None) for i in range(400)]
+    docs = documents(spark, rows)
+    table = items_of(docs, 400).select("doc_id", "terms").orderBy("doc_id").toArrow()
+    terms = [np.array(x) for x in table["terms"].to_pylist()]
+    df = np.zeros(TERMS)
+    for x in terms:
+        df[np.unique(x)] += 1
+    idf, mean = np.log1p((400 - df + 0.5) / (df + 0.5)), np.mean([len(x) for x in terms])
+    whole = Shard(np.concatenate([[0], np.cumsum([len(x) for x in terms])]), np.concatenate(terms), idf, mean)
+    loose = spark.createDataFrame(table.rename_columns(["number", "terms"])).repartition(3)
+    queries = [np.unique(x) for x in terms[:60]]
+    used = bytes(400)
+    got = defaultdict(set)
+    for r in search(loose, queries, np.zeros(60, int), used, 10, spark.sparkContext.broadcast(idf), mean, 50).collect():
+        got[r["query"]].add(r["number"])
+    for q in range(60):
+        scores = whole.scores(q)
+        assert got[q] == set(np.lexsort((np.arange(400), -scores))[:10].tolist())
+    containers = []
+    for shard_items, seeds in ((1000, 8192), (50, 8192), (50, 40)):
+        by = defaultdict(list)
+        for r in sorted(pack(docs, 400, shard_items=shard_items, seeds=seeds).collect(), key=lambda r: r.position):
+            by[r.container_id].append((r.doc_id, r.unused))
+        containers.append(sorted(by.values()))
+    assert containers[0] == containers[1]
+    assert sorted(i for c in containers[2] for i, _ in c) == list(range(400))  # seeds whose lists end early wait, so others may come first
+
+
 def test_pack_of_nothing(spark):
     docs = documents(spark, [])
     assert pack(docs, 100).count() == 0
