@@ -89,6 +89,10 @@ class Mixture:
 
     def sequence(self) -> DataFrame:
         """(mix_id, source_key, doc_id, use_no, n_tokens, position): every use of every chosen text; sort by (mix_id, position) to train."""
+        return self._placed().drop("target_tokens", "max_repeats", "last_end")
+
+    def _placed(self) -> DataFrame:
+        """The sequence with its target and, for the last use that the target permits, where that ends on the axis of demand."""
         middle = F.col("start") + F.col("n_tokens") / 2
         uses = F.ceil((F.col("target_tokens") - middle) / F.col("supply"))
         uses = F.greatest(F.lit(0), F.least(uses, F.col("max_repeats"))).cast("int")
@@ -101,12 +105,23 @@ class Mixture:
         slope = (x["w1"] - x["w0"]) / (x["t1"] - x["t0"])
         root = 2 * y / (x["w0"] + F.sqrt(F.greatest(F.lit(0.0), x["w0"] * x["w0"] + 2 * slope * y)))
         position = F.least(x["t0"] + root, x["t1"])
-        return used.select("mix_id", "source_key", "doc_id", "use_no", "n_tokens", position.alias("position"))
+        last = (F.col("use_no") == F.col("max_repeats") - 1) & (F.col("start") + F.col("n_tokens") == F.col("supply"))
+        end = F.when(last, F.col("use_no") * F.col("supply") + F.col("start") + F.col("n_tokens"))
+        return used.select("mix_id", "source_key", "doc_id", "use_no", "n_tokens", position.alias("position"), "target_tokens", "max_repeats", end.alias("last_end"))
 
     def ordered(self) -> DataFrame:
         """The sequence, range-sorted by mix and position; uses at the same position by document and use."""
         return self.sequence().orderBy("mix_id", "position", "doc_id", "use_no")
 
+    def unreached(self) -> DataFrame:
+        """(mix_id, source_key) of targets whose last permitted use ends before their demand, in the sequence laid out and range-sorted; or which permit no use at all."""
+        ordered = materialize(self._placed().orderBy("mix_id", "position", "doc_id", "use_no"), "sequence")
+        short = ordered.filter("last_end < target_tokens").select("mix_id", "source_key")
+        sources = self.sized.filter("n_tokens > 0").select("source_key").distinct()
+        unused = self.targets.filter("target_tokens > 0")
+        none = unused.join(sources, "source_key", "left_anti").unionByName(unused.filter("max_repeats <= 0"))
+        return short.unionByName(none.select("mix_id", "source_key")).distinct()
+
     def shares(self) -> DataFrame:
         """For each target the tokens wanted, at hand, used, and the actual share of the mix; ``exhausted`` where all uses allowed don't suffice."""
         used = self.sequence().groupBy("mix_id", "source_key").agg(F.sum("n_tokens").alias("used_tokens"), F.count("*").alias("uses"), F.count(F.when(F.col("use_no") == 0, 1)).alias("texts"))

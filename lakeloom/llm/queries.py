@@ -48,7 +48,7 @@ def _mixture(spark: SparkSession, d: str) -> Mixture:
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Targets that the texts laid out along the demand, each as often as allowed, don't reach."""
-    return _mixture(spark, d).shares().filter("exhausted").select("mix_id", "source_key")
+    return _mixture(spark, d).unreached()
 
 
 def p7_shares(spark: SparkSession, d: str) -> DataFrame:

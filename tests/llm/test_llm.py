@@ -198,6 +198,16 @@ def test_layout_is_a_running_sum(spark):
     assert at == sum(i % 7 for i in range(500))
 
 
+def test_unreached_targets_are_those_of_the_sequence(spark, monkeypatch):
+    rows = [(i, "x" * 10, "s") for i in range(100)] + [(200, "y" * 1000, "big")]
+    targets = [(1, "s", 0.5, 1), (2, "s", 0.6, 1), (3, "s", 0.6, 2), (4, "nobody", 0.1, 1), (5, "big", 0.0001, 1), (6, "s", 0.1, 0), (7, "s", 0.0, 1)]
+    written = []
+    monkeypatch.setattr("lakeloom.llm.mixing.materialize", lambda df, label: written.append((label, df.columns)) or df)
+    m = mixture(spark, rows, targets)
+    assert sorted(map(tuple, m.unreached().collect())) == [(2, "s"), (4, "nobody"), (6, "s")]
+    assert any(label == "sequence" and "position" in columns for label, columns in written)
+
+
 def test_mix_of_nothing(spark):
     m = mixture(spark, [], [(1, "s", 1.0, 1)])
     assert m.sequence().count() == 0 and m.ordered().count() == 0
