@@ -68,7 +68,10 @@ class LiveList:
             observer(signal, new, old)
 
     def update(self) -> int:
-        """Take in what was appended to the sources; the number of rows that changed."""
+        """Take in what was appended to the sources; the number of rows that changed. More than ``most`` changes, or ones that are gone, are an anew read of the result.
+
+        If the result has more than ``most`` rows that's an error, and the list stays as it was.
+        """
         with self._lock:
             if self.disposed:
                 return 0
@@ -81,10 +84,14 @@ class LiveList:
             except TruncatedError:
                 self._read()
                 return len(self._rows)
+            if len(changes) > self.most:  # maybe not all of them, though the result may have fewer rows
+                self._read()
+                return len(self._rows)
+            after = self._rows | {c["id"]: c["obj"] for c in changes}
+            if sum(row is not None for row in after.values()) > self.most:
+                raise ValueError(f"more than {self.most} rows: make it an index")
             n = sum(self._apply(c["id"], c["obj"]) for c in changes)
             self._as_of = frame.now
-            if len(self._rows) > self.most or len(changes) > self.most:
-                raise ValueError(f"more than {self.most} rows: make it an index")
             return n
 
     def _apply(self, key: str, row: Row | None) -> bool:

@@ -271,6 +271,23 @@ def test_an_index_that_fails_is_marked(db, spark):
         db.create_index("limited", lambda i, o, p: i.table("users").of_range({"limit": 2}).to(o))
 
 
+def test_live_list_with_more_changes_than_it_may_have_rows(db):
+    fill(db)
+    live = db.query_observable(lambda i, o: i.table("users").map(lambda f: {"id": F.concat(f("name"), F.lit("_"), f("id"))}).to(o), most=5)
+    users, want = db.table("users"), [f"new_{i}" for i, _ in USERS]
+    users.put(frame(db.spark, [(i, "new") for i, _ in USERS], "id string, name string"))  # a delete and a put for each
+    live.update()
+    assert [r["id"] for r in live.value()] == want
+    users.put(frame(db.spark, [("6", "new")], "id string, name string"))
+    for _ in range(2):
+        with pytest.raises(ValueError, match="more than 5"):
+            live.update()
+        assert [r["id"] for r in live.value()] == want
+    users.delete(frame(db.spark, [("1",)], "id string"))
+    live.update()
+    assert [r["id"] for r in live.value()] == [*want[1:], "new_6"]
+
+
 def test_live_objects_ranges_and_counts(db):
     fill(db)
     one, some, n = live_object(db, "users", "2"), live_range(db, "users", {"gt": "2", "lt": "5"}), LiveCount(db.table("users"), {"gte": "3"})
