@@ -3,10 +3,12 @@
 import time
 
 import pytest
+from oracle import TABLES_AT, compare, connect
 from pyspark.sql import functions as F
 
 from lakeloom import Database, Pipe, Range
 from lakeloom.operators.changes import ChangeStream
+from lakeloom.plans import store_queries
 from lakeloom.sources.changelog import ConflictError, TruncatedError
 from lakeloom.streaming.index import sql_stream
 from lakeloom.streaming.live import LiveCount, live_object, live_range
@@ -288,6 +290,15 @@ def test_live_list_with_more_changes_than_it_may_have_rows(db):
     assert [r["id"] for r in live.value()] == [*want[1:], "new_6"]
 
 
+def test_live_join_brings_no_rows_to_the_driver(spark, monkeypatch):
+    def refuse(*_):
+        raise AssertionError("rows on the driver")
+
+    monkeypatch.setattr("lakeloom.streaming.live.LiveList._read", refuse)
+    d = f"{TABLES_AT}/sf0.001"
+    assert compare(spark, connect(d), d, store_queries.QUERIES["live_join"], store_queries.SQL["live_join"]) == ""
+
+
 def test_live_objects_ranges_and_counts(db):
     fill(db)
     one, some, n = live_object(db, "users", "2"), live_range(db, "users", {"gt": "2", "lt": "5"}), LiveCount(db.table("users"), {"gte": "3"})
