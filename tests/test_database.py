@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lakeloom import Database, Pipe, Range
 from lakeloom.operators.changes import ChangeStream
 from lakeloom.plans import store_queries
-from lakeloom.sources.changelog import ConflictError, TruncatedError
+from lakeloom.sources.changelog import Changelog, ConflictError, TruncatedError
 from lakeloom.streaming.index import sql_stream
 from lakeloom.streaming.live import LiveCount, live_object, live_range
 from lakeloom.streaming.profiler import Profiler
@@ -299,6 +299,13 @@ def test_live_join_brings_no_rows_to_the_driver(spark, monkeypatch):
     assert compare(spark, connect(d), d, store_queries.QUERIES["live_join"], store_queries.SQL["live_join"]) == ""
 
 
+def test_table_compacted_removes_versions(spark, monkeypatch):
+    clear, cleared = Changelog.clear, []
+    monkeypatch.setattr(Changelog, "clear", lambda *a: cleared.append(clear(*a)) or cleared[-1])
+    assert store_queries.QUERIES["table_compacted"](spark, f"{TABLES_AT}/sf0.001").count() > 0
+    assert [c["count"] > 0 for c in cleared] == [True]
+
+
 def test_live_objects_ranges_and_counts(db):
     fill(db)
     one, some, n = live_object(db, "users", "2"), live_range(db, "users", {"gt": "2", "lt": "5"}), LiveCount(db.table("users"), {"gte": "3"})
