@@ -1,41 +1,62 @@
 """Filling containers of a fixed capacity with whole texts that have words in common.
 
-Texts above the capacity are divided: all pieces but the last fill a container each, the last is an item like any whole text.
-The largest unused item is a seed; all unused items of the corpus are ranked against it with BM25, and the container is filled greedily
-in that order; what room is left takes the largest unused items that fit, so a container is closed only when no unused item fits.
-Every document is in the result.
-
-Up to SHARD_ITEMS items are one task's work. More lie in shards of at most that many, each with an inverted index, and are packed in
-rounds: the next SEEDS seeds are sent to every shard, the best unused items of all shards are merged for each seed, and the driver
-gives them out in the order of the seeds. A seed whose list ends before its container is full is searched for again in the next round,
-behind the seeds that came meanwhile. The search is exact and shards don't change its results, but it's seeds times items: its
-time grows with the square of the corpus. The driver holds a byte for each item, a histogram of sizes and one round's lists.
-
-Document frequencies are counted over all items in a vector of TERMS hashed terms, so the driver and the tasks get the
-same 1 MB whatever the size of the corpus; terms that share an entry share their frequency.
+Texts above a capacity are divided: all pieces but the last fill a container each, the last is an item like any whole text. The largest
+items, as many as containers are needed for all tokens, are seeds and open a container each. Then, in rounds, every open container asks
+a sharded BM25 index of the unused items for the neighbours of its seed that fit its room; an item goes to the container with room where it
+scores best, and each container takes what it won, best first, wherever it fits. What is left after the rounds, and the containers still
+open, are parted by a hash and packed by one task a part: neighbours of each seed first, again by BM25, then whatever fits, and last
+the remaining items open containers of their own. A container is closed only when no unused item of its part fits. Every document is in the result.
+
+**The index.** Items are placed in clusters by their most frequent words and, within a cluster, in bands of size; such a shard has an inverted
+index of its own. A seed is sent to the shards that promise the best scores (the seed's affinity to the cluster, times the mean weight of
+the shard's items), until these hold REACH times the square root of the number of unused items, and more for a seed of few words, which
+says little of clusters. So time grows with n ** 1.5, not with the square of the corpus, and a seed's results are all of the best neighbours
+but some. Clusters are fitted on a bounded sample of
+SAMPLE texts; every item is indexed. Shards are searched in groups of about GROUP items: larger ones are cut by a hash, and a group
+that many seeds ask is searched by several tasks, each for about BLOCK of them.
+
+**Terms** are words under 64-bit hashes, so different words don't match each other. Only document frequencies, counted over all items, are
+in a vector of SKETCH entries, which keeps what tasks get at 4 MB whatever the size of the corpus; words that share an entry share
+their frequency.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+import re
+from collections import Counter
+from collections.abc import Iterator, Mapping
+from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeloom.functions.keys import numbered
-from lakeloom.llm.sizes import char_start, n_tokens
-from lakeloom.session import materialize, work_path
+from lakeloom.llm.sizes import char_start
+from lakeloom.session import materialize
 
-TERMS = 1 << 18
-SHARD_ITEMS = 16_384
-SEEDS, NEIGHBOURS = 8192, 32  # of a round, and of each of its seeds where it has so many
+SKETCH = 1 << 20
+SAMPLE, MOST_CLUSTERS, MOST_HEAVY = 8192, 512, 1024
+BANDS, REACH, LEAST_REACH = 8, 16, 1024
+FEW_WORDS, MOST_MORE = 128, 16  # a seed of fewer words reaches so many times as far as it has fewer, up to MOST_MORE times
+GROUP, BLOCK, PART = 8192, 4096, 16_384
+NEIGHBOURS, ROUNDS = 64, 3
 K1, B = 1.2, 0.75
-SCRIPTS_WITHOUT_BLANKS = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}"
-WORD_ENDS = rf"[^\p{{L}}\p{{N}}_]+|(?<=[{SCRIPTS_WITHOUT_BLANKS}])"
-PACKED = "container_id string, position int, doc_id long, piece_no int, pieces int, start_token long, n_tokens long, container_tokens long, unused long"
-_PACKED = pa.schema([("container_id", pa.string()), ("position", pa.int32()), ("doc_id", pa.int64()), ("piece_no", pa.int32()), ("pieces", pa.int32()), ("start_token", pa.int64()), ("n_tokens", pa.int64()), ("container_tokens", pa.int64()), ("unused", pa.int64())])
+#: Scripts written without blanks, in which each character is a word.
+_ALONE = "぀-ヿ㐀-䶿一-鿿豈-﫿"
+WORD = re.compile(rf"[{_ALONE}]|[^\W{_ALONE}]+")
+PACKED = "limit_id int, container_id string, position int, doc_id long, piece_no int, pieces int, start_token long, n_tokens long, container_tokens long, unused long"
+ITEMS = "limit_id int, doc_id long, piece_no int, pieces int, start_token long, n_tokens long, cluster int, fit float, length long, terms array<long>, tfs array<int>"
+TAKEN = "limit_id int, doc_id long, container long, round int, rank int, n_tokens long"
+_ITEMS = pa.schema([
+    ("limit_id", pa.int32()), ("doc_id", pa.int64()), ("piece_no", pa.int32()), ("pieces", pa.int32()), ("start_token", pa.int64()), ("n_tokens", pa.int64()),
+    ("cluster", pa.int32()), ("fit", pa.float32()), ("length", pa.int64()), ("terms", pa.list_(pa.int64())), ("tfs", pa.list_(pa.int32())),
+])
+_TAKEN = pa.schema([("limit_id", pa.int32()), ("doc_id", pa.int64()), ("container", pa.int64()), ("round", pa.int32()), ("rank", pa.int32()), ("n_tokens", pa.int64())])
+FOUND = "limit_id int, doc_id long, n_tokens long, seed long, score float"
+_FOUND = pa.schema([("limit_id", pa.int32()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("seed", pa.int64()), ("score", pa.float32())])
 
 
 def divide(data: bytes, capacity: int) -> list[tuple[int, int]]:
@@ -50,305 +71,568 @@ def divide(data: bytes, capacity: int) -> list[tuple[int, int]]:
     return out
 
 
-def items_of(documents: DataFrame, capacity: int) -> DataFrame:
-    """(doc_id, piece_no, pieces, start_token, n_tokens, terms); terms are null for all pieces but the last, which fill their container."""
-    docs = documents.select("doc_id", "text", n_tokens(F.col("text")).alias("n_tokens"))
-    whole = docs.filter(F.col("n_tokens") <= capacity)
-    whole = whole.select("doc_id", F.lit(0).alias("piece_no"), F.lit(1).alias("pieces"), F.lit(0).cast("bigint").alias("start_token"), "n_tokens", F.coalesce("text", F.lit("")).alias("tail"))
+def term_of(word: str) -> int:
+    return int.from_bytes(blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def words_of(text: str) -> list[str]:
+    return WORD.findall(text.lower())
+
+
+# items
+
+
+def _lists(t: pa.Table | pa.RecordBatch, column: str) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and values of a column of lists."""
+    c = t[column]
+    if isinstance(c, pa.ChunkedArray):
+        c = c.combine_chunks()
+        c = pa.concat_arrays(c.chunks) if isinstance(c, pa.ChunkedArray) else c
+    return np.concatenate([[0], np.cumsum(np.diff(c.offsets.to_numpy()))]), c.flatten().to_numpy(zero_copy_only=False)
+
+
+def _matched(known: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where terms stand in a sorted array, and which of them do."""
+    if not len(known):
+        return np.zeros(len(terms), np.int64), np.zeros(len(terms), bool)
+    at = np.minimum(np.searchsorted(known, terms), len(known) - 1)
+    return at, known[at] == terms
+
+
+@dataclass
+class Space:
+    """Clusters of items by their frequent words: at most MOST_HEAVY words and MOST_CLUSTERS centres, fitted on a sample."""
+
+    heavy: np.ndarray  # sorted
+    idf: np.ndarray
+    mean_length: float
+    centres: np.ndarray
+
+    @classmethod
+    def fit(cls, sample: pa.Table, clusters: int) -> Space:
+        offsets, terms = _lists(sample, "terms")
+        n, rng = max(1, len(offsets) - 1), np.random.default_rng(0)
+        known, count = np.unique(terms, return_counts=True)
+        frequent = np.argsort(-count, kind="stable")[:MOST_HEAVY]
+        frequent = np.sort(frequent[count[frequent] >= max(2, n / 100)])
+        heavy, df = known[frequent], count[frequent]
+        space = cls(heavy, np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32), max(1.0, float(_lists(sample, "tfs")[1].sum()) / n), np.zeros((1, len(heavy)), np.float32))
+        x = space._vectors(sample)
+        size = np.sqrt(np.einsum("ij,ij->i", x, x))
+        x = x[size > 0] / size[size > 0, None]
+        if not len(x):
+            return space
+        centres = x[rng.choice(len(x), min(clusters, max(1, len(x) // 8)), replace=False)]
+        for _ in range(8):
+            nearest = (x @ centres.T).argmax(1)
+            order = np.argsort(nearest, kind="stable")
+            cuts = np.searchsorted(nearest[order], np.arange(len(centres) + 1))
+            for k in np.flatnonzero(np.diff(cuts)):
+                mean = x[order[cuts[k] : cuts[k + 1]]].sum(0)
+                centres[k] = mean / np.sqrt(mean @ mean)
+        # near centres get near numbers, so that the shards a seed asks lie in few groups
+        alike, chain, left = centres @ centres.T, [0], set(range(1, len(centres)))
+        while left:
+            chain.append(max(left, key=lambda k: (alike[chain[-1], k], -k)))
+            left.remove(chain[-1])
+        space.centres = np.ascontiguousarray(centres[chain])
+        return space
+
+    def _vectors(self, t: pa.Table | pa.RecordBatch) -> np.ndarray:
+        """A row of BM25 weights of the frequent words for each item."""
+        (offsets, terms), (_, tfs) = _lists(t, "terms"), _lists(t, "tfs")
+        row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+        length = np.bincount(row, tfs, len(offsets) - 1)
+        at, known = _matched(self.heavy, terms)
+        row, at, tf = row[known], at[known], tfs[known]
+        x = np.zeros((len(offsets) - 1, len(self.heavy)), np.float32)
+        x[row, at] = self.idf[at] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[row] / self.mean_length))
+        return x
+
+    def place(self, t: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """The cluster of each item, and how much of the item lies along its centre."""
+        along = self._vectors(t) @ self.centres.T
+        cluster = along.argmax(1)
+        return cluster.astype(np.int32), along[np.arange(len(along)), cluster].astype(np.float32)
+
+    def asked(self, offsets: np.ndarray, terms: np.ndarray) -> np.ndarray:
+        """A row of 0 and 1 for the frequent words of each seed."""
+        at, known = _matched(self.heavy, terms)
+        x = np.zeros((len(offsets) - 1, len(self.heavy)), np.float32)
+        x[np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[known], at[known]] = 1
+        return x
+
+
+def items_of(documents: DataFrame, capacities: Mapping[int, int], space: Space | None = None) -> DataFrame:
+    """Rows of ITEMS; terms and what is made of them are null for all pieces but the last, which fill their container. A text's words are counted once for all capacities that hold it whole."""
+    sent = documents.sparkSession.sparkContext.broadcast(space and vars(space))
+    limits = sorted(capacities.items())
+    least = min(capacities.values())
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids: dict[str, int] = {}
+        space = Space(**sent.value) if sent.value else None
+
+        def counted(text: str) -> tuple[list[int], list[int]]:
+            found = Counter(words_of(text))
+            if len(ids) > 200_000:
+                ids.clear()
+            for w in found:
+                if w not in ids:
+                    ids[w] = term_of(w)
+            return [ids[w] for w in found], list(found.values())
 
-    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple] = []
+            rows: list[tuple] = []  # as _ITEMS up to n_tokens
+            offsets, flat, tfs = [0], [], []
+
+            def add(row: tuple, terms: tuple[list[int], list[int]] | None) -> None:
+                rows.append(row)
+                if terms:
+                    flat.extend(terms[0])
+                    tfs.extend(terms[1])
+                offsets.append(len(flat) if terms is not None else None)
+
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                data = text.as_py().encode()
-                cut = divide(data, capacity)
-                rows += [(doc_id, i, len(cut), s, n, data[s : s + n].decode("utf-8", "replace") if i == len(cut) - 1 else None) for i, (s, n) in enumerate(cut)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string()))], ["doc_id", "piece_no", "pieces", "start_token", "n_tokens", "tail"]) if rows else pa.RecordBatch.from_pylist([], schema=_PIECES)
-
-    schema = "doc_id long, piece_no int, pieces int, start_token long, n_tokens long, tail string"
-    divided = docs.filter(F.col("n_tokens") > capacity).select("doc_id", "text").mapInArrow(pieces, schema)
-    words = F.filter(F.split(F.lower("tail"), WORD_ENDS), lambda w: w != "")
-    items = whole.unionByName(divided).withColumn("_words", words)
-    terms = F.transform("_words", lambda w: F.pmod(F.hash(w), F.lit(TERMS)))
-    return items.select("doc_id", "piece_no", "pieces", "start_token", "n_tokens", terms.alias("terms"))
-
-
-_PIECES = pa.schema([("doc_id", pa.int64()), ("piece_no", pa.int32()), ("pieces", pa.int32()), ("start_token", pa.int64()), ("n_tokens", pa.int64()), ("tail", pa.string())])
-
-
-def document_frequencies(items: DataFrame) -> tuple[np.ndarray, int, float]:
-    """How many items have each hashed term, the number of items and their mean length in terms; TERMS rows at most reach the driver."""
-    counted = items.filter("terms is not null")
-    rows = counted.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("n")).toArrow()
-    df = np.zeros(TERMS, np.float32)
-    df[rows["term"].to_numpy()] = rows["n"].to_numpy()
-    n, length = counted.agg(F.count("*"), F.avg(F.size("terms"))).first()
-    return df, n, max(1.0, length or 0.0)
-
-
-class Shard:
-    """The inverted index of a shard's items: for each of its terms the items that have it and their BM25 weights."""
-
-    def __init__(self, offsets: np.ndarray, terms: np.ndarray, idf: np.ndarray, mean_length: float):
-        n = len(offsets) - 1
-        lengths = np.diff(offsets)
-        pairs = np.repeat(np.arange(n, dtype=np.int64), lengths) * TERMS + terms
-        pairs, tf = np.unique(pairs, return_counts=True)
-        item, term = pairs // TERMS, pairs % TERMS
-        self.own = np.searchsorted(item, np.arange(n + 1))
-        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[item] / mean_length))
-        by_term = np.argsort(term, kind="stable")
-        self.posted_item, self.posted_weight = item[by_term], weight[by_term]
-        known, start = np.unique(term[by_term], return_index=True)
-        self.known, self.start, self.count = known, start, np.diff(np.append(start, len(term)))
-        self.local = np.searchsorted(known, term)
-        self.n = n
-        self.posting = np.repeat(np.arange(len(known)), self.count) * n + self.posted_item
-
-    def scores(self, seed: int) -> np.ndarray:
-        """BM25 of every item of the shard for all distinct terms of the seed."""
-        return self._sum(self.local[self.own[seed] : self.own[seed + 1]])
-
-    def best(self, queries: list[np.ndarray], k: int, unused: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For each query, given as distinct terms that may be another shard's, the k best unused items from its ``first`` on, and their scores; of equal ones the first.
-
-        Terms that many items have are a dense matrix, multiplied with a block of queries at a time; the sums are the same.
-        """
-        heavy = np.flatnonzero(self.count > max(1, self.n // 24))
-        column = np.full(len(self.known) + 1, -1)
-        column[heavy] = np.arange(len(heavy))
-        dense = np.zeros((len(heavy), self.n))
-        for c, t in enumerate(heavy):
-            at = slice(self.start[t], self.start[t] + self.count[t])
-            dense[c, self.posted_item[at]] = self.posted_weight[at]
-        for q in range(0, len(queries), 64):
-            block, low = queries[q : q + 64], int(first[q : q + 64].min())
-            asked, light = np.zeros((len(block), len(heavy))), []
-            for j, terms in enumerate(block):
-                at = np.searchsorted(self.known, terms)
-                at = at[self.known[np.minimum(at, len(self.known) - 1)] == terms] if len(self.known) else at[:0]
-                asked[j, column[at[column[at] >= 0]]] = 1
-                light.append(at[column[at] < 0])
-            both = asked @ dense[:, low:]
-            for j, at in enumerate(light):
-                f = int(first[q + j])
-                scores = ((both[j, f - low :] + self._sum(at, f)[f:]) * unused[f:]).astype(np.float32)
-                items = np.flatnonzero(scores > 0)
-                if len(items) > k:
-                    least = -np.partition(-scores[items], k - 1)[k - 1]
-                    above, equal = items[scores[items] > least], items[scores[items] == least]
-                    items = np.concatenate([above, equal[: k - len(above)]])
-                yield f + items, scores[items]
-
-    def _sum(self, terms: np.ndarray, first: int = 0) -> np.ndarray:
-        if not len(terms):
-            return np.zeros(self.n)
-        start, count = self.start[terms], self.count[terms]
-        if first:
-            skipped = np.searchsorted(self.posting, terms * self.n + first) - start
-            start, count = start + skipped, count - skipped
+                text = text.as_py() or ""
+                data = text.encode() if len(text) * 4 > least else None
+                size = len(data) if data is not None else len(text.encode())
+                whole = None
+                for limit_id, capacity in limits:
+                    if size <= capacity:
+                        whole = whole or counted(text)
+                        add((limit_id, doc_id, 0, 1, 0, size), whole)
+                        continue
+                    pieces = divide(data, capacity)
+                    for i, (s, n) in enumerate(pieces):
+                        add((limit_id, doc_id, i, len(pieces), s, n), counted(data[s : s + n].decode("utf-8", "replace")) if i == len(pieces) - 1 else None)
+                if len(flat) > 4_000_000 or len(rows) > 50_000:
+                    yield _item_batch(rows, offsets, flat, tfs, space)
+                    rows, offsets, flat, tfs = [], [0], [], []
+            if rows:
+                yield _item_batch(rows, offsets, flat, tfs, space)
+
+    return documents.select("doc_id", "text").mapInArrow(cut, ITEMS)
+
+
+def _item_batch(rows: list[tuple], offsets: list, flat: list[int], tfs: list[int], space: Space | None) -> pa.RecordBatch:
+    has = np.array([o is not None for o in offsets[1:]])
+    ends = pa.array(np.maximum.accumulate([o or 0 for o in offsets]), pa.int32())
+    lists = [pa.ListArray.from_arrays(ends, pa.array(v, t)) for v, t in ((flat, pa.int64()), (tfs, pa.int32()))]
+    columns = [pa.array(c, f.type) for c, f in zip(zip(*rows), _ITEMS)]
+    cluster, fit = np.zeros(len(rows), np.int32), np.zeros(len(rows), np.float32)
+    if space is not None:
+        for a in range(0, len(rows), 4096):
+            cluster[a : a + 4096], fit[a : a + 4096] = space.place(pa.RecordBatch.from_arrays([c.slice(a, 4096) for c in lists], ["terms", "tfs"]))
+    row = np.repeat(np.arange(len(rows)), np.diff(ends.to_numpy()))
+    length = np.bincount(row, tfs, len(rows)).astype(np.int64) if tfs else np.zeros(len(rows), np.int64)
+    none = pa.array(~has)
+    nulled = [pa.compute.if_else(none, pa.scalar(None, x.type), x) for x in (pa.array(cluster), pa.array(fit), pa.array(length), *lists)]
+    return pa.RecordBatch.from_arrays([*columns, *nulled], schema=_ITEMS)
+
+
+@dataclass
+class Bm25:
+    idf: np.ndarray  # by entry of the sketch
+    mean_length: float
+
+    @classmethod
+    def of(cls, loose: DataFrame, n: int, length: int) -> Bm25:
+        """Frequencies over all items; at most SKETCH rows reach the driver."""
+        rows = loose.select(F.explode("terms").alias("term")).groupBy(F.col("term").bitwiseAND(F.lit(SKETCH - 1)).alias("entry")).agg(F.count("*").alias("n")).toArrow()
+        df = np.zeros(SKETCH, np.float32)
+        df[rows["entry"].to_numpy()] = rows["n"].to_numpy()
+        return cls(np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32), max(1.0, length / max(1, n)))
+
+    def weights(self, terms: np.ndarray, tfs: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """BM25 weights of terms in items that have so many words."""
+        return self.idf[terms & (SKETCH - 1)] * (tfs * (K1 + 1) / (tfs + K1 * (1 - B + B * length / self.mean_length))).astype(np.float32)
+
+
+# the index
+
+
+class Postings:
+    """An inverted index: for each term the items that have it and their weights."""
+
+    def __init__(self, item: np.ndarray, terms: np.ndarray, weights: np.ndarray, n: int):
+        order = np.argsort(terms, kind="stable")
+        self.item, self.weight, self.n = item[order], weights[order], n
+        self.known, self.start = np.unique(terms[order], return_index=True)
+        self.count = np.diff(np.append(self.start, len(terms)))
+
+    @classmethod
+    def of(cls, t: pa.Table, bm25: Bm25) -> Postings:
+        (offsets, terms), (_, tfs) = _lists(t, "terms"), _lists(t, "tfs")
+        item = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+        length = np.bincount(item, tfs, len(offsets) - 1)
+        return cls(item, terms, bm25.weights(terms, tfs, length[item]), len(offsets) - 1)
+
+    def matches(self, query: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, item, weight) of every posting of the queries' terms."""
+        at, known = _matched(self.known, terms)
+        at, query = at[known], query[known]
+        count = self.count[at]
         before = np.cumsum(count) - count
-        at = np.arange(before[-1] + count[-1]) + np.repeat(start - before, count)
-        return np.bincount(self.posted_item[at], self.posted_weight[at], self.n) if len(at) else np.zeros(self.n)
+        posting = np.arange(count.sum()) + np.repeat(self.start[at] - before, count)
+        return np.repeat(query, count), self.item[posting], self.weight[posting]
+
+    def scores(self, terms: np.ndarray) -> np.ndarray:
+        """BM25 of every item for a seed's distinct terms."""
+        _, item, weight = self.matches(np.zeros(len(terms), np.int64), terms)
+        return np.bincount(item, weight, self.n)
 
 
-def fill(shard: Shard, sizes: np.ndarray, capacity: int) -> list[list[int]]:
-    """The containers of a shard, as lists of items: a seed, its neighbours in the order of their scores, then what else fits."""
+def search_group(queries: pa.Table, items: pa.Table, space: Space, bm25: Bm25, k: int, give_out: bool = False) -> pa.Table:
+    """The k best items of a group for each query: of its shards (``units``) those the query asks, items that fit its room, not the query itself.
+
+    Frequent words are a dense matrix, multiplied with many queries at a time; the others go through the inverted index.
+    give_out: each item to one query only, best scores first, as long as there's room.
+    """
+    if not queries.num_rows or not items.num_rows:
+        return _FOUND.empty_table()
+    items = items.sort_by([("unit", "ascending"), ("doc_id", "ascending")])
+    n, unit, size, doc_id = items.num_rows, items["unit"].to_numpy(), items["n_tokens"].to_numpy(), items["doc_id"].to_numpy()
+    units, first = np.unique(unit, return_index=True)
+    last = np.append(first[1:], n)
+    (offsets, terms), (_, tfs) = _lists(items, "terms"), _lists(items, "tfs")
+    item = np.repeat(np.arange(n), np.diff(offsets))
+    weight = bm25.weights(terms, tfs, np.bincount(item, tfs, n)[item])
+    at, heavy = _matched(space.heavy, terms)
+    dense = np.zeros((n, len(space.heavy)), np.float32)
+    dense[item[heavy], at[heavy]] = weight[heavy]
+    rest = Postings(item[~heavy], terms[~heavy], weight[~heavy], n)
+    by_id = np.argsort(doc_id, kind="stable")
+    out = []
+    for a in range(0, queries.num_rows, 512):
+        q = queries.slice(a, 512)
+        m, (q_offsets, q_terms), (u_offsets, asked) = q.num_rows, _lists(q, "terms"), _lists(q, "units")
+        x = space.asked(q_offsets, q_terms)
+        scores, seen = np.zeros((m, n), np.float32), np.zeros((m, n), bool)
+        pair_row, (pair_unit, there) = np.repeat(np.arange(m), np.diff(u_offsets)), _matched(units, asked)
+        order = np.argsort(pair_unit[there], kind="stable")
+        pair_row, pair_unit = pair_row[there][order], pair_unit[there][order]
+        cuts = np.searchsorted(pair_unit, np.arange(len(units) + 1))
+        for u in np.flatnonzero(np.diff(cuts)):
+            rows, own = pair_row[cuts[u] : cuts[u + 1]], slice(first[u], last[u])
+            scores[rows, own] = x[rows] @ dense[own].T
+            seen[rows, own] = True
+        row, hit, w = rest.matches(np.repeat(np.arange(m), np.diff(q_offsets)), q_terms)
+        asked_for = seen[row, hit]
+        scores += np.bincount(row[asked_for] * n + hit[asked_for], w[asked_for], m * n).reshape(m, n)
+        seed, room = q["doc_id"].to_numpy(), q["room"].to_numpy()
+        scores[~seen | (size[None, :] > room[:, None])] = 0
+        self_at, is_in = _matched(doc_id[by_id], seed)
+        scores[np.flatnonzero(is_in), by_id[self_at[is_in]]] = 0
+        if n > k:
+            best = np.argpartition(-scores, k - 1, axis=1)[:, :k]
+        else:
+            best = np.broadcast_to(np.arange(n), (m, n))
+        got = np.take_along_axis(scores, best, 1)
+        r, c = np.nonzero(got > 0)
+        i = best[r, c]
+        out.append((i, a + r, got[r, c]))
+    i, r, score = (np.concatenate(c) for c in zip(*out))
+    seed, room = queries["doc_id"].to_numpy(), queries["room"].to_numpy()
+    if give_out:
+        order = np.lexsort((seed[r], doc_id[i], -score))
+        kept = order[_given_out(i[order], r[order], size, room)]
+        i, r, score = i[kept], r[kept], score[kept]
+    columns = [np.full(len(r), queries["limit_id"][0].as_py()), doc_id[i], size[i], seed[r], score]
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _FOUND)], schema=_FOUND)
+
+
+def _given_out(item: np.ndarray, query: np.ndarray, size: np.ndarray, room: np.ndarray) -> list[int]:
+    """Of pairs in the order of their worth those that hold if each item goes to one query with room for it."""
+    sizes, rooms, unused, kept = size.tolist(), room.tolist(), [True] * len(size), []
+    for at, (i, q) in enumerate(zip(item.tolist(), query.tolist())):
+        if unused[i] and sizes[i] <= rooms[q]:
+            unused[i] = False
+            rooms[q] -= sizes[i]
+            kept.append(at)
+    return kept
+
+
+def _hash(*columns: str) -> Column:
+    return F.xxhash64(*columns, F.lit("packing"))
+
+
+class Index:
+    """The index of unused items: (limit_id, doc_id, n_tokens, cluster, fit, terms, tfs). Its plan has one row for each shard: at most limits x MOST_CLUSTERS x BANDS."""
+
+    def __init__(self, items: DataFrame, edges: Mapping[int, list[int]], space, bm25, group: int = GROUP, reach: int = REACH):
+        self.spark, self.space, self.bm25 = items.sparkSession, space, bm25
+        self.items = items.withColumn("band", _band(edges))
+        counted = self.items.groupBy("limit_id", "cluster", "band").agg(F.count("*").alias("n"), F.avg("fit").alias("fit")).toArrow()
+        counted = counted.sort_by([("limit_id", "ascending"), ("cluster", "ascending"), ("band", "ascending")])
+        self.limit, self.cluster, self.band, self.n, self.fit = (counted[c].to_numpy() for c in ("limit_id", "cluster", "band", "n", "fit"))
+        self.low = np.array([[0, *edges[v]][b] for v, b in zip(self.limit.tolist(), self.band.tolist())], np.int64)
+        self.pieces = -(-self.n // group)
+        self.group0, at, held, before = np.zeros(len(self.n), np.int64), -1, 0, None
+        for i, (v, n, p) in enumerate(zip(self.limit.tolist(), self.n.tolist(), self.pieces.tolist())):
+            if v != before or p > 1 or held + n > group:
+                at, held, before = at + 1, 0, v
+            self.group0[i] = at
+            if p > 1:
+                at, held = at + p - 1, group
+            held += n
+        self.reach = {int(v): max(LEAST_REACH, math.ceil(reach * math.sqrt(self.n[self.limit == v].sum()))) for v in np.unique(self.limit)}
+
+    def _routes(self):
+        """What a task needs to send seeds to shards."""
+        keep = ("limit", "cluster", "n", "fit", "low", "pieces", "group0", "reach")
+        return {c: getattr(self, c) for c in keep}
+
+    def search(self, queries: DataFrame, k: int, block: int = BLOCK, give_out: bool = False) -> DataFrame:
+        """Rows of FOUND: for each of the queries (limit_id, doc_id, room, terms) its k best items of every group it asks, which hold the k best of all it asks.
+
+        give_out: every task gives its items out, each to one query.
+        """
+        sent, space, bm25 = self.spark.sparkContext.broadcast(self._routes()), self.space, self.bm25
+
+        def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for a in range(0, batch.num_rows, 1024):
+                    yield from _route(batch.slice(a, 1024), sent.value, Space(**space.value))
+
+        routed = materialize(queries.select("limit_id", "doc_id", "room", "terms").mapInArrow(route, "group long, limit_id int, doc_id long, room long, terms array<long>, units array<int>"), "routed")
+        blocks = routed.groupBy("group").agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks"))
+        plan = self.spark.createDataFrame(pa.table({"limit_id": pa.array(self.limit, pa.int32()), "cluster": pa.array(self.cluster, pa.int32()), "band": pa.array(self.band, pa.int32()), "unit": pa.array(np.arange(len(self.n)), pa.int32()), "_group0": pa.array(self.group0), "_pieces": pa.array(self.pieces)}))
+        held = self.items.join(F.broadcast(plan), ["limit_id", "cluster", "band"]).withColumn("group", F.col("_group0") + F.pmod(_hash("doc_id"), F.col("_pieces")))
+        held = held.select("group", "doc_id", "n_tokens", "unit", "terms", "tfs").join(blocks, "group").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).drop("_blocks")
+        asking = routed.join(blocks, "group").withColumn("block", F.pmod(_hash("doc_id"), F.col("_blocks")).cast("int")).drop("_blocks")
+        by = ["group", "block"]
+        return asking.groupBy(*by).cogroup(held.groupBy(*by)).applyInArrow(lambda q, t: search_group(q, t, Space(**space.value), Bm25(**bm25.value), k, give_out), FOUND)
+
+
+def _band(edges: Mapping[int, list[int]]) -> Column:
+    """The band of an item by its size, from the lower bounds of all bands but the first."""
+    out = F.lit(0)
+    for limit_id, bounds in edges.items():
+        above = sum(((F.col("n_tokens") >= e).cast("int") for e in bounds), F.lit(0))
+        out = F.when(F.col("limit_id") == limit_id, above).otherwise(out)
+    return out.cast("int")
+
+
+def _route(batch: pa.RecordBatch, r: dict, space: Space) -> Iterator[pa.RecordBatch]:
+    """Each seed once for every group it asks, with the shards it asks there."""
+    offsets, terms = _lists(batch, "terms")
+    affinity = space.asked(offsets, terms) @ space.centres.T
+    limits, ids, rooms = (batch[c].to_numpy() for c in ("limit_id", "doc_id", "room"))
+    for v in np.unique(limits).tolist():
+        rows, units = np.flatnonzero(limits == v), np.flatnonzero(r["limit"] == v)
+        if not len(units):
+            continue
+        promise = affinity[rows][:, r["cluster"][units]] * r["fit"][units].astype(np.float32) + np.float32(1e-9)  # a seed without frequent words may ask any
+        promise[r["low"][units][None, :] > rooms[rows][:, None]] = 0
+        order = np.argsort(-promise, axis=1, kind="stable")
+        n = r["n"][units][order]
+        before = np.cumsum(n, axis=1) - n
+        reach = (r["reach"][v] * np.clip(FEW_WORDS / np.maximum(1, np.diff(offsets)[rows]), 1, MOST_MORE)).astype(np.int64)
+        row, at = np.nonzero((before < reach[:, None]) & (np.take_along_axis(promise, order, 1) > 0))
+        unit, wanted = units[order[row, at]], reach[row] - before[row, at]
+        # of a shard cut into several groups so many as the seed still wants, beginning anywhere
+        pieces = r["pieces"][unit]
+        some = np.minimum(pieces, -(-wanted * pieces // r["n"][unit]))
+        step = np.arange(some.sum()) - np.repeat(np.cumsum(some) - some, some)
+        row, unit, pieces = np.repeat(row, some), np.repeat(unit, some), np.repeat(pieces, some)
+        group = r["group0"][unit] + (ids[rows[row]] + step) % pieces
+        order = np.lexsort((unit, group, row))
+        row, group, unit = row[order], group[order], unit[order]
+        starts = np.flatnonzero(np.r_[True, (np.diff(row) != 0) | (np.diff(group) != 0)]) if len(row) else np.zeros(0, np.int64)
+        seed = pa.array(rows[row[starts]])
+        lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(row)), pa.int32()), pa.array(unit, pa.int32()))
+        yield pa.RecordBatch.from_arrays([pa.array(group[starts], pa.int64()), *(batch[c].take(seed) for c in ("limit_id", "doc_id", "room", "terms")), lists], ["group", "limit_id", "doc_id", "room", "terms", "units"])
+
+
+def nearest(items: DataFrame, queries: DataFrame, edges, space, bm25, k: int, **settings) -> DataFrame:
+    """(limit_id, seed, doc_id, n_tokens, score): the k best items of each query, as the index finds them."""
+    best = Window.partitionBy("limit_id", "seed").orderBy(F.desc("score"), "doc_id")
+    found = Index(items, edges, space, bm25, **settings).search(queries, k)
+    return found.withColumn("_rank", F.row_number().over(best)).filter(F.col("_rank") <= k).drop("_rank")
+
+
+# filling
+
+
+def fill(index: Postings, sizes: np.ndarray, terms: list[np.ndarray], capacity: int, opened: list[tuple[np.ndarray, int]] = ()) -> tuple[list[list[int]], list[list[int]]]:
+    """What each container already open, given by its seed's terms and its room, takes, and the containers of the items left, whose seed is the largest.
+
+    A container takes the unused items that fit in the order of their scores, then the largest that fit.
+    """
     order = np.argsort(-sizes, kind="stable")
     ranked = sizes[order]
-    unused, free = np.ones(len(sizes), bool), np.ones(len(sizes), bool)  # by item, and by rank of size
-    rank = np.empty(len(sizes), np.int64)
-    rank[order] = np.arange(len(sizes))
-    out: list[list[int]] = []
-    for seed in order:
-        if not unused[seed]:
-            continue
-        unused[seed] = free[rank[seed]] = False
-        room, inside = capacity - int(sizes[seed]), [int(seed)]
-        if (fits := np.flatnonzero(unused & (sizes <= room))).size:
-            scores = shard.scores(seed)[fits].astype(np.float32)  # sums in another order are equal
-            near = fits[np.argsort(-scores, kind="stable")][: int((scores > 0).sum())]
-            room = _take(near, sizes, room, inside, unused, free, rank)
-            rest = order[np.searchsorted(-ranked, -room) :] if room >= 0 else order[:0]
-            _take(rest[unused[rest]], sizes, room, inside, unused, free, rank)
-        out.append(inside)
-    return out
-
+    unused = np.ones(len(sizes), bool)
 
-def _take(near: np.ndarray, sizes: np.ndarray, room: int, inside: list[int], unused: np.ndarray, free: np.ndarray, rank: np.ndarray) -> int:
-    """Put the items, in their order, wherever they still fit; the room left."""
-    while near.size:
-        upto = np.cumsum(sizes[near])
-        k = int(np.searchsorted(upto, room, "right"))
-        if k:
-            got = near[:k]
+    def take(near: np.ndarray, room: int, inside: list[int]) -> int:
+        while near.size:
+            upto = np.cumsum(sizes[near])
+            got = near[: int(np.searchsorted(upto, room, "right"))]
             unused[got] = False
-            free[rank[got]] = False
             inside += got.tolist()
-            room -= int(upto[k - 1])
-        near = near[k:]
-        near = near[sizes[near] <= room]
-    return room
-
-
-def _terms(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Offsets and values of the terms of rows."""
-    terms = t["terms"].combine_chunks()
-    if isinstance(terms, pa.ChunkedArray):
-        terms = pa.concat_arrays(terms.chunks)
-    return np.concatenate([[0], np.cumsum(np.diff(terms.offsets.to_numpy()))]), terms.flatten().to_numpy(zero_copy_only=False)
-
-
-def search(loose: DataFrame, queries: list[np.ndarray], first: np.ndarray, used: bytes, k: int, idf, mean_length: float, shard_items: int) -> DataFrame:
-    """(query, number, score): for each query, given as distinct terms, the k items of all shards that score best of those unused and numbered from its ``first`` on."""
-    sent = loose.sparkSession.sparkContext.broadcast((queries, first, used))
-
-    def search_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries, first, used = sent.value
-        taken = np.frombuffer(used, np.uint8)
-
-        def found(t: pa.Table) -> pa.RecordBatch:
-            t = t.sort_by("number")
-            number, shard = t["number"].to_numpy(), Shard(*_terms(t), idf.value, mean_length)
-            unused = taken[number] == 0
-            rows = list(shard.best(queries, k, unused, np.searchsorted(number, first)))
-            query = np.repeat(np.arange(len(rows), dtype=np.int32), [len(i) for i, _ in rows])
-            items, scores = (np.concatenate(x) for x in zip(*rows))
-            return pa.RecordBatch.from_arrays([pa.array(query), pa.array(number[items], pa.int64()), pa.array(scores, pa.float32())], ["query", "number", "score"])
-
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            while batch.num_rows:
-                some = batch.slice(0, shard_items - sum(b.num_rows for b in held))
-                held, batch = [*held, some], batch.slice(some.num_rows)
-                if sum(b.num_rows for b in held) == shard_items:
-                    yield found(pa.Table.from_batches(held))
-                    held = []
-        if held:
-            yield found(pa.Table.from_batches(held))
-
-    rows = loose.select("number", "terms").mapInArrow(search_shards, "query int, number long, score float")
-    best = Window.partitionBy("query").orderBy(F.desc("score"), "number")
-    return rows.withColumn("_rank", F.row_number().over(best)).filter(F.col("_rank") <= k).drop("_rank")
-
-
-class Sizes:
-    """Sizes of items that are numbered from the largest down, from how many there are of each."""
-
-    def __init__(self, counts: dict[int, int], capacity: int):
-        self.sizes = np.array(sorted(counts, reverse=True), np.int64)
-        self.ends = np.cumsum([counts[s] for s in self.sizes.tolist()])
-        starts = np.concatenate([[0], self.ends])
-        #: for each room the first item that fits
-        self.first = starts[np.searchsorted(-self.sizes, -np.arange(capacity + 1))]
-
-    def of(self, numbers: np.ndarray) -> np.ndarray:
-        return self.sizes[np.searchsorted(self.ends, numbers, "right")]
-
-
-def _pack_in_rounds(loose: DataFrame, n: int, capacity: int, idf, mean_length: float, shard_items: int, seeds: int) -> DataFrame:
-    """(number, container_no, position, container_tokens) of all items, numbered from the largest down."""
-    spark = loose.sparkSession
-    sizes = Sizes({r[0]: r[1] for r in loose.groupBy("n_tokens").count().collect()}, capacity)  # at most a row for each size up to the capacity
-    path, used, containers, at = work_path(spark, "containers"), bytearray(n), 0, 0
-    waiting: list[tuple[list[int], int, np.ndarray]] = []  # items of an open container, room, terms of its seed
-    while waiting or used.find(0, at) >= 0:
-        new: list[int] = []
-        while len(waiting) + len(new) < seeds and (at := used.find(0, at)) >= 0:
-            new.append(at)
-            at += 1
-        at = n if at < 0 else at
-        rows = loose.join(F.broadcast(spark.createDataFrame(pa.table({"number": pa.array(new, pa.int64())}))), "number").select("number", "terms").toArrow() if new else None
-        terms = {}
-        if rows:
-            offsets, flat = _terms(rows)
-            terms = {i: np.unique(flat[a:b]) for i, a, b in zip(rows["number"].to_pylist(), offsets, offsets[1:])}
-        asked = [*waiting, *(([i], capacity - s, terms[i]) for i, s in zip(new, sizes.of(np.array(new, np.int64)).tolist()))]
-        k = max(NEIGHBOURS, seeds * NEIGHBOURS // len(asked))
-        found = search(loose, [q for _, _, q in asked], sizes.first[[room for _, room, _ in asked]], bytes(used), k, idf, mean_length, shard_items).toArrow()
-        query, number, score = (found[c].to_numpy() for c in ("query", "number", "score"))
-        order = np.lexsort((number, -score, query))
-        number, cuts = number[order], np.searchsorted(query[order], np.arange(len(asked) + 1))
-        size = sizes.of(number)
-        full: list[tuple[list[int], int]] = []
-        opened, waiting = len(waiting), []
-        for j, (inside, room, q) in enumerate(asked):
-            if j >= opened:
-                if used[inside[0]]:
-                    continue
-                used[inside[0]] = 1
-            for i, s in zip(number[cuts[j] : cuts[j + 1]].tolist(), size[cuts[j] : cuts[j + 1]].tolist()):
-                if s <= room and not used[i]:
-                    used[i] = 1
-                    inside.append(i)
-                    room -= s
-            i = used.find(0, int(sizes.first[room]))
-            if i >= 0 and cuts[j + 1] - cuts[j] == k:
-                waiting.append((inside, room, q))
-                continue
-            while i >= 0:
-                used[i] = 1
-                inside.append(i)
-                room -= int(sizes.of(np.array([i]))[0])
-                i = used.find(0, max(i + 1, int(sizes.first[room])))
-            full.append((inside, capacity - room))
-        if full:
-            lengths = [len(inside) for inside, _ in full]
-            table = pa.table({
-                "number": pa.array([i for inside, _ in full for i in inside], pa.int64()), "container_no": pa.array(np.repeat(np.arange(containers, containers + len(full)), lengths)),
-                "position": pa.array([p for m in lengths for p in range(m)], pa.int32()), "container_tokens": pa.array(np.repeat([t for _, t in full], lengths), pa.int64()),
-            })
-            spark.createDataFrame(table).coalesce(1).write.mode("append").parquet(path)
-            containers += len(full)
-    return spark.read.schema("number long, container_no long, position int, container_tokens long").parquet(path)
-
-
-def pack(documents: DataFrame, capacity: int, shard_items: int = SHARD_ITEMS, seeds: int = SEEDS) -> DataFrame:
-    """Rows of PACKED: every piece of every document with its container, its place there and the room the container leaves unused.
+            room -= int(sizes[got].sum())
+            near = near[len(got) :]
+            near = near[sizes[near] <= room]
+        return room
+
+    def close(asked: np.ndarray, room: int, inside: list[int]) -> list[int]:
+        fits = order[np.searchsorted(-ranked, -room) :]
+        fits = fits[unused[fits]]
+        if fits.size:
+            scores = index.scores(asked)[fits].astype(np.float32)  # sums in another order are equal
+            near = fits[np.lexsort((fits, -scores))][: int((scores > 0).sum())]
+            room = take(near, room, inside)
+            take(fits[unused[fits] & (sizes[fits] <= room)], room, inside)
+        return inside
+
+    before = [close(asked, room, []) for asked, room in opened]
+    new = []
+    for seed in order.tolist():
+        if unused[seed]:
+            unused[seed] = False
+            new.append(close(terms[seed], capacity - int(sizes[seed]), [seed]))
+    return before, new
+
+
+def _fill_part(t: pa.Table, capacities: Mapping[int, int], bm25: Bm25, last_round: int) -> pa.Table:
+    """Rows of _TAKEN for the items of a part; rows with a room are containers already open."""
+    limit_id = t["limit_id"][0].as_py()
+    t = t.sort_by([("n_tokens", "descending"), ("doc_id", "ascending")])
+    is_open = np.array(t["room"].is_valid())
+    opened, items = t.filter(pa.array(is_open)).sort_by([("room", "descending"), ("doc_id", "ascending")]), t.filter(pa.array(~is_open))
+    lists = lambda t: (lambda offsets, flat: [flat[a:b] for a, b in zip(offsets, offsets[1:])])(*_lists(t, "terms"))
+    sizes, ids = items["n_tokens"].to_numpy(), items["doc_id"].to_numpy()
+    before, new = fill(Postings.of(items, bm25), sizes, lists(items), capacities[limit_id], list(zip(lists(opened), opened["room"].to_pylist())))
+    both = [*zip(opened["doc_id"].to_pylist(), before), *((int(ids[c[0]]), c) for c in new)]
+    item = np.array([i for _, c in both for i in c], np.int64)
+    lengths = [len(c) for _, c in both]
+    columns = [np.full(len(item), limit_id), ids[item], np.repeat(np.array([s for s, _ in both], np.int64), lengths), np.full(len(item), last_round), [p for n in lengths for p in range(n)], sizes[item]]
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _TAKEN)], schema=_TAKEN)
+
+
+def bounds_of(counts: Counter) -> list[int]:
+    """Sizes at which bands of about equally many items begin, but for the first band."""
+    sizes = [s for s in sorted(counts) if s and counts[s] > 0]
+    if not sizes:
+        return []
+    upto = np.cumsum([counts[s] for s in sizes])
+    return sorted({sizes[int(np.searchsorted(upto, upto[-1] * b / BANDS))] for b in range(1, BANDS)})
+
+
+@dataclass
+class Start:
+    """The seeds of a limit, as the least size of one and the share of the items of that size, and the bounds of the bands of the others."""
+
+    size: int
+    share: float
+    edges: list[int]
+
+    @classmethod
+    def of(cls, counts: dict[int, int], capacity: int) -> Start:
+        left = -(-sum(s * n for s, n in counts.items()) // capacity)  # containers needed for all tokens
+        at, others = 0, Counter(counts)
+        share = 0.0
+        for s in sorted(counts, reverse=True):
+            if left <= 0 or not s:
+                break
+            at, share = s, min(1.0, left / counts[s])
+            others[s] -= round(share * counts[s])
+            left -= counts[s]
+        return cls(at, share, bounds_of(others))
+
+    def is_seed(self) -> Column:
+        some = F.pmod(_hash("doc_id"), F.lit(1 << 20)) < F.lit(int(self.share * (1 << 20)))
+        return (F.col("n_tokens") > self.size) | ((F.col("n_tokens") == self.size) & some) if self.size else F.lit(False)
+
+
+def _greedy(best_first: Column, room: Column) -> Column:
+    """The elements (doc_id, n_tokens) of an array that fit a room one after the other, those that don't being passed over."""
+    none = F.array().cast("array<struct<doc_id:bigint,n_tokens:bigint>>")
+    one = lambda x: F.array(F.struct(x["doc_id"].alias("doc_id"), x["n_tokens"].alias("n_tokens")))
+    step = lambda a, x: F.when(x["n_tokens"] <= a["room"], F.struct((a["room"] - x["n_tokens"]).alias("room"), F.concat(a["got"], one(x)).alias("got"))).otherwise(a)
+    return F.aggregate(best_first, F.struct(room.cast("bigint").alias("room"), none.alias("got")), step)["got"]
+
+
+def pack(documents: DataFrame, capacities: Mapping[int, int], *, rounds: int = ROUNDS, neighbours: int = NEIGHBOURS, group: int = GROUP, block: int = BLOCK, part: int = PART) -> DataFrame:
+    """Rows of PACKED: for each limit (limit_id: capacity) every piece of every document with its container, its place there and the room the container leaves unused.
 
     documents: (doc_id, text), doc_id unique and not null; other columns don't matter. A null or empty text takes no room and lies in
     some container. Only texts above the capacity have more than one piece, in ascending start_token; a piece never breaks a
-    character. start_token and n_tokens place a piece in its text. No documents, no containers.
+    character. start_token and n_tokens place a piece in its text. No documents or capacities, no containers. The driver holds a histogram
+    of sizes (at most one entry for each size up to the capacities), the plan of the shards and the sample.
     """
     spark = documents.sparkSession
-    items, many = items_of(documents, capacity), documents.count() > shard_items  # each document has one item that isn't a full piece
-    if many:
-        last = items.filter("piece_no = pieces - 1").select("doc_id", (-F.col("n_tokens")).alias("_size"))
-        items = items.join(numbered(last, ["_size", "doc_id"], "number").select("doc_id", "number"), "doc_id")
-    items = materialize(items, "items")
-    df, n, mean_length = document_frequencies(items)
-    idf = spark.sparkContext.broadcast(np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32))
-
-    def fill_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        batches = [b for b in batches if b.num_rows]
-        if not batches:
-            return
-        t = pa.Table.from_batches(batches).sort_by([("n_tokens", "descending"), ("doc_id", "ascending")])
-        sizes = t["n_tokens"].to_numpy()
-        containers = fill(Shard(*_terms(t), idf.value, mean_length), sizes, capacity)
-        item = np.array([i for c in containers for i in c], np.int64)
-        no = np.repeat(np.arange(len(containers)), [len(c) for c in containers])
-        filled = np.bincount(no, sizes[item]).astype(np.int64)[no]
-        got = t.select(["doc_id", "piece_no", "pieces", "start_token", "n_tokens"]).take(item)
-        first = np.concatenate([[0], np.flatnonzero(np.diff(no)) + 1])
-        columns = [
-            pa.array([f"c{i}" for i in no]), pa.array((np.arange(len(no)) - first[no]).astype(np.int32)), *got.columns,
-            pa.array(filled), pa.array(capacity - filled),
-        ]
-        yield from pa.Table.from_arrays(columns, schema=_PACKED).to_batches(max_chunksize=10_000)
-
-    packed = ["doc_id", "piece_no", "pieces", "start_token", "n_tokens"]
+    if not capacities:
+        return spark.createDataFrame([], PACKED)
+    documents = documents.select("doc_id", "text")
+    n_documents = documents.count()
+    asked = max(1, SAMPLE // len(capacities))
+    some = documents if n_documents <= asked else documents.filter(F.pmod(_hash("doc_id"), F.lit(1 << 30)) < F.lit(int(asked / n_documents * (1 << 30)))).limit(2 * asked)
+    sample = items_of(some, capacities).filter("terms is not null").select("terms", "tfs").toArrow()
+    fitted = Space.fit(sample, min(MOST_CLUSTERS, max(1, math.isqrt(n_documents) // 2)))
+    items = materialize(items_of(documents, capacities, fitted), "items")
     loose = items.filter("terms is not null")
-    unused = (F.lit(capacity) - F.col("container_tokens")).alias("unused")
-    if many:
-        placed = loose.join(_pack_in_rounds(loose, n, capacity, idf, mean_length, shard_items, seeds), "number")
-        placed = placed.select(F.concat(F.lit("c"), "container_no").alias("container_id"), "position", *packed, "container_tokens", unused)
-    else:
-        placed = loose.select(*packed, "terms").repartition(1).mapInArrow(fill_shard, PACKED)
-    full = items.filter("terms is null").withColumn("container_tokens", F.col("n_tokens")).select(
-        F.concat(F.lit("f"), "doc_id", F.lit("-"), "piece_no").alias("container_id"), F.lit(0).alias("position"), *packed, "container_tokens", unused
+    counts: dict[int, dict[int, int]] = {v: {} for v in capacities}
+    n, length = 0, 0
+    for r in loose.groupBy("limit_id", "n_tokens").agg(F.count("*").alias("n"), F.sum("length").alias("length")).collect():
+        counts[r.limit_id][r.n_tokens], n, length = r.n, n + r.n, length + r.length
+    # as plain values: executors don't have this package
+    space, bm25 = (spark.sparkContext.broadcast(vars(x)) for x in (fitted, Bm25.of(loose, n, length)))
+    starts = {v: Start.of(c, capacities[v]) for v, c in counts.items()}
+    edges = {v: s.edges for v, s in starts.items()}
+    per_limit = lambda f: F.coalesce(*[F.when(F.col("limit_id") == v, f(v)) for v in capacities])
+    loose = loose.withColumn("seed", per_limit(lambda v: starts[v].is_seed()))
+    seeds = loose.filter("seed").withColumn("_capacity", per_limit(lambda v: F.lit(capacities[v])).cast("long"))
+    taken: DataFrame | None = None
+    for r in range(1, rounds + 1):
+        open_now, free = _open(seeds, taken), _free(loose, taken)
+        index = Index(free, edges, space, bm25, group)
+        if not len(index.n):
+            break
+        found = index.search(open_now, neighbours, block, give_out=True)
+        won = found.groupBy("limit_id", "doc_id").agg(F.max_by(F.struct("seed", "score", "n_tokens"), F.struct("score", -F.col("seed"))).alias("w")).select("limit_id", F.col("w.seed").alias("doc_id"), F.struct((-F.col("w.score")).alias("s"), "doc_id", F.col("w.n_tokens").alias("n_tokens")).alias("x"))
+        lists = won.groupBy("limit_id", "doc_id").agg(F.array_sort(F.collect_list("x")).alias("won"))
+        got = lists.join(open_now.select("limit_id", "doc_id", "room"), ["limit_id", "doc_id"]).select("limit_id", F.col("doc_id").alias("container"), F.posexplode(_greedy(F.col("won"), F.col("room"))).alias("rank", "x"))
+        got = materialize(got.select("limit_id", "x.doc_id", "container", F.lit(r).alias("round"), "rank", "x.n_tokens"), "taken")
+        if got.isEmpty():
+            break
+        taken = got if taken is None else taken.unionByName(got)
+    # what is left, with the containers still open
+    cols = ["limit_id", "doc_id", "n_tokens", "room", "terms", "tfs"]
+    left = _open(seeds, taken).select(*cols).unionByName(_free(loose, taken, False).withColumn("room", F.lit(None).cast("long")).select(*cols))
+    parts = {v: max(1, -(-sum(c.values()) // part)) for v, c in counts.items()}
+    left = left.withColumn("part", F.pmod(_hash("doc_id"), per_limit(lambda v: F.lit(parts[v]))))
+    last = left.groupBy("limit_id", "part").applyInArrow(lambda t: _fill_part(t, capacities, Bm25(**bm25.value), rounds + 1), TAKEN)
+    own = seeds.select("limit_id", "doc_id", F.col("doc_id").alias("container"), F.lit(0).alias("round"), F.lit(0).alias("rank"), "n_tokens")
+    whole = own.unionByName(materialize(last, "last"))
+    return _containers(items, whole if taken is None else whole.unionByName(taken), per_limit(lambda v: F.lit(capacities[v])).cast("long"))
+
+
+def _open(seeds: DataFrame, taken: DataFrame | None) -> DataFrame:
+    """Seeds whose containers have room, with it."""
+    room = F.col("_capacity") - F.col("n_tokens")
+    if taken is not None:
+        used = taken.groupBy("limit_id", F.col("container").alias("doc_id")).agg(F.sum("n_tokens").alias("_used"))
+        seeds, room = seeds.join(used, ["limit_id", "doc_id"], "left"), room - F.coalesce("_used", F.lit(0))
+    return seeds.withColumn("room", room).filter("room > 0")
+
+
+def _free(loose: DataFrame, taken: DataFrame | None, with_words: bool = True) -> DataFrame:
+    """Unused items; for the index, those that have words."""
+    free = loose.filter("not seed")
+    free = free.filter("length > 0") if with_words else free
+    return free if taken is None else free.join(taken.select("limit_id", "doc_id"), ["limit_id", "doc_id"], "left_anti")
+
+
+def _containers(items: DataFrame, taken: DataFrame, capacity: Column) -> DataFrame:
+    by = Window.partitionBy("limit_id", "container")
+    placed = taken.select(
+        "limit_id", "doc_id", F.concat(F.lit("c"), "container").alias("container_id"), (F.row_number().over(by.orderBy("round", "rank", "doc_id")) - 1).alias("position"), F.sum("n_tokens").over(by).alias("container_tokens")
     )
-    return placed.unionByName(full)
+    loose = items.filter("terms is not null").select("limit_id", "doc_id", "piece_no", "pieces", "start_token", "n_tokens").join(placed, ["limit_id", "doc_id"])
+    full = items.filter("terms is null").withColumns({"container_id": F.concat(F.lit("f"), "doc_id", F.lit("-"), "piece_no"), "position": F.lit(0), "container_tokens": F.col("n_tokens")})
+    columns = ["limit_id", "container_id", "position", "doc_id", "piece_no", "pieces", "start_token", "n_tokens", "container_tokens", (capacity - F.col("container_tokens")).alias("unused")]
+    return loose.select(*columns).unionByName(full.select(*columns))
 
 
 def with_texts(packed: DataFrame, documents: DataFrame) -> DataFrame:

@@ -25,16 +25,13 @@ def _limits(spark: SparkSession, d: str, purpose: str) -> list[Limit]:
 
 
 def _packed(spark: SparkSession, d: str) -> DataFrame:
-    out = None
-    for limit in _limits(spark, d, "pack"):
-        one = pack(_table(spark, d, "documents"), limit.max_tokens).select(F.lit(limit.limit_id).alias("limit_id"), "*")
-        out = one if out is None else out.unionByName(one)
-    return out
+    return pack(_table(spark, d, "documents"), {limit.limit_id: limit.max_tokens for limit in _limits(spark, d, "pack")})
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    """The texts that were divided: those with a second piece in some container."""
-    return _packed(spark, d).filter("piece_no = 1").select("limit_id", "doc_id")
+    """The texts that were divided: those whose pieces lie in more than one container."""
+    held = _packed(spark, d).groupBy("limit_id", "doc_id").agg(F.min("container_id").alias("a"), F.max("container_id").alias("b"))
+    return held.filter("a != b").select("limit_id", "doc_id")
 
 
 def p6_containers(spark: SparkSession, d: str) -> DataFrame:
