@@ -55,14 +55,18 @@ def work_path(spark: SparkSession, label: str) -> str:
 def _clean(spark: SparkSession, path: str) -> None:
     """Best effort: what is left if the driver is killed is a folder that nobody reads."""
     try:
-        jvm = spark._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(path)
-        folder.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(folder, True)
+        _remove(spark, path)
     except Exception:
         if path.startswith(("file:", "/")):
             shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), True)
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
 def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     """Cut the lineage of df: write it to the shared folder and read it again.
 
@@ -72,7 +76,16 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = work_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._lakeloom_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove tables that materialize wrote, once nothing lazy reads them any more."""
+    for df in tables:
+        if path := getattr(df, "_lakeloom_path", None):
+            _remove(df.sparkSession, path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
