@@ -15,9 +15,9 @@ but some. Clusters are fitted on a bounded sample of
 SAMPLE texts; every item is indexed. Shards are searched in groups of about GROUP items: larger ones are cut by a hash, and a group
 that many seeds ask is searched by several tasks, each for about BLOCK of them.
 
-**Terms** are words under 64-bit hashes, so different words don't match each other. Only document frequencies, counted over all items, are
-in a vector of SKETCH entries, which keeps what tasks get at 4 MB whatever the size of the corpus; words that share an entry share
-their frequency.
+**Terms** are words under 32-bit hashes: of V different words about V ** 2 / 2 ** 33 pairs match each other, one pair of 90,000 words, a
+thousandth of 10 million. Document frequencies, counted over all items, are in a vector of SKETCH entries, which keeps what tasks get
+at 4 MB whatever the size of the corpus; words that share an entry share their frequency.
 """
 
 from __future__ import annotations
@@ -35,24 +35,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeloom.llm.sizes import char_start
-from lakeloom.session import materialize
+from lakeloom.session import materialize, release
 
 SKETCH = 1 << 20
 SAMPLE, MOST_CLUSTERS, MOST_HEAVY = 8192, 512, 1024
 BANDS, REACH, LEAST_REACH = 8, 16, 1024
 FEW_WORDS, MOST_MORE = 128, 16  # a seed of fewer words reaches so many times as far as it has fewer, up to MOST_MORE times
-GROUP, BLOCK, PART = 8192, 4096, 16_384
+GROUP, BLOCK, PART = 32_768, 4096, 16_384
 NEIGHBOURS, ROUNDS = 64, 3
 K1, B = 1.2, 0.75
+MOST_TIMES = 32_767  # a word counts no oftener in a text; its weight changes by less than a ten thousandth beyond
 #: Scripts written without blanks, in which each character is a word.
 _ALONE = "぀-ヿ㐀-䶿一-鿿豈-﫿"
 WORD = re.compile(rf"[{_ALONE}]|[^\W{_ALONE}]+")
 PACKED = "limit_id int, container_id string, position int, doc_id long, piece_no int, pieces int, start_token long, n_tokens long, container_tokens long, unused long"
-ITEMS = "limit_id int, doc_id long, piece_no int, pieces int, start_token long, n_tokens long, cluster int, fit float, length long, terms array<long>, tfs array<int>"
+ITEMS = "limit_id int, doc_id long, piece_no int, pieces int, start_token long, n_tokens long, cluster int, fit float, length long, terms array<int>, tfs array<short>"
 TAKEN = "limit_id int, doc_id long, container long, round int, rank int, n_tokens long"
 _ITEMS = pa.schema([
     ("limit_id", pa.int32()), ("doc_id", pa.int64()), ("piece_no", pa.int32()), ("pieces", pa.int32()), ("start_token", pa.int64()), ("n_tokens", pa.int64()),
-    ("cluster", pa.int32()), ("fit", pa.float32()), ("length", pa.int64()), ("terms", pa.list_(pa.int64())), ("tfs", pa.list_(pa.int32())),
+    ("cluster", pa.int32()), ("fit", pa.float32()), ("length", pa.int64()), ("terms", pa.list_(pa.int32())), ("tfs", pa.list_(pa.int16())),
 ])
 _TAKEN = pa.schema([("limit_id", pa.int32()), ("doc_id", pa.int64()), ("container", pa.int64()), ("round", pa.int32()), ("rank", pa.int32()), ("n_tokens", pa.int64())])
 FOUND = "limit_id int, doc_id long, n_tokens long, seed long, score float"
@@ -72,7 +73,7 @@ def divide(data: bytes, capacity: int) -> list[tuple[int, int]]:
 
 
 def term_of(word: str) -> int:
-    return int.from_bytes(blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+    return int.from_bytes(blake2b(word.encode("utf-8", "surrogatepass"), digest_size=4).digest(), "little", signed=True)
 
 
 def words_of(text: str) -> list[str]:
@@ -180,7 +181,7 @@ def items_of(documents: DataFrame, capacities: Mapping[int, int], space: Space |
             for w in found:
                 if w not in ids:
                     ids[w] = term_of(w)
-            return [ids[w] for w in found], list(found.values())
+            return [ids[w] for w in found], [min(n, MOST_TIMES) for n in found.values()]
 
         for batch in batches:
             rows: list[tuple] = []  # as _ITEMS up to n_tokens
@@ -218,7 +219,7 @@ def items_of(documents: DataFrame, capacities: Mapping[int, int], space: Space |
 def _item_batch(rows: list[tuple], offsets: list, flat: list[int], tfs: list[int], space: Space | None) -> pa.RecordBatch:
     has = np.array([o is not None for o in offsets[1:]])
     ends = pa.array(np.maximum.accumulate([o or 0 for o in offsets]), pa.int32())
-    lists = [pa.ListArray.from_arrays(ends, pa.array(v, t)) for v, t in ((flat, pa.int64()), (tfs, pa.int32()))]
+    lists = [pa.ListArray.from_arrays(ends, pa.array(v, t)) for v, t in ((flat, pa.int32()), (tfs, pa.int16()))]
     columns = [pa.array(c, f.type) for c, f in zip(zip(*rows), _ITEMS)]
     cluster, fit = np.zeros(len(rows), np.int32), np.zeros(len(rows), np.float32)
     if space is not None:
@@ -246,7 +247,7 @@ class Bm25:
 
     def weights(self, terms: np.ndarray, tfs: np.ndarray, length: np.ndarray) -> np.ndarray:
         """BM25 weights of terms in items that have so many words."""
-        return self.idf[terms & (SKETCH - 1)] * (tfs * (K1 + 1) / (tfs + K1 * (1 - B + B * length / self.mean_length))).astype(np.float32)
+        return self.idf[terms & (SKETCH - 1)] * (tfs * np.float64(K1 + 1) / (tfs + K1 * (1 - B + B * length / self.mean_length))).astype(np.float32)
 
 
 # the index
@@ -303,35 +304,45 @@ def search_group(queries: pa.Table, items: pa.Table, space: Space, bm25: Bm25, k
     dense[item[heavy], at[heavy]] = weight[heavy]
     rest = Postings(item[~heavy], terms[~heavy], weight[~heavy], n)
     by_id = np.argsort(doc_id, kind="stable")
+    # queries that ask the same shards are looked at together, and only the items of those shards with them
+    u_offsets, asked = _lists(queries, "units")
+    queries = queries.take(np.argsort(asked[(u_offsets[:-1] + u_offsets[1:]) // 2], kind="stable"))
     out = []
-    for a in range(0, queries.num_rows, 512):
-        q = queries.slice(a, 512)
+    for a in range(0, queries.num_rows, 256):
+        q = queries.slice(a, 256)
         m, (q_offsets, q_terms), (u_offsets, asked) = q.num_rows, _lists(q, "terms"), _lists(q, "units")
         x = space.asked(q_offsets, q_terms)
-        scores, seen = np.zeros((m, n), np.float32), np.zeros((m, n), bool)
         pair_row, (pair_unit, there) = np.repeat(np.arange(m), np.diff(u_offsets)), _matched(units, asked)
         order = np.argsort(pair_unit[there], kind="stable")
         pair_row, pair_unit = pair_row[there][order], pair_unit[there][order]
         cuts = np.searchsorted(pair_unit, np.arange(len(units) + 1))
-        for u in np.flatnonzero(np.diff(cuts)):
-            rows, own = pair_row[cuts[u] : cuts[u + 1]], slice(first[u], last[u])
-            scores[rows, own] = x[rows] @ dense[own].T
+        present = np.flatnonzero(np.diff(cuts))
+        columns = np.concatenate([np.arange(first[u], last[u]) for u in present]) if len(present) else np.zeros(0, np.int64)
+        column = np.full(n, -1)
+        column[columns] = np.arange(len(columns))
+        scores, seen = np.zeros((m, len(columns)), np.float32), np.zeros((m, len(columns)), bool)
+        for u in present:
+            rows, at = pair_row[cuts[u] : cuts[u + 1]], int(column[first[u]])
+            own = slice(at, at + int(last[u] - first[u]))
+            scores[rows, own] = x[rows] @ dense[first[u] : last[u]].T
             seen[rows, own] = True
         row, hit, w = rest.matches(np.repeat(np.arange(m), np.diff(q_offsets)), q_terms)
-        asked_for = seen[row, hit]
-        scores += np.bincount(row[asked_for] * n + hit[asked_for], w[asked_for], m * n).reshape(m, n)
+        hit = column[hit]
+        kept = hit >= 0
+        kept[kept] = seen[row[kept], hit[kept]]
+        np.add.at(scores, (row[kept], hit[kept]), w[kept])
         seed, room = q["doc_id"].to_numpy(), q["room"].to_numpy()
-        scores[~seen | (size[None, :] > room[:, None])] = 0
+        scores[~seen | (size[columns][None, :] > room[:, None])] = 0
         self_at, is_in = _matched(doc_id[by_id], seed)
-        scores[np.flatnonzero(is_in), by_id[self_at[is_in]]] = 0
-        if n > k:
+        mine = column[by_id[self_at[is_in]]]
+        scores[np.flatnonzero(is_in)[mine >= 0], mine[mine >= 0]] = 0
+        if len(columns) > k:
             best = np.argpartition(-scores, k - 1, axis=1)[:, :k]
         else:
-            best = np.broadcast_to(np.arange(n), (m, n))
+            best = np.broadcast_to(np.arange(len(columns)), scores.shape)
         got = np.take_along_axis(scores, best, 1)
         r, c = np.nonzero(got > 0)
-        i = best[r, c]
-        out.append((i, a + r, got[r, c]))
+        out.append((columns[best[r, c]], a + r, got[r, c]))
     i, r, score = (np.concatenate(c) for c in zip(*out))
     seed, room = queries["doc_id"].to_numpy(), queries["room"].to_numpy()
     if give_out:
@@ -395,7 +406,7 @@ class Index:
                 for a in range(0, batch.num_rows, 1024):
                     yield from _route(batch.slice(a, 1024), sent.value, Space(**space.value))
 
-        routed = materialize(queries.select("limit_id", "doc_id", "room", "terms").mapInArrow(route, "group long, limit_id int, doc_id long, room long, terms array<long>, units array<int>"), "routed")
+        self.routed = routed = materialize(queries.select("limit_id", "doc_id", "room", "terms").mapInArrow(route, "group long, limit_id int, doc_id long, room long, terms array<int>, units array<int>"), "routed")
         blocks = routed.groupBy("group").agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks"))
         plan = self.spark.createDataFrame(pa.table({"limit_id": pa.array(self.limit, pa.int32()), "cluster": pa.array(self.cluster, pa.int32()), "band": pa.array(self.band, pa.int32()), "unit": pa.array(np.arange(len(self.n)), pa.int32()), "_group0": pa.array(self.group0), "_pieces": pa.array(self.pieces)}))
         held = self.items.join(F.broadcast(plan), ["limit_id", "cluster", "band"]).withColumn("group", F.col("_group0") + F.pmod(_hash("doc_id"), F.col("_pieces")))
@@ -594,6 +605,7 @@ def pack(documents: DataFrame, capacities: Mapping[int, int], *, rounds: int = R
         lists = won.groupBy("limit_id", "doc_id").agg(F.array_sort(F.collect_list("x")).alias("won"))
         got = lists.join(open_now.select("limit_id", "doc_id", "room"), ["limit_id", "doc_id"]).select("limit_id", F.col("doc_id").alias("container"), F.posexplode(_greedy(F.col("won"), F.col("room"))).alias("rank", "x"))
         got = materialize(got.select("limit_id", "x.doc_id", "container", F.lit(r).alias("round"), "rank", "x.n_tokens"), "taken")
+        release(index.routed)
         if got.isEmpty():
             break
         taken = got if taken is None else taken.unionByName(got)
