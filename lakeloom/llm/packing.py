@@ -41,7 +41,7 @@ SKETCH = 1 << 20
 SAMPLE, MOST_CLUSTERS, MOST_HEAVY = 8192, 512, 1024
 BANDS, REACH, LEAST_REACH = 8, 16, 1024
 FEW_WORDS, MOST_MORE = 128, 16  # a seed of fewer words reaches so many times as far as it has fewer, up to MOST_MORE times
-GROUP, BLOCK, PART = 32_768, 4096, 16_384
+GROUP, BLOCK, PART = 32_768, 16_384, 16_384
 NEIGHBOURS, ROUNDS = 64, 3
 K1, B = 1.2, 0.75
 MOST_TIMES = 32_767  # a word counts no oftener in a text; its weight changes by less than a ten thousandth beyond
