@@ -21,10 +21,10 @@ def time_key(ms: Column) -> Column:
 
 
 def sequence_key(ms: Column, n: Column) -> Column:
-    """Time and counter within the millisecond; the counter widens beyond its six digits rather than being cut."""
-    digits = n.cast("string")
-    padded = F.when(F.length(digits) < COUNTER_WIDTH, F.lpad(digits, COUNTER_WIDTH, "0")).otherwise(digits)
-    return F.concat(time_key(ms), F.lit(":"), padded)
+    """Time and counter as text that sorts like them: of a counter beyond its six digits the rest is carried into the time."""
+    most = F.lit(10**COUNTER_WIDTH)
+    carried = F.floor(n / most).cast("bigint")
+    return F.concat(time_key(ms + carried), F.lit(":"), F.lpad((n - carried * most).cast("string"), COUNTER_WIDTH, "0"))
 
 
 def with_sequence_ids(df: DataFrame, ms: Column, order: Sequence[str], into: str = "id") -> DataFrame:

@@ -5,7 +5,7 @@ the end it becomes a struct again. So a list of operations of any length is one
 field that a document lacks and one that is null are the same, as in any struct.
 
 Operations are dicts with ``op``, ``property`` (a dotted path) and ``value``; ``conditional`` has ``conditions`` (dicts with ``test``,
-``property``, ``value``) and ``operations``. legacy=True keeps some surprising results: ``max`` and ``min`` take a stored 0 for missing,
+``property``, ``value``) and ``operations``; ``mergeSets`` takes its list as ``values`` or ``value``. Missing and unknown arguments are errors. legacy=True keeps some surprising results: ``max`` and ``min`` take a stored 0 for missing,
 ``merge`` leaves what isn't there or isn't an object as it is, ``reverseMerge`` replaces scalars.
 """
 
@@ -127,16 +127,32 @@ def mutate(tree: Tree, operations: Sequence[dict], legacy: bool = False) -> Tree
     return tree
 
 
+#: For each operation what it needs besides ``op``.
+NEEDED = {"delete": {"property"}, "conditional": {"conditions", "operations"}, "merge": {"value"}, "reverseMerge": {"value"}} | {
+    op: {"property", "value"} for op in ("set", "addToSet", "deleteFromSet", "mergeSets", "add", "max", "min")
+}
+
+
+def _check(op: Any, o: dict) -> None:
+    if op not in NEEDED:
+        raise ValueError(f"unknown operation {op!r}")
+    given = {"value" if op == "mergeSets" and k == "values" else k for k, v in o.items() if k != "op" and not (v is None and k in ("property", "value") and k not in NEEDED[op])}
+    if missing := NEEDED[op] - given or (NEEDED[op] & {"property"} and not o.get("property") and {"property"}):
+        raise ValueError(f"{op} lacks {', '.join(sorted(missing))}")
+    if unknown := given - NEEDED[op] - ({"property"} if op in ("merge", "reverseMerge") else set()):
+        raise ValueError(f"{op} doesn't know {', '.join(sorted(unknown))}")
+
+
 def _mutate(tree: Tree, o: dict, legacy: bool) -> Tree:
-    op, path, value = o.get("op"), o.get("property"), o.get("value")
+    op, path = o.get("op"), o.get("property")
+    _check(op, o)
+    value = o["values"] if op == "mergeSets" and "values" in o else o.get("value")
     if op == "conditional":
         passed = F.lit(True)
         for c in o["conditions"]:
             at = _get(tree, c["property"])
             passed = passed & test_of(c["test"])(_column(at) if at is not None else F.lit(None), literal(c.get("value")))
         return _choose(passed, mutate(tree, o["operations"], legacy), tree)  # type: ignore[return-value]
-    if op not in ("set", "delete", "addToSet", "deleteFromSet", "mergeSets", "add", "max", "min", "merge", "reverseMerge"):
-        raise ValueError(f"unknown operation {op!r}")
     old = _get(tree, path) if path else tree
     if op == "delete":
         return tree if old is None else _set(tree, path, _none(old))

@@ -13,18 +13,20 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakeloom.operators.joins import null_safe
 from lakeloom.session import materialize
 
-COLUMNS = ["ref_table", "ref_parent", "record_id", "ref_month", "state", "kind", "depth"]
+COLUMNS = ["ref_table", "ref_name", "ref_parent", "record_id", "ref_month", "state", "kind", "depth"]
 
 
 @dataclass(frozen=True)
 class Reference:
-    """Records of ``child`` refer by the expression ``key`` to the id of ``parent``; a null or empty key refers to nobody."""
+    """Records of ``child`` refer by the expression ``key`` to the id of ``parent``; a null or empty key refers to nobody. References of one table need names that tell them apart."""
 
     child: str
     key: Column
     parent: str
+    name: str = ""
 
 
 def author_key(author: Column) -> Column:
@@ -35,11 +37,12 @@ def author_key(author: Column) -> Column:
 
 
 def find_orphans(tables: Mapping[str, DataFrame], references: Sequence[Reference], record_id: str = "id", arrived: str = "arrived_at") -> DataFrame:
-    """Orphan references as rows (ref_table, ref_parent, record_id, ref_month, state, kind, depth).
+    """Orphan references as rows (ref_table, ref_name, ref_parent, record_id, ref_month, state, kind, depth).
 
     state: ``absent`` if no row has the key, ``late`` if the key's earliest arrival is after the record's; an inherited orphan
-    takes the state of the reference it inherits, absent before late. kind: ``direct`` or ``inherited``; a record whose own
-    reference is an orphan is not reported as inherited for that reference. depth: the rounds of inheritance, 0 for direct.
+    takes the state of the reference it inherits, absent before late, also where the graver one is found in a later round. kind: ``direct``
+    or ``inherited``; a record whose own reference is an orphan is not reported as inherited for that reference, but may be for another
+    one. depth: the least number of rounds of inheritance, 0 for direct.
 
     Rows with the same id are one record that arrives at their earliest time; if they name different keys each is a
     reference of that record. A null time of a record makes ref_month null, and nothing is late against a null. Records with a null
@@ -48,6 +51,8 @@ def find_orphans(tables: Mapping[str, DataFrame], references: Sequence[Reference
     adaptive execution.
     """
     spark = next(iter(tables.values())).sparkSession
+    if len({(r.child, r.name) for r in references}) < len(references):
+        raise ValueError("two references of one table have the same name")
     parents = {r.parent for r in references}
     arrival = {
         name: tables[name].groupBy(F.col(record_id).alias("_id")).agg(F.min(arrived).alias("_at"))
@@ -66,11 +71,11 @@ def find_orphans(tables: Mapping[str, DataFrame], references: Sequence[Reference
         found = _shape(found, ref, "direct", 0)
         direct = found if direct is None else direct.unionByName(found)
     if direct is None:
-        return spark.createDataFrame([], "ref_table string, ref_parent string, record_id string, ref_month string, state string, kind string, depth int")
-    rounds = [materialize(direct, "orphans")]
-    known = direct_ids = rounds[0].select("ref_table", "ref_parent", "record_id")
-    depth = 0
-    while True:
+        return spark.createDataFrame([], "ref_table string, ref_name string, ref_parent string, record_id string, ref_month string, state string, kind string, depth int")
+    key = ["ref_table", "ref_name", "record_id"]
+    rounds, depth = [materialize(direct, "orphans")], 0
+    inherits = any(ref.parent == r.child for ref in references for r in references)
+    while inherits:
         depth += 1
         last, new = rounds[-1], None
         for ref, pairs in edges:
@@ -78,13 +83,21 @@ def find_orphans(tables: Mapping[str, DataFrame], references: Sequence[Reference
             sick = last.filter(F.col("ref_table") == ref.parent).groupBy(F.col("record_id").alias("_sick")).agg(F.min("state").alias("state"))
             found = _shape(pairs.join(sick, pairs["_key"] == sick["_sick"]), ref, "inherited", depth)
             new = found if new is None else new.unionByName(found)
-        new = new.groupBy("ref_table", "ref_parent", "record_id", "ref_month", "kind", "depth").agg(F.min("state").alias("state")).select(*COLUMNS)
-        seen = known.select(*[F.col(c).alias(f"_seen_{c}") for c in known.columns])
-        new = materialize(new.join(seen, [new[c].eqNullSafe(seen[f"_seen_{c}"]) for c in known.columns], "left_anti"), "orphans")
-        if not any(edge[0].parent == r.child for edge in edges for r in references) or new.isEmpty():
+        new = new.groupBy(*[c for c in COLUMNS if c != "state"]).agg(F.min("state").alias("state")).select(*COLUMNS)
+        seen = _all(rounds)
+        seen = seen.select(*[F.col(c).alias(f"_seen_{c}") for c in key], F.when(F.col("kind") == "direct", "").otherwise(F.col("state")).alias("_seen_state"))
+        same = null_safe((new[c], seen[f"_seen_{c}"]) for c in key) & (seen["_seen_state"] <= new["state"])
+        new = materialize(new.join(seen, same, "left_anti"), "orphans")
+        if new.isEmpty():
             break
         rounds.append(new)
-        known = known.unionByName(new.select(*direct_ids.columns))
+    if len(rounds) < 3:
+        return _all(rounds)
+    best = _all(rounds).groupBy(*[c for c in COLUMNS if c not in ("state", "depth")])
+    return best.agg(F.min("state").alias("state"), F.min("depth").alias("depth")).select(*COLUMNS)
+
+
+def _all(rounds: Sequence[DataFrame]) -> DataFrame:
     out = rounds[0]
     for r in rounds[1:]:
         out = out.unionByName(r)
@@ -92,7 +105,7 @@ def find_orphans(tables: Mapping[str, DataFrame], references: Sequence[Reference
 
 
 def _shape(df: DataFrame, ref: Reference, kind: str, depth: int) -> DataFrame:
-    columns = [F.lit(ref.child), F.lit(ref.parent), F.col("_id"), F.date_format("_at", "yyyy-MM"), F.col("state"), F.lit(kind), F.lit(depth)]
+    columns = [F.lit(ref.child), F.lit(ref.name), F.lit(ref.parent), F.col("_id"), F.date_format("_at", "yyyy-MM"), F.col("state"), F.lit(kind), F.lit(depth)]
     return df.select(*[c.alias(n) for c, n in zip(columns, COLUMNS)]).distinct()
 
 

@@ -247,15 +247,31 @@ class Output:
             raise PermissionError("only an update query may write")
         return self.database.open(kind, name)
 
-    def _changes(self) -> list[ChangeStream]:
+    def changed(self) -> ChangeStream | None:
+        """What the changes of the sources do to the result; None where only comparing whole results can tell, as rows or deletes were said.
+
+        With several streams a row that one of them loses may still be held by another, so the ids that any of them touches are looked
+        up in all, before and now.
+        """
+        if not all(isinstance(s, Stream) for s in self._said):
+            return None
+        changes = [s.changes().by_result_id() for s in self._said]
+        if len(changes) == 1:
+            return changes[0]
+        ids = changes[0].changes.select("id")
+        for c in changes[1:]:
+            ids = ids.union(c.changes.select("id"))
+        return _difference(_Result(self), ids.distinct())
+
+    def _changes(self, when: str = "now", ids: DataFrame | None = None) -> list[ChangeStream]:
         """What was said, streams as inserts of their rows."""
-        return [ChangeStream.of_rows(s.rows()) if isinstance(s, Stream) else s for s in self._said]
+        return [ChangeStream.of_rows(s.rows(when, ids)) if isinstance(s, Stream) else s for s in self._said]
 
-    def _folded(self) -> DataFrame:
+    def _folded(self, when: str = "now", ids: DataFrame | None = None) -> DataFrame:
         if len(self._said) == 1 and isinstance(self._said[0], Stream):
-            return self._said[0].rows()
+            return self._said[0].rows(when, ids)
         out = None
-        for i, said in enumerate(self._changes()):
+        for i, said in enumerate(self._changes(when, ids)):
             part = said.changes.withColumn("seq", F.lit(f"{i:06d}"))
             out = part if out is None else _union_docs(out, part)
         if out is None:
@@ -267,6 +283,16 @@ class Output:
         return rows.orderBy(F.desc("id") if self.reverse else F.asc("id"))
 
 
+class _Result(Stream):
+    """All that an output was told, as one stream."""
+
+    def __init__(self, output: Output):
+        self.output = output
+
+    def rows(self, when: str = "now", ids: DataFrame | None = None) -> DataFrame:
+        return self.output._folded(when, ids)
+
+
 class _Deletes(ChangeStream):
     def __init__(self, changes: DataFrame):
         self.changes = changes

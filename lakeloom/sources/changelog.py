@@ -2,7 +2,7 @@
 
 ``oplog/v=N`` holds the records of version N and a small ``_meta.json``. A batch is written to ``staging`` and becomes visible
 by one rename, which fails if another writer took the number; records, their summary and whatever the writer notes in meta are
-therefore published together. ``base/v=N`` holds compacted snapshots. Names that begin with ``_`` are not seen by Spark's file
+therefore published together. ``base/v=N`` holds compacted snapshots, ``delta/v=N`` what changed since the last base, ``segments`` the documents of logs. Names that begin with ``_`` are not seen by Spark's file
 sources, so a stream may read ``oplog`` itself.
 """
 
@@ -12,7 +12,7 @@ import json
 import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,6 +41,11 @@ def nullable(t: T.DataType) -> T.DataType:
     return t
 
 
+def time_of(seq: Column) -> Column:
+    """The milliseconds in a sequence key."""
+    return F.substring_index(seq, ":", 1).cast("bigint")
+
+
 def record_schema(doc: T.StructType) -> T.StructType:
     fields = [("seq", T.StringType()), ("ts", T.LongType()), ("op", T.StringType()), ("id", T.StringType()), ("obj", doc), ("old", doc), ("from_seq", T.StringType()), ("to_seq", T.StringType())]
     return T.StructType([T.StructField(n, t) for n, t in fields])
@@ -89,16 +94,20 @@ class Changelog:
         """The documents that exist at a version; ids: a DataFrame whose first column are those wanted, by which records are reduced before they're folded."""
         version = self.version() if version is None else version
         if self.append_only:
-            return restricted(self.records(0, version).filter("op = 'put'"), ids).select("obj.*")
+            return self._appended(version, ids)
         base = max((v for v in self.versions("base") if v <= version), default=0)
-        if base < self.cleared_to() and self.cleared_to() > 0:
+        folded = max((v for v in self.versions("delta") if base < v <= version), default=base)
+        if folded < self.cleared_to():
             raise TruncatedError(f"version {version} is older than what is kept")
-        log = restricted(self.changes(base, version), ids) if base < version else None
+        log = restricted(self.changes(folded, version), ids) if folded < version else None
+        if folded > base:
+            delta = restricted(self.spark.read.schema(record_schema(self.doc)).parquet(self._at(folded, "delta")).select("id", "seq", "obj", "old"), ids)
+            log = delta if log is None else delta.unionByName(log)
         if log is None and not base:
             return self.spark.createDataFrame([], self.doc)
         if not base:
             # a version has one record for each id, so a single one is its own fold
-            single = sum(v <= version for v in self.versions()) == 1
+            single = folded == base and sum(v <= version for v in self.versions()) == 1
             return log.filter("obj is not null").select("obj.*") if single else fold(log).select("obj.*")
         kept = restricted(self.spark.read.schema(self.doc).parquet(self._at(base, "base")), ids)
         if log is None:
@@ -108,13 +117,37 @@ class Changelog:
         rest = kept.join(touched, kept["id"] == touched["_touched"], "left_anti")
         return rest.unionByName(fold(log).select("obj.*"))
 
+    def _appended(self, version: int, ids: DataFrame | None) -> DataFrame:
+        """The documents of an append-only log: its segments, and the versions after them."""
+        segments = self._segments(version)
+        at = segments[-1][1] if segments else 0
+        out = self.records(at, version).filter("op = 'put'").select("obj.*")
+        if segments:
+            old = self.spark.read.schema(self.doc).parquet(*[f"{self.path}/segments/s={a:012d}-{b:012d}" for a, b, _ in segments])
+            out = old if at >= version else old.unionByName(out)
+        return restricted(out, ids)
+
+    def _segments(self, version: int) -> list[tuple[int, int, int]]:
+        """(after, upto, rows) of segments that lie end to end, the largest where several begin at one place."""
+        known: dict[int, list[int]] = {}
+        for name in self.files.names(f"{self.path}/segments"):
+            if name.startswith("s="):
+                a, b = (int(x) for x in name[2:].split("-"))
+                if b <= version:
+                    known.setdefault(a, []).append(b)
+        out, at = [], 0
+        while at in known:
+            a, at = at, max(known[at])
+            out.append((a, at, sum(self.meta(v)["rows"] for v in self.versions() if a < v <= at)))
+        return out
+
     # writing
 
     def append(self, rows: DataFrame, order: list[str] | None = None, note: dict | None = None, base: int | None = None, now_ms: int | None = None) -> int:
         """Stamp rows of (op, id, obj, old) with time and sequence, and publish them as the next version; 0 rows publish nothing but a note.
 
-        order: columns of rows that say in which order they happened; without it the counters only tell the records of the version
-        apart, which spares the rows a sort. A version must not have two puts or deletes of one id. note: kept in the version's meta. base: the version the rows
+        order: columns of rows that say in which order they happened; without it the sequences only tell the records of the version
+        apart, which spares the rows a sort: each task counts by itself, and all but the first add their number. A version must not have two puts or deletes of one id. note: kept in the version's meta. base: the version the rows
         were made from, by default the current one.
         """
         base = self.version() if base is None else base
@@ -122,7 +155,13 @@ class Changelog:
         ms = max(int(time.time() * 1000) if now_ms is None else now_ms, before["last_ts"] + 1)
         schema = record_schema(self.doc)
         given = [c for c in schema.names if c in rows.columns and c not in ("seq", "ts")]
-        stamped = (numbered(rows, order) if order else rows.withColumn("_n", F.monotonically_increasing_id())).withColumns({"seq": sequence_key(F.lit(ms), F.col("_n")), "ts": F.lit(ms)})
+        if order:
+            stamped = numbered(rows, order).withColumn("seq", sequence_key(F.lit(ms), F.col("_n")))
+        else:
+            n, task = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)), F.spark_partition_id()
+            stamped = rows.withColumn("_n", n).withColumn("_task", task)
+            stamped = stamped.withColumn("seq", F.concat(sequence_key(F.lit(ms), F.col("_n")), F.when(F.col("_task") > 0, F.concat(F.lit(":"), F.lpad(F.col("_task").cast("string"), 6, "0"))).otherwise("")))
+        stamped = stamped.withColumn("ts", time_of(F.col("seq")))
         stamped = stamped.select(*[(F.col(c) if c in ("seq", "ts", *given) else F.lit(None)).cast(schema[c].dataType).alias(c) for c in schema.names])
         return self._publish(stamped, base, ms, note)
 
@@ -133,7 +172,7 @@ class Changelog:
         if not n and not note:
             self.files.delete(staged)
             return base
-        meta = {"last_ts": ms, "rows": n, "first": first, "last": last, "note": note or {}}
+        meta = {"last_ts": max(ms, int(last.split(":")[0]) if last else 0), "rows": n, "first": first, "last": last, "note": note or {}}
         self.files.write_text(f"{staged}/_meta.json", json.dumps(meta))
         self.files.mkdirs(f"{self.path}/oplog")
         if not self.files.rename_new(staged, self._at(base + 1)):
@@ -142,19 +181,74 @@ class Changelog:
         return base + 1
 
     def uncompacted(self) -> int:
-        """How many versions a snapshot has to fold."""
+        """How many versions a snapshot has to read one by one."""
+        if self.append_only:
+            folded = max((b for _, b, _ in self._segments(self.version())), default=0)
+        else:
+            folded = max([*self.versions("base"), *self.versions("delta")], default=0)
+        return sum(v > folded for v in self.versions())
+
+    def tidy(self) -> None:
+        """Make snapshots cheaper by as little writing as that takes.
+
+        A log's new versions become a segment, together with the segments before that aren't larger. A table's become one set of changes
+        since its base, and only when that has a quarter of the base's rows a new base. So a row is written again
+        in proportion to the logarithm of the table, not with every few writes.
+        """
+        version = self.version()
+        if self.append_only:
+            segments = self._segments(version)
+            at = segments[-1][1] if segments else 0
+            rows = sum(self.meta(v)["rows"] for v in self.versions() if v > at)
+            while segments and segments[-1][2] <= 2 * rows:
+                at, _, n = segments.pop()
+                rows += n
+            docs = self._appended(version, None) if at == 0 else self._between(at, version)
+            self._place(docs, f"segments/s={at:012d}-{version:012d}", rows)
+            return
         base = max(self.versions("base"), default=0)
-        return sum(v > base for v in self.versions())
+        held = json.loads(self.files.read_text(f"{self._at(base, 'base')}/_meta.json"))["rows"] if base else 0
+        if 4 * sum(self.meta(v)["rows"] for v in self.versions() if v > base) >= held:
+            self.compact()
+            return
+        folded = max((v for v in self.versions("delta") if v > base), default=base)
+        log = self.changes(folded, version)
+        if folded > base:
+            log = self.spark.read.schema(record_schema(self.doc)).parquet(self._at(folded, "delta")).select("id", "seq", "obj", "old").unionByName(log)
+        last = log.groupBy("id").agg(F.max("seq").alias("seq"), F.max_by(F.struct("obj"), "seq").alias("_last"))
+        none = F.lit(None).cast(self.doc)
+        last = last.select("seq", time_of(F.col("seq")).alias("ts"), F.when(F.col("_last.obj").isNull(), "delete").otherwise("put").alias("op"), "id", F.col("_last.obj").alias("obj"), none.alias("old"), F.lit(None).cast("string").alias("from_seq"), F.lit(None).cast("string").alias("to_seq"))
+        self._place(last, f"delta/v={version:012d}", None)
+
+    def _between(self, after: int, version: int) -> DataFrame:
+        """Documents of an append-only log after one version and up to another, from segments where there are."""
+        inside = [(a, b) for a, b, _ in self._segments(version) if a >= after]
+        at = inside[-1][1] if inside else after
+        out = self.records(at, version).filter("op = 'put'").select("obj.*")
+        for a, b in inside:
+            out = self.spark.read.schema(self.doc).parquet(f"{self.path}/segments/s={a:012d}-{b:012d}").unionByName(out)
+        return out
+
+    def _place(self, rows: DataFrame, name: str, n: int | None) -> None:
+        """Write rows and rename them into place; if someone else made the same, theirs stays."""
+        staged, parent = f"{self.path}/staging/{uuid.uuid4().hex}", f"{self.path}/{name.partition('/')[0]}"
+        if self.files.exists(f"{self.path}/{name}"):
+            return
+        rows.write.parquet(staged)
+        if n is None:
+            n = self.spark.read.schema(rows.schema).parquet(staged).count()
+        self.files.write_text(f"{staged}/_meta.json", json.dumps({"rows": n}))
+        self.files.mkdirs(parent)
+        if not self.files.rename_new(staged, f"{self.path}/{name}"):
+            self.files.delete(staged)
 
     def compact(self) -> int:
         """Write the snapshot of the current version, from which later reads begin."""
         version = self.version()
-        if version and version not in self.versions("base"):
-            staged = f"{self.path}/staging/{uuid.uuid4().hex}"
-            self.snapshot(version).repartitionByRange("id").sortWithinPartitions("id").write.parquet(staged)
-            self.files.mkdirs(f"{self.path}/base")
-            if not self.files.rename_new(staged, self._at(version, "base")):
-                self.files.delete(staged)
+        if version and self.append_only:
+            self.tidy()
+        elif version:
+            self._place(self.snapshot(version).repartitionByRange("id").sortWithinPartitions("id"), f"base/v={version:012d}", None)
         return version
 
     def clear(self, before_ms: int, limit: int | None = None) -> dict:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import time
+from collections.abc import Callable, Sequence
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,13 +14,15 @@ from lakeloom.functions.keys import numbered, sequence_key
 from lakeloom.operators.changes import ChangeStream
 from lakeloom.operators.mutators import compile_update
 from lakeloom.operators.predicates import Range
-from lakeloom.session import materialize
-from lakeloom.sources.changelog import Changelog
+from lakeloom.session import materialize, release
+from lakeloom.sources.changelog import Changelog, ConflictError, time_of
 from lakeloom.sources.files import Files
 
 BAD_ID = "an id must be a non-empty string"
-#: A snapshot that has to fold more versions than this is compacted by the next write.
+#: A write that leaves more versions than this to be read one by one puts them together.
 COMPACT_AFTER = 32
+#: How often a write is tried when others are first.
+ATTEMPTS = 50
 
 
 class Rows:
@@ -84,29 +88,46 @@ class Table(Rows):
         c = F.col(column).cast("string")
         return F.when(c.isNull() | (c == ""), F.raise_error(F.lit(BAD_ID))).otherwise(c)
 
-    def _write(self, wanted: DataFrame, note: dict | None = None, marker: DataFrame | None = None) -> int:
+    def _retried(self, attempt: Callable[[int], Any]) -> Any:
+        """attempt(version to start from), again from its reads on whenever another writer was first: writes are one after the other, and none is lost."""
+        for left in range(ATTEMPTS, 0, -1):
+            try:
+                return attempt(self.changelog.version())
+            except ConflictError:
+                if left == 1:
+                    raise
+        raise AssertionError
+
+    def _write(self, wanted: DataFrame, note: dict | None = None, marker: DataFrame | None = None, base: int | None = None) -> int:
         """wanted: (id, obj), obj null for a delete, one row for each id; returns the version that holds.
 
-        The snapshot is first restricted to the wanted ids by a semi join, so that a small write meets a large table as a broadcast of
-        its ids.
+        base: the version that wanted was made from; if it's no longer the current one, ConflictError. The snapshot is first restricted to
+        the wanted ids by a semi join, so that a small write meets a large table as a broadcast of its ids.
         """
-        base = self.changelog.version()
         try:
             wanted = materialize(wanted, "wanted")
         except Exception as e:
             if BAD_ID in str(e):
                 raise ValueError(BAD_ID) from e
             raise
+        write = lambda base: self._write_from(base, wanted, note, marker)
+        version = self._retried(write) if base is None else write(base)
+        release(wanted)
+        self._tidy()
+        return version
+
+    def _tidy(self) -> None:
+        if self.changelog.uncompacted() > COMPACT_AFTER:
+            self.changelog.tidy()
+
+    def _write_from(self, base: int, wanted: DataFrame, note: dict | None, marker: DataFrame | None) -> int:
         rows = self.changelog.snapshot(base, wanted.select("id"))
         now = rows.select(F.col("id").alias("_id"), F.struct(*[F.col(c) for c in self.schema.names]).alias("old"))
         both = wanted.join(now, wanted["id"] == now["_id"], "left").filter(~F.col("obj").eqNullSafe(F.col("old")))
         records = both.select(F.when(F.col("obj").isNull(), "delete").otherwise("put").alias("op"), "id", "obj", "old")
         if marker is not None:
             records = records.unionByName(marker, allowMissingColumns=True)
-        version = self.changelog.append(records, note=note, base=base)
-        if self.changelog.uncompacted() > COMPACT_AFTER:
-            self.changelog.compact()
-        return version
+        return self.changelog.append(records, note=note, base=base)
 
     def _last(self, df: DataFrame, order: Sequence[str] | None) -> DataFrame:
         docs = F.struct(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in self.schema.fields])
@@ -120,20 +141,27 @@ class Table(Rows):
         doc = F.lit(None).cast(self.schema)
         return self._write(ids.select(self._checked_id().alias("id")).distinct().withColumn("obj", doc))
 
-    def write_changes(self, changes: ChangeStream, note: dict | None = None, marker: DataFrame | None = None) -> int:
-        """Apply changes of rows of this table; the last of each id counts."""
+    def write_changes(self, changes: ChangeStream, note: dict | None = None, marker: DataFrame | None = None, base: int | None = None) -> int:
+        """Apply changes of rows of this table; the last of each id counts. base: as of _write."""
         last = changes.changes.groupBy("id").agg(F.max_by(F.struct("obj"), "seq").alias("_last"))
         doc = F.struct(*[F.col(f"_last.obj.{f.name}").cast(f.dataType).alias(f.name) for f in self.schema.fields])
-        return self._write(last.select("id", F.when(F.col("_last.obj").isNotNull(), doc).alias("obj")), note, marker)
+        return self._write(last.select("id", F.when(F.col("_last.obj").isNotNull(), doc).alias("obj")), note, marker, base)
 
     def update(self, ids: DataFrame, operations: Sequence[dict], if_exists: bool = False, legacy: bool = False) -> int:
-        """Change the documents with the given ids by a list of operations; what doesn't exist is made from {id}, unless if_exists."""
+        """Change the documents with the given ids by a list of operations; what doesn't exist is made from {id}, unless if_exists.
+
+        Documents are read and written as of one version; if another writer comes in between, they're read again.
+        """
         wanted = ids.select(self._checked_id().alias("_want")).distinct()
-        rows = self.changelog.snapshot(ids=wanted)
-        docs = wanted.join(rows, wanted["_want"] == rows["id"], "inner" if if_exists else "left")
-        docs = docs.select(*[(F.col("_want") if c == "id" else F.col(c)).alias(c) for c in self.schema.names])
-        changed = docs.select(compile_update(self.schema, operations, legacy=legacy).alias("doc"))
-        return self._write(self._conform(changed.select("doc.*")).select("id", F.struct(*self.schema.names).alias("obj")))
+
+        def attempt(base: int) -> int:
+            rows = self.changelog.snapshot(base, wanted)
+            docs = wanted.join(rows, wanted["_want"] == rows["id"], "inner" if if_exists else "left")
+            docs = docs.select(*[(F.col("_want") if c == "id" else F.col(c)).alias(c) for c in self.schema.names])
+            changed = docs.select(compile_update(self.schema, operations, legacy=legacy).alias("doc"))
+            return self._write(self._conform(changed.select("doc.*")).select("id", F.struct(*self.schema.names).alias("obj")), base=base)
+
+        return self._retried(attempt)
 
     def clear_oplog(self, before_ms: int, limit: int | None = None) -> dict:
         return self.changelog.clear(before_ms, limit)
@@ -153,20 +181,32 @@ class Log(Rows):
     def changes(self, after: int = 0, upto: int | None = None) -> ChangeStream:
         return ChangeStream(self.changelog.changes(after, upto))
 
-    def put(self, df: DataFrame, order: Sequence[str] | None = None, now_ms: int | None = None) -> int:
-        """Append rows; ids and timestamps they bring are overwritten. order: columns that say how ids follow each other."""
+    def put(self, df: DataFrame, order: Sequence[str] | None = None, now_ms: int | None = None, flag: str | None = None) -> int:
+        """Append rows; ids and timestamps they bring are overwritten. order: columns that say how ids follow each other.
+
+        A million rows share a millisecond, further ones take the next. flag: puts with a flag that was used before append nothing, so a
+        repeated put has no second effect.
+        """
+        if flag is not None and flag in self.flags():
+            return self.changelog.version()
         base = self.changelog.version()
         before = self.changelog.meta(base) if base else {"last_ts": 0}
-        import time
-
         ms = max(int(time.time() * 1000) if now_ms is None else now_ms, before["last_ts"] + 1)
         payload = [f for f in self.schema.fields if f.name not in ("id", "timestamp")]
         rows = df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in payload], *[F.col(c).alias(f"_by{i}") for i, c in enumerate(order or [])])
         rows = numbered(rows, [f"_by{i}" for i in range(len(order or []))])
         key = sequence_key(F.lit(ms), F.col("_n"))
-        docs = F.struct(key.alias("id"), F.lit(ms).cast("bigint").alias("timestamp"), *[F.col(f.name) for f in payload])
-        stamped = rows.select(key.alias("seq"), F.lit(ms).cast("bigint").alias("ts"), F.lit("put").alias("op"), key.alias("id"), docs.alias("obj"), F.lit(None).cast(self.schema).alias("old"), F.lit(None).cast("string").alias("from_seq"), F.lit(None).cast("string").alias("to_seq"))
-        return self.changelog._publish(stamped, base, ms, None)
+        docs = F.struct(key.alias("id"), time_of(key).alias("timestamp"), *[F.col(f.name) for f in payload])
+        stamped = rows.select(key.alias("seq"), time_of(key).alias("ts"), F.lit("put").alias("op"), key.alias("id"), docs.alias("obj"), F.lit(None).cast(self.schema).alias("old"), F.lit(None).cast("string").alias("from_seq"), F.lit(None).cast("string").alias("to_seq"))
+        version = self.changelog._publish(stamped, base, ms, None if flag is None else {"flag": flag})
+        if self.changelog.uncompacted() > COMPACT_AFTER:
+            self.changelog.tidy()
+        return version
+
+    def flags(self) -> set[str]:
+        """The flags of all puts whose versions are kept."""
+        notes = (self.changelog.meta(v)["note"] for v in self.changelog.versions())
+        return {n["flag"] for n in notes if "flag" in n}
 
     def put_old(self, df: DataFrame) -> int:
         """Append rows with the ids they bring (replay, import)."""

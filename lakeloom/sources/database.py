@@ -18,6 +18,7 @@ from lakeloom.sources.collection import Log, Table, remove
 from lakeloom.sources.files import Files
 
 KINDS = {"table": "tables", "log": "logs", "index": "indexes"}
+KEPT_CATALOGS = 20
 #: Functions of indexes by name; a function that isn't here is found by its module and name. Text from a catalog is never executed.
 FUNCTIONS: dict[str, Callable] = {}
 
@@ -55,18 +56,34 @@ class Database:
         self.on_index_failed, self.remove_failed = on_index_failed, remove_failed
         self._observers: list[Callable[[dict], None]] = []
         self._open: dict[tuple[str, str], Table | Log] = {}
-        at = f"{self.root}/catalog.json"
-        self._config = json.loads(self.files.read_text(at)) if self.files.exists(at) else {k: {} for k in KINDS.values()}
-
-    # catalog
-
-    def save_config(self) -> None:
-        self.files.mkdirs(self.root)
-        tmp = f"{self.root}/.{uuid.uuid4().hex}.tmp"
-        self.files.write_text(tmp, json.dumps(self._config))
-        self.files.rename_over(tmp, f"{self.root}/catalog.json")
+        self._version, self._config = 0, {k: {} for k in KINDS.values()}
+        self.refresh()
+
+    # catalog: numbered versions, each published by a rename that fails if another driver was first
+
+    def refresh(self) -> None:
+        """Take over what other drivers changed."""
+        names = [n for n in self.files.names(f"{self.root}/catalog") if n.endswith(".json") and not n.startswith(".")]
+        if names and int(names[-1][:-5]) > self._version:
+            self._version, self._config = int(names[-1][:-5]), json.loads(self.files.read_text(f"{self.root}/catalog/{names[-1]}"))
+
+    def _change(self, change: Callable[[dict], None]) -> None:
+        """Change the catalog: on top of what is current, again if another driver's change comes first."""
+        self.files.mkdirs(f"{self.root}/catalog")
+        while True:
+            self.refresh()
+            new = deepcopy(self._config)
+            change(new)
+            tmp, to = f"{self.root}/catalog/.{uuid.uuid4().hex}.tmp", self._version + 1
+            self.files.write_text(tmp, json.dumps(new))
+            if self.files.rename_new(tmp, f"{self.root}/catalog/{to:012d}.json"):
+                break
+            self.files.delete(tmp)
+        self._version, self._config = to, new
+        if to > KEPT_CATALOGS:
+            self.files.delete(f"{self.root}/catalog/{to - KEPT_CATALOGS:012d}.json")
         for observer in list(self._observers):
-            observer(deepcopy(self._config))
+            observer(deepcopy(new))
 
     def observe_config(self, observer: Callable[[dict], None]) -> None:
         """The catalog now and after every change."""
@@ -75,24 +92,45 @@ class Database:
 
     def config(self, kind: str, name: str) -> dict:
         found = self._config[KINDS[kind]].get(name)
+        if found is None:
+            self.refresh()
+            found = self._config[KINDS[kind]].get(name)
         if found is None:
             raise LookupError(f"{kind} {name!r} not found")
         return found
 
     def names(self, kind: str) -> list[str]:
+        self.refresh()
         return sorted(self._config[KINDS[kind]])
 
+    def observe_names(self, kind: str, observer: Callable[[list[str]], None]) -> None:
+        """The names of all tables, logs or indexes, now and whenever they change."""
+        last: list[list[str]] = []
+
+        def tell(config: dict) -> None:
+            names = sorted(config[KINDS[kind]])
+            if not last or last[-1] != names:
+                last[:] = [names]
+                observer(names)
+
+        self.observe_config(tell)
+
     def catalog(self) -> DataFrame:
+        self.refresh()
         rows = [(k, n, c["uid"], c.get("status", "ready")) for k, of in KINDS.items() for n, c in sorted(self._config[of].items())]
         return self.spark.createDataFrame(rows, "kind string, name string, uid string, status string")
 
     def _create(self, kind: str, name: str, config: dict) -> None:
         if not name:
             raise ValueError("a name must not be empty")
-        if name in self._config[KINDS[kind]]:
-            raise ValueError(f"{kind} {name!r} already exists")
-        self._config[KINDS[kind]][name] = {"uid": uuid.uuid4().hex} | config
-        self.save_config()
+        new = {"uid": uuid.uuid4().hex} | config
+
+        def add(catalog: dict) -> None:
+            if name in catalog[KINDS[kind]]:
+                raise ValueError(f"{kind} {name!r} already exists")
+            catalog[KINDS[kind]][name] = new
+
+        self._change(add)
 
     def _path(self, kind: str, name: str) -> str:
         return f"{self.root}/{self.config(kind, name)['uid']}"
@@ -155,21 +193,23 @@ class Database:
         path, handle = self._path(kind, name), self._open.pop((kind, self.config(kind, name)["uid"]), None)
         if hasattr(handle, "stop"):
             handle.stop()
-        del self._config[KINDS[kind]][name]
-        self.save_config()
+        self._change(lambda catalog: catalog[KINDS[kind]].pop(name, None))
         remove(self.spark, path)
 
     def rename(self, kind: str, name: str, to: str) -> None:
         """A change of the catalog only; what refers to the collection does so by its uid."""
-        config = self.config(kind, name)
-        if to in self._config[KINDS[kind]]:
-            raise ValueError(f"{kind} {to!r} already exists")
-        self._config[KINDS[kind]][to] = self._config[KINDS[kind]].pop(name)
-        for index in self._config["indexes"].values():
-            for source in index["sources"]:
-                if source["uid"] == config["uid"]:
-                    source["name"] = to
-        self.save_config()
+        uid = self.config(kind, name)["uid"]
+
+        def move(catalog: dict) -> None:
+            if to in catalog[KINDS[kind]]:
+                raise ValueError(f"{kind} {to!r} already exists")
+            catalog[KINDS[kind]][to] = catalog[KINDS[kind]].pop(name)
+            for index in catalog["indexes"].values():
+                for source in index["sources"]:
+                    if source["uid"] == uid:
+                        source["name"] = to
+
+        self._change(move)
 
     # indexes
 
@@ -222,8 +262,8 @@ class Database:
         if self.remove_failed:
             self.delete("index", name)
         else:
-            self._config["indexes"][name]["status"] = f"failed: {type(e).__name__}: {str(e)[:300]}"
-            self.save_config()
+            status = {"status": f"failed: {type(e).__name__}: {str(e)[:300]}"}
+            self._change(lambda catalog: catalog["indexes"].get(name, {}).update(status))
         if self.on_index_failed:
             self.on_index_failed(name, e)
 

@@ -27,36 +27,35 @@ class Index(Table):
     def _run(self, frame: Frame) -> Output:
         output = IndexOutput(self.spark, self.database)
         self.code(Input(self.database, frame), output, self.params)
-        if not output.streams:
-            raise ValueError("the function of an index must put streams to its output")
+        if not frame.lineage or not output._said:
+            raise ValueError("the function of an index must read sources and say what they make")
         return output
 
-    def as_of(self) -> dict[str, int]:
-        """The versions of the sources that the index holds."""
+    def as_of(self, version: int | None = None) -> dict[str, int]:
+        """The versions of the sources that the index holds, by default in its current version."""
         for v in reversed(self.changelog.versions()):
-            if sources := self.changelog.meta(v)["note"].get("sources"):
+            if (version is None or v <= version) and (sources := self.changelog.meta(v)["note"].get("sources")):
                 return sources
         return {}
 
     def update(self) -> bool:
-        """Bring the index up to its sources; False if it was. Safe to repeat, also after a failure at any point."""
-        before = self.as_of()
+        """Bring the index up to its sources; False if it was. Safe to repeat, also after a failure at any point, and beside another updater."""
+        return self._retried(self._update)
+
+    def _update(self, base: int) -> bool:
+        before = self.as_of(base)
         frame = Frame(before, incremental=True)
         output = self._run(frame)
         if before and not frame.moved:
             return False
         try:
-            changes = self._union(s.changes() for s in output.streams) if before else self._rebuilt(output)
+            changes = (output.changed() if before else None) or self._rebuilt(output)
         except TruncatedError:
             changes = self._rebuilt(output)
         marker = None if before else self.spark.createDataFrame([("indexed",)], "op string")
-        self.write_changes(changes, {"sources": frame.now}, marker)
+        self.write_changes(changes, {"sources": frame.now}, marker, base)
         return True
 
-    def _union(self, streams) -> ChangeStream:
-        first, *rest = [s.by_result_id() for s in streams]
-        return first.union(*rest) if rest else first
-
     def _rebuilt(self, output: Output) -> ChangeStream:
         """All rows as they should be, and deletes of those that shouldn't be."""
         rows = self._conform(output._folded())
@@ -92,14 +91,11 @@ class Index(Table):
 
 
 class IndexOutput(Output):
-    """As Output, without order and writers, with ``update``."""
+    """As Output, without order and writers, with ``update``. With rows put or deleted beside streams every update compares whole results."""
 
     def set_reverse(self, reverse: bool = True) -> None:
         raise TypeError("an index has no order of its own")
 
-    def put(self, rows: DataFrame) -> None:
-        raise TypeError("put streams or recomputed rows, which can be kept up to date")
-
     def update(self, source: Stream, key: str, aggregates: Mapping[str, F.Column] | Mapping) -> None:
         """Accumulate rows of a source into one row for each value of a field; groups that change are computed anew, so all aggregates can shrink."""
         self.change(source.group(key, aggregates))

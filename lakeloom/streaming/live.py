@@ -30,7 +30,7 @@ class LiveList:
         self._rows: dict[str, Row] = {}
         self._observers: list[Observer] = []
         self._lock = threading.RLock()
-        self._query = None
+        self._query = self._followed = None
         self.reverse = False
         self.disposed = False
         self._read()
@@ -80,13 +80,14 @@ class LiveList:
             if not frame.moved:
                 return 0
             try:
-                changes = [c for s in output.streams for c in s.changes().by_result_id().changes.select("id", "obj").limit(self.most + 1).collect()]
+                changed = output.changed()
+                changes = None if changed is None else changed.changes.select("id", "obj").limit(self.most + 1).collect()
             except TruncatedError:
+                changes = None
+            if changes is None or len(changes) > self.most:  # maybe not all of them, though the result may have fewer rows
                 self._read()
                 return len(self._rows)
-            if len(changes) > self.most:  # maybe not all of them, though the result may have fewer rows
-                self._read()
-                return len(self._rows)
+            changes.sort(key=lambda c: c["obj"] is not None)  # a row that moves to an id another leaves
             after = self._rows | {c["id"]: c["obj"] for c in changes}
             if sum(row is not None for row in after.values()) > self.most:
                 raise ValueError(f"more than {self.most} rows: make it an index")
@@ -110,6 +111,7 @@ class LiveList:
         """Update from a stream over the sources' changelogs until disposed."""
         logs = [self.database.open(s["type"], s["name"]).changelog for s in self._lineage]
         self._query = follow(self.database.spark, logs, self.update, work_path(self.database.spark, "live"), interval, once)
+        self._followed = None if once else interval
         return self._query
 
     def dispose(self) -> None:
@@ -120,9 +122,11 @@ class LiveList:
         self._observers.clear()
 
     def respawn(self) -> None:
-        """Run the query anew after a dispose."""
+        """Run the query anew after a dispose, and follow its sources again if it did."""
         self.disposed = False
         self._read()
+        if self._followed:
+            self.start(self._followed)
 
 
 class LiveObject(LiveList):
