@@ -41,6 +41,15 @@ class ChangeStream:
 
         return ChangeStream(self.changes.withColumns({"obj": to("obj"), "old": to("old")}))
 
+    def flat_map(self, rows: Callable[[Fields], Column]) -> ChangeStream:
+        """Each side as an array of rows (structs with an ``id``), none, one or many; rows that both sides have alike drop out. A null array is empty."""
+        both = self.changes.select("seq", *[F.when(F.col(s).isNotNull(), rows(lambda n, s=s: F.col(s).getField(n))).alias(f"_{s}") for s in ("obj", "old")])
+        none = F.when(F.lit(False), F.element_at("_obj", 1))
+        puts = F.transform(F.coalesce(F.array_except("_obj", F.coalesce("_old", F.slice("_obj", 1, 0))), F.slice(F.array(none), 1, 0)), lambda r: F.struct(r["id"].alias("id"), "seq", r.alias("obj"), none.alias("old")))
+        kept = F.transform(F.coalesce("_obj", F.slice(F.array(none), 1, 0)), lambda r: r["id"])
+        gone = F.transform(F.filter(F.coalesce("_old", F.slice(F.array(none), 1, 0)), lambda r: ~F.array_contains(kept, r["id"])), lambda r: F.struct(r["id"].alias("id"), "seq", none.alias("obj"), r.alias("old")))
+        return ChangeStream(both.select(F.explode(F.concat(puts, gone)).alias("c")).select("c.*"))
+
     def index_by(self, key: Callable[[Fields], Sequence[Column] | Column | None], when: Callable[[Fields], Column] | None = None) -> ChangeStream:
         """Entries {id: key_id, to: id} of a secondary index, as changes of the entries.
 

@@ -42,6 +42,10 @@ class Stream:
     def map(self, project: Callable[[Fields], dict[str, Column]]) -> Stream:
         return Linear(self, lambda c: c.map(project))
 
+    def flat_map(self, rows: Callable[[Fields], Column]) -> Stream:
+        """Each row as an array of rows with ids of their own, which no other row makes."""
+        return Linear(self, lambda c: c.flat_map(rows))
+
     def index_by(self, key: Callable[[Fields], Any], when: Callable[[Fields], Column] | None = None) -> Stream:
         return Linear(self, lambda c: c.index_by(key, when))
 

@@ -12,6 +12,7 @@ from lakeloom.operators.history import AttributeHistory, snapshot_events
 from lakeloom.operators.hotkeys import KeyProfile, distinct_elements, hot_keys, id_owner
 from lakeloom.operators.incremental import IncrementalTarget, fingerprint, latest_delivery, run_marks, state_at_marks
 from lakeloom.operators.references import Reference, author_key, find_orphans, orphan_report
+from lakeloom.session import materialize
 from lakeloom.sources.versioned import VersionConflict, VersionedTable
 
 T0 = datetime(2025, 1, 1)
@@ -128,10 +129,27 @@ def test_orphans_in_a_cycle_end(spark):
     assert {(r.record_id, r.kind, r.depth) for r in out.collect()} == {("1", "direct", 0), ("2", "inherited", 1), ("3", "inherited", 2)}
 
 
+def test_two_references_to_one_table(spark):
+    """Which reference is bad can be told, one doesn't hide the other, and the graver state holds though it's found later."""
+    users = spark.createDataFrame([("u", at(1)), ("w", at(9))], "id string, arrived_at timestamp")
+    messages = spark.createDataFrame([("1", "gone", "gone", at(2)), ("2", "u", "w", at(2)), ("3", "u", None, at(2)), ("4", "u", None, at(2))], "id string, author string, editor string, arrived_at timestamp")
+    replies = spark.createDataFrame([("a", "3", "b", at(3)), ("b", "2", "c", at(3)), ("c", "3", "d", at(3)), ("d", "1", None, at(3))], "id string, of string, after string, arrived_at timestamp")
+    out = find_orphans({"users": users, "messages": messages, "replies": replies}, [
+        Reference("messages", F.col("author"), "users", "author"), Reference("messages", F.col("editor"), "users", "editor"),
+        Reference("replies", F.col("of"), "messages", "of"), Reference("replies", F.col("after"), "replies", "after"),
+    ])
+    assert {(r.ref_name, r.record_id, r.state, r.kind, r.depth) for r in out.collect()} == {
+        ("author", "1", "absent", "direct", 0), ("editor", "1", "absent", "direct", 0), ("editor", "2", "late", "direct", 0),
+        ("of", "b", "late", "inherited", 1), ("of", "d", "absent", "inherited", 1), ("after", "c", "absent", "inherited", 2), ("after", "b", "absent", "inherited", 3), ("after", "a", "absent", "inherited", 2),
+    }
+    with pytest.raises(ValueError, match="same name"):
+        find_orphans({"users": users}, [Reference("users", F.col("id"), "users")] * 2)
+
+
 # p3
 
 
-@pytest.mark.parametrize("spread", [1, 50, 10**6, 10**15])
+@pytest.mark.parametrize("spread", [1, 50, 10**6, 10**15, 2**61])
 def test_exact_quantiles_against_brute_force(spark, spread):
     rng, rows = random.Random(spread), []
     for key, n in (("hot", 4000), ("warm", 300), ("one", 1), (None, 50)):
@@ -148,12 +166,45 @@ def test_exact_quantiles_against_brute_force(spark, spread):
     counts = {r.key: (r.n_rows, r.least, r.most) for r in profile.counts().collect()}
     assert counts["hot"][0] == 4010 and counts["empty"] == (1, None, None) and None not in counts
     assert profile.total == len(rows)
-    assert {r.key for r in hot_keys(profile).collect()} == {"hot", "warm"}
+    df = spark.createDataFrame(rows, "k string, v long")
+    assert {(r.key, r.n_rows) for r in hot_keys(df, F.col("k")).collect()} == {("hot", 4010), ("warm", 300)}
+    assert {r.key for r in hot_keys(df, F.col("k"), 50).collect()} == {"hot"}
 
 
 def test_profile_of_nothing(spark):
     profile = KeyProfile(spark.createDataFrame([], "k string, v long"), F.col("k"), F.col("v"))
-    assert profile.total == 0 and profile.quantiles([0.5]).count() == 0 and hot_keys(profile).count() == 0
+    assert profile.total == 0 and profile.quantiles([0.5]).count() == 0
+    assert hot_keys(spark.createDataFrame([], "k string"), F.col("k")).count() == 0
+    assert hot_keys(spark.createDataFrame([(None,)] * 3, "k string"), F.col("k")).count() == 0
+
+
+def test_quantiles_with_far_values_and_no_exchange_of_rows(spark, monkeypatch):
+    """Some far values don't coarsen the bins of the others; finer counts are joined, rows are not, even where nothing may be broadcast."""
+    rng = random.Random(3)
+    rows = [(f"k{rng.randrange(30)}", rng.randrange(10**9)) for _ in range(3000)] + [("k1", -(10**15)), ("k2", 10**17)]
+    df = spark.createDataFrame(rows, "k string, v long")
+    written = []
+    monkeypatch.setattr("lakeloom.operators.hotkeys.materialize", lambda x, label: written.append(x) or materialize(x, label))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {(r.key, r.q): r.value for r in KeyProfile(df, F.col("k"), F.col("v")).quantiles([0.1, 0.5]).collect()}
+        plans = [x._jdf.queryExecution().optimizedPlan().toString() for x in written]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    for k in {k for k, _ in rows}:
+        values = sorted(v for key, v in rows if key == k)
+        assert [got[k, q] for q in (0.1, 0.5)] == [values[max(1, -int(-q * len(values) // 1)) - 1] for q in (0.1, 0.5)]
+    semi = [p for p in plans if "LeftSemi" in p]
+    assert semi and all("LeftSemi" not in p or "strategy=broadcast" in p for p in plans)
+
+
+def test_hot_keys_come_from_the_selection(spark, monkeypatch):
+    df = spark.createDataFrame([("hot",)] * 50 + [(f"k{i}",) for i in range(500)], "k string")
+    assert [r.key for r in hot_keys(df, F.col("k")).collect()] == ["hot"]
+    select = KeyProfile.select
+    monkeypatch.setattr(KeyProfile, "select", lambda self, wanted: select(self, wanted).limit(0))
+    assert hot_keys(df, F.col("k")).count() == 0
 
 
 def test_keys_and_elements(spark):

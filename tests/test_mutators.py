@@ -34,6 +34,7 @@ def op(name, prop=None, value=None, **more):
         (op("addToSet", "fresh", "z"), "fresh", ["z"], ["z"]),
         (op("deleteFromSet", "tags", "a"), "tags", ["b"], []),
         (op("mergeSets", "tags", ["b", "c"]), "tags", ["b", "c", "a"], ["b", "c"]),
+        ({"op": "mergeSets", "property": "tags", "values": ["b", "c"]}, "tags", ["b", "c", "a"], ["b", "c"]),
         (op("add", "n", 2.0), "n", 7.0, 2.0),
         (op("add", "s", "d"), "s", "abcd", "d"),
         (op("add", "fresh", 2), "fresh", 2, 2),
@@ -87,6 +88,9 @@ def test_legacy_takes_a_stored_0_for_missing(spark):
 def test_unknown_operations_and_tests(spark):
     with pytest.raises(ValueError, match="unknown operation"):
         run(spark, [op("frobnicate", "n", 1)])
+    for wrong, said in (({"op": "set", "property": "n"}, "lacks value"), ({"op": "add", "value": 1}, "lacks property"), ({"op": "max", "property": "n", "value": 1, "by": 2}, "doesn't know by"), ({"op": "mergeSets", "property": "tags"}, "lacks value")):
+        with pytest.raises(ValueError, match=said):
+            run(spark, [wrong])
     with pytest.raises(ValueError, match="unknown test"):
         run(spark, [op("conditional", conditions=[{"test": "near", "property": "n", "value": 1}], operations=[])])
 
