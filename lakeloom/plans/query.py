@@ -94,6 +94,19 @@ class Source(Stream):
         return ChangeStream(self.range.filter(net(self.frame.changes(self.collection))))
 
 
+class Rows(Stream):
+    """Rows of a DataFrame with a string ``id``, as a stream that never changes."""
+
+    def __init__(self, df: DataFrame):
+        self.df = df
+
+    def rows(self, when: str = "now", ids: DataFrame | None = None) -> DataFrame:
+        return restricted(self.df, ids)
+
+    def changes(self) -> ChangeStream:
+        return ChangeStream.of_rows(self.df.limit(0))
+
+
 class Linear(Stream):
     """What treats each change by itself."""
 
@@ -225,6 +238,10 @@ class Output:
         none = F.lit(None).cast(shape)
         self._said.append(_Deletes(ids.select("id", F.lit("").alias("seq"), none.alias("obj"), none.alias("old"))))
 
+    def update(self, source: Stream, key: str, aggregates: Mapping[str, Column]) -> None:
+        """Accumulate rows of a source into one row for each value of a field; in an index, groups that change are computed anew, so all aggregates can shrink."""
+        self.change(source.group(key, aggregates))
+
     def set_reverse(self, reverse: bool = True) -> None:
         self.reverse = reverse
 

@@ -14,6 +14,7 @@ from lakeloom.operators.joins import dereference, having, inner_lookup, lacking,
 from lakeloom.operators.mutators import compile_update
 from lakeloom.operators.predicates import Range
 from lakeloom.operators.incremental import latest_delivery
+from lakeloom.plans.query import Group, Rows
 from lakeloom.session import work_path
 from lakeloom.sources.collection import FrameRows
 from lakeloom.sources.database import Database
@@ -140,54 +141,47 @@ def index_deref(spark, d):
 _OP = """latest AS (SELECT store, id AS op_id, operation FROM op_log QUALIFY row_number() OVER (PARTITION BY store, id ORDER BY arrived_at DESC) = 1)"""
 
 
-def _op_changes(spark, d, store) -> ChangeStream:
-    """The operation log of a store as changes."""
-    last = latest_delivery(_read(spark, d, "op_log"), ["store", "id"], "arrived_at", "operation").filter(F.col("store") == store)
+def _op_changes(spark, d) -> ChangeStream:
+    """The operation logs of both stores as changes, whose ids begin with the store."""
+    last = latest_delivery(_read(spark, d, "op_log"), ["store", "id"], "arrived_at", "operation")
     put = F.col("operation.op_type") == "put"
     kept = last.filter(F.col("operation.op_type").isin("put", "delete") & F.col("operation.obj.id").isNotNull())
     old = F.when(put, F.col("operation.old_obj")).otherwise(F.col("operation.obj"))
-    return ChangeStream(kept.select(F.col("operation.obj.id").alias("id"), F.col("id").alias("seq"), F.when(put, F.col("operation.obj")).alias("obj"), old.alias("old")))
+    return ChangeStream(kept.select(F.concat("store", F.lit("/"), "operation.obj.id").alias("id"), F.col("id").alias("seq"), F.when(put, F.col("operation.obj")).alias("obj"), old.alias("old")))
 
 
-@checked(f"""WITH {_OP} SELECT op_id, new_text, old_text FROM (
-  SELECT op_id, CASE WHEN operation.op_type = 'put' AND length(operation.obj.text) > 20 THEN operation.obj.text END AS new_text,
-  CASE WHEN length(CASE WHEN operation.op_type = 'put' THEN operation.old_obj.text ELSE operation.obj.text END) > 20
-    THEN CASE WHEN operation.op_type = 'put' THEN operation.old_obj.text ELSE operation.obj.text END END AS old_text
-  FROM latest WHERE store = 'messages' AND operation.op_type IN ('put', 'delete') AND operation.obj.id IS NOT NULL) WHERE new_text IS NOT NULL OR old_text IS NOT NULL""")
+_CHANGES = f"""WITH {_OP}, c AS (SELECT concat(store, '/', operation.obj.id) AS id, op_id, operation.op_type AS op_type, CASE WHEN operation.op_type = 'put' THEN operation.obj END AS obj,
+  CASE WHEN operation.op_type = 'put' THEN operation.old_obj ELSE operation.obj END AS old FROM latest WHERE operation.op_type IN ('put', 'delete') AND operation.obj.id IS NOT NULL)"""
+
+
+@checked(f"""{_CHANGES} SELECT id, op_id, new_text, old_text FROM (SELECT id, op_id, CASE WHEN length(obj.text) > 20 THEN obj.text END AS new_text, CASE WHEN length(old.text) > 20 THEN old.text END AS old_text FROM c)
+WHERE new_text IS NOT NULL OR old_text IS NOT NULL""")
 def filter_changes(spark, d):
-    """Changes of messages of more than 20 characters: an update that crosses that becomes an insert or delete."""
-    stream = _op_changes(spark, d, "messages").filter(lambda f: F.length(f("text")) > 20)
-    return stream.changes.select(F.col("seq").alias("op_id"), F.col("obj.text").alias("new_text"), F.col("old.text").alias("old_text"))
+    """Changes of objects with a text of more than 20 characters: an update that crosses that becomes an insert or delete."""
+    stream = _op_changes(spark, d).filter(lambda f: F.length(f("text")) > 20)
+    return stream.changes.select("id", F.col("seq").alias("op_id"), F.col("obj.text").alias("new_text"), F.col("old.text").alias("old_text"))
 
 
-@checked(f"""WITH {_OP}, c AS (SELECT op_id, operation.obj.id AS id, CASE WHEN operation.op_type = 'put' THEN operation.obj.name END AS nn, operation.op_type = 'put' AS has_new,
-  CASE WHEN operation.op_type = 'put' THEN operation.old_obj.name ELSE operation.obj.name END AS oo, (operation.op_type = 'delete' OR operation.old_obj IS NOT NULL) AS has_old
-  FROM latest WHERE store = 'users' AND operation.op_type IN ('put', 'delete') AND operation.obj.id IS NOT NULL),
-k AS (SELECT op_id, CASE WHEN has_new THEN concat(coalesce(CAST(to_json(nn) AS VARCHAR), 'null'), '_', id) END AS a, CASE WHEN has_old THEN concat(coalesce(CAST(to_json(oo) AS VARCHAR), 'null'), '_', id) END AS b FROM c)
+@checked(f"""{_CHANGES}, k AS (SELECT op_id, CASE WHEN obj IS NOT NULL THEN concat(coalesce(CAST(to_json(coalesce(obj.name, obj.author)) AS VARCHAR), 'null'), '_', id) END AS a,
+  CASE WHEN old IS NOT NULL THEN concat(coalesce(CAST(to_json(coalesce(old.name, old.author)) AS VARCHAR), 'null'), '_', id) END AS b FROM c)
 SELECT op_id, a AS entry, 'put' AS what FROM k WHERE a IS NOT NULL AND a IS DISTINCT FROM b UNION ALL SELECT op_id, b, 'delete' FROM k WHERE b IS NOT NULL AND a IS DISTINCT FROM b""")
 def index_changes(spark, d):
-    """What the changes of users do to an index by name."""
-    entries = _op_changes(spark, d, "users").index_by(lambda f: f("name")).changes
+    """What the changes do to an index of users by name and messages by author."""
+    entries = _op_changes(spark, d).index_by(lambda f: F.coalesce(f("name"), f("author"))).changes
     return entries.select(F.col("seq").alias("op_id"), F.col("id").alias("entry"), F.when(F.col("obj").isNotNull(), "put").otherwise("delete").alias("what"))
 
 
-@checked(f"""WITH {_OP}, e AS (SELECT operation.obj.id AS id, operation.obj.name AS name, operation.op_type AS op_type FROM latest
-  WHERE store = 'users' AND operation.op_type IN ('put', 'delete') AND operation.obj.id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY operation.obj.id ORDER BY op_id DESC) = 1)
-SELECT id, name FROM e WHERE op_type = 'put'""")
+@checked(f"""{_CHANGES} SELECT id, obj.name AS name, obj.author AS author, obj.text AS text FROM (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY id ORDER BY op_id DESC) = 1) WHERE op_type = 'put'""")
 def fold_changelog(spark, d):
-    return fold(_op_changes(spark, d, "users").changes).select("id", "obj.name")
+    return fold(_op_changes(spark, d).changes).select("id", "obj.name", "obj.author", "obj.text")
 
 
-@checked(f"""WITH {_OP}, e AS (SELECT operation.obj.id AS id, op_id, CASE WHEN operation.op_type = 'put' THEN operation.obj END AS obj, CASE WHEN operation.op_type = 'put' THEN operation.old_obj ELSE operation.obj END AS old FROM latest
-  WHERE store = 'users' AND operation.op_type IN ('put', 'delete') AND operation.obj.id IS NOT NULL),
-f AS (SELECT id, (SELECT e.obj FROM e WHERE e.id = g.id ORDER BY op_id DESC LIMIT 1) AS obj, (SELECT e.old FROM e WHERE e.id = g.id ORDER BY op_id LIMIT 1) AS old FROM (SELECT DISTINCT id FROM e) g)
-SELECT id, obj.name AS new_name, old.name AS old_name FROM f WHERE obj IS DISTINCT FROM old""".replace(
-    "(SELECT e.obj FROM e WHERE e.id = g.id ORDER BY op_id DESC LIMIT 1) AS obj, (SELECT e.old FROM e WHERE e.id = g.id ORDER BY op_id LIMIT 1) AS old FROM (SELECT DISTINCT id FROM e) g",
-    "max(obj) FILTER (WHERE hi = 1) AS obj, max(old) FILTER (WHERE lo = 1) AS old FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY op_id DESC) AS hi, row_number() OVER (PARTITION BY id ORDER BY op_id) AS lo FROM e) GROUP BY id",
-))
+@checked(f"""{_CHANGES}, f AS (SELECT id, max(obj) FILTER (WHERE hi = 1) AS obj, max(old) FILTER (WHERE lo = 1) AS old FROM (
+  SELECT *, row_number() OVER (PARTITION BY id ORDER BY op_id DESC) AS hi, row_number() OVER (PARTITION BY id ORDER BY op_id) AS lo FROM c) GROUP BY id)
+SELECT id, obj.name AS new_name, old.name AS old_name, obj.text AS new_text, old.text AS old_text FROM f WHERE obj IS DISTINCT FROM old""")
 def net_changes(spark, d):
-    """One change for each user over the whole log."""
-    return net(_op_changes(spark, d, "users").changes).select("id", F.col("obj.name").alias("new_name"), F.col("old.name").alias("old_name"))
+    """One change for each object over the whole log."""
+    return net(_op_changes(spark, d).changes).select("id", F.col("obj.name").alias("new_name"), F.col("old.name").alias("old_name"), F.col("obj.text").alias("new_text"), F.col("old.text").alias("old_text"))
 
 
 @checked("SELECT id, arg_max(v, src) AS v FROM (SELECT CAST(c_custkey AS VARCHAR) AS id, c_name AS v, 1 AS src FROM customer UNION ALL SELECT CAST(s_suppkey AS VARCHAR), s_name, 2 FROM supplier) GROUP BY id")
@@ -236,41 +230,45 @@ def range_join(spark, d):
     return range_lookup(_read(spark, d, "events").select("event_id"), spans, "event_id", "lo", "hi", 250).select("event_id", "s_suppkey")
 
 
-# aggregates
+# aggregates, each through the engine's groups
+
+
+def _grouped(df: DataFrame, key: str, aggregates: dict) -> DataFrame:
+    return Group(Rows(df), key, aggregates).rows()
 
 
 @checked("SELECT event_type AS id, count(*) AS cnt, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents, max(value) AS mx, min(value) AS mn FROM events GROUP BY event_type")
 def agg_add_max_min(spark, d):
     cents = F.round(F.col("value") * 100).cast("bigint")
-    return events(spark, d).groupBy(F.col("event_type").alias("id")).agg(F.count("*").alias("cnt"), F.sum(cents).alias("cents"), F.max("value").alias("mx"), F.min("value").alias("mn"))
+    return _grouped(events(spark, d), "event_type", {"cnt": F.count("*"), "cents": F.sum(cents), "mx": F.max("value"), "mn": F.min("value")})
 
 
-@checked("SELECT user_id, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS types FROM events GROUP BY user_id")
+@checked("SELECT CAST(user_id AS VARCHAR) AS id, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS types FROM events GROUP BY user_id")
 def agg_add_to_set(spark, d):
-    return events(spark, d).groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("types"))
+    return _grouped(events(spark, d), "user_id", {"types": F.array_join(F.array_sort(F.collect_set("event_type")), ",")})
 
 
-@checked("SELECT author, array_to_string(list_sort(list(DISTINCT r)), ',') AS reactions FROM (SELECT author, unnest(reactions) AS r FROM m) WHERE r IS NOT NULL AND author IS NOT NULL GROUP BY author")
+@checked("SELECT author AS id, array_to_string(list_sort(list(DISTINCT r)), ',') AS reactions FROM (SELECT author, unnest(reactions) AS r FROM m) WHERE r IS NOT NULL AND author IS NOT NULL GROUP BY author")
 def agg_merge_sets(spark, d):
     """The union of the reactions of each author's messages, elements told apart before the shuffle."""
-    each = messages(spark, d).select("author", F.explode("reactions").alias("r")).filter("r is not null and author is not null")
-    return each.groupBy("author").agg(F.array_join(F.array_sort(F.collect_set("r")), ",").alias("reactions"))
+    each = Rows(messages(spark, d)).flat_map(lambda f: F.transform(F.array_distinct(F.filter(f("reactions"), lambda r: r.isNotNull())), lambda r: F.struct(F.concat_ws("_", f("id"), r).alias("id"), f("author").alias("author"), r.alias("r"))))
+    return Group(each, "author", {"reactions": F.array_join(F.array_sort(F.collect_set("r")), ",")}).rows()
 
 
-@checked("SELECT user_id, arg_max(event_type, event_id) AS last_type, max(event_id) AS last_id FROM events GROUP BY user_id")
+@checked("SELECT CAST(user_id AS VARCHAR) AS id, arg_max(event_type, event_id) AS last_type, max(event_id) AS last_id FROM events GROUP BY user_id")
 def latest_state(spark, d):
-    return events(spark, d).groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("last_type"), F.max("event_id").alias("last_id"))
+    return _grouped(events(spark, d), "user_id", {"last_type": F.max_by("event_type", "event_id"), "last_id": F.max("event_id")})
 
 
-@checked("SELECT user_id, arg_min(event_type, event_id) AS first_type FROM events GROUP BY user_id")
+@checked("SELECT CAST(user_id AS VARCHAR) AS id, arg_min(event_type, event_id) AS first_type FROM events GROUP BY user_id")
 def first_state(spark, d):
-    return events(spark, d).groupBy("user_id").agg(F.min_by("event_type", "event_id").alias("first_type"))
+    return _grouped(events(spark, d), "user_id", {"first_type": F.min_by("event_type", "event_id")})
 
 
-@checked("SELECT user_id, CAST(sum(CASE WHEN event_type = 'purchase' AND value >= 50 THEN 1 ELSE 0 END) AS BIGINT) AS big FROM events GROUP BY user_id")
+@checked("SELECT CAST(user_id AS VARCHAR) AS id, CAST(sum(CASE WHEN event_type = 'purchase' AND value >= 50 THEN 1 ELSE 0 END) AS BIGINT) AS big FROM events GROUP BY user_id")
 def agg_conditional(spark, d):
     big = F.when((F.col("event_type") == "purchase") & (F.col("value") >= 50), 1).otherwise(0)
-    return events(spark, d).groupBy("user_id").agg(F.sum(big).cast("bigint").alias("big"))
+    return _grouped(events(spark, d), "user_id", {"big": F.sum(big).cast("bigint")})
 
 
 @checked("SELECT id, name FROM u")
@@ -297,14 +295,35 @@ def mut_max_min_legacy(spark, d):
     return _updated(df, [{"op": "max", "property": "mx", "value": 0}, {"op": "min", "property": "mn", "value": 100}], legacy=True)
 
 
-@checked("""SELECT id, array_to_string(list_append(list_filter(coalesce(reactions, []), lambda e: e <> 'wow'), 'wow'), ',') AS added,
-array_to_string(list_filter(coalesce(reactions, []), lambda e: e <> 'wow'), ',') AS removed,
-array_to_string(list_concat(['new', 'wow'], list_filter(coalesce(reactions, []), lambda e: e <> 'new' AND e <> 'wow')), ',') AS merged FROM (SELECT id, reactions FROM m)""")
+_SET_OPS = """SELECT id, array_to_string(list_transform(list_append(list_filter(r, lambda e: e IS DISTINCT FROM 'wow'), 'wow'), lambda e: coalesce(e, '-')), ',') AS added,
+array_to_string(list_transform(list_filter(r, lambda e: e IS DISTINCT FROM 'wow'), lambda e: coalesce(e, '-')), ',') AS removed,
+array_to_string(list_sort(list_distinct(list_concat(['new', 'wow'], r))), ',') AS merged, CAST(list_count(r) < len(r) AS INTEGER) AS nulls
+FROM (SELECT id, coalesce(reactions, []) AS r FROM m)"""
+
+
+def _set_ops(spark, d, argument):
+    """addToSet, deleteFromSet and mergeSets on arrays as they are, with nulls and repeats."""
+    df = messages(spark, d).select("id", *[F.col("reactions").alias(c) for c in ("added", "removed", "merged")])
+    ops = [{"op": "addToSet", "property": "added", "value": "wow"}, {"op": "deleteFromSet", "property": "removed", "value": "wow"}, {"op": "mergeSets", "property": "merged", argument: ["new", "wow"]}]
+    out, shown = _updated(df, ops), lambda c: F.array_join(c, ",", "-").alias(c)
+    return out.select("id", shown("added"), shown("removed"), F.array_join(F.array_sort(F.filter("merged", lambda x: x.isNotNull())), ",").alias("merged"), F.exists("merged", lambda x: x.isNull()).cast("int").alias("nulls"))
+
+
+@checked(_SET_OPS)
 def mut_sets(spark, d):
-    df = messages(spark, d).select("id", *[F.array_distinct(F.filter("reactions", lambda x: x.isNotNull())).alias(c) for c in ("added", "removed", "merged")])
-    ops = [{"op": "addToSet", "property": "added", "value": "wow"}, {"op": "deleteFromSet", "property": "removed", "value": "wow"}, {"op": "mergeSets", "property": "merged", "value": ["new", "wow"]}]
-    out = _updated(df, ops)
-    return out.select("id", *[F.array_join(c, ",").alias(c) for c in ("added", "removed", "merged")])
+    return _set_ops(spark, d, "value")
+
+
+@checked(_SET_OPS)
+def mut_merge_sets_values(spark, d):
+    return _set_ops(spark, d, "values")
+
+
+@checked("""SELECT CAST(c_custkey AS VARCHAR) AS id, concat_ws(',', CASE WHEN c_acctbal >= 5000 THEN 'gte' END, CASE WHEN c_acctbal < 1000 THEN 'lt' END, CASE WHEN c_acctbal <= 0 THEN 'lte' END) AS said FROM customer""")
+def mut_comparisons(spark, d):
+    df = customers(spark, d).select("id", F.col("c_acctbal").alias("n"))
+    ops = [{"op": "conditional", "conditions": [{"test": t, "property": "n", "value": v}], "operations": [{"op": "set", "property": t, "value": t}]} for t, v in (("gte", 5000), ("lt", 1000), ("lte", 0))]
+    return _updated(df, ops).select("id", F.concat_ws(",", "gte", "lt", "lte").alias("said"))
 
 
 @checked("SELECT CAST(o_orderkey AS VARCHAR) AS id, o_totalprice, o_orderstatus, CASE WHEN coalesce(o_totalprice > 200000, false) AND o_orderstatus = 'O' THEN 'vip' ELSE o_orderpriority END AS pr FROM orders")
@@ -325,15 +344,16 @@ def mut_tests(spark, d):
     ])
 
 
-@checked("""SELECT id, coalesce(name, 'nobody') AS name, 'x' AS home_city, 5 AS home_floor, 1 AS seen FROM u""")
+@checked("""SELECT id, coalesce(name, 'nobody') AS name, coalesce(name, 'y') AS home_city, 5 AS home_floor, CASE WHEN length(name) > 8 THEN length(name) ELSE 7 END AS home_size, 1 AS seen FROM u""")
 def mut_merge(spark, d):
     """merge of an object into the whole document and into a path, reverseMerge that fills only what's missing."""
-    df = users(spark, d).withColumn("home", F.struct(F.lit("x").alias("city"), F.lit(2).alias("floor")))
+    size = F.when(F.length("name") > 8, F.length("name"))
+    df = users(spark, d).withColumn("home", F.struct(F.col("name").alias("city"), F.lit(2).alias("floor"), size.alias("size")))
     out = _updated(df, [
         {"op": "merge", "value": {"seen": 1}}, {"op": "merge", "property": "home", "value": {"floor": 5}},
-        {"op": "reverseMerge", "value": {"name": "nobody", "home": {"city": "y"}}},
+        {"op": "reverseMerge", "value": {"name": "nobody", "home": {"city": "y", "size": 7}}},
     ])
-    return out.select("id", "name", F.col("home.city").alias("home_city"), F.col("home.floor").alias("home_floor"), "seen")
+    return out.select("id", "name", *[F.col(f"home.{c}").alias(f"home_{c}") for c in ("city", "floor", "size")], "seen")
 
 
 # functions

@@ -91,15 +91,11 @@ class Index(Table):
 
 
 class IndexOutput(Output):
-    """As Output, without order and writers, with ``update``. With rows put or deleted beside streams every update compares whole results."""
+    """As Output, without order and writers. With rows put or deleted beside streams every update compares whole results."""
 
     def set_reverse(self, reverse: bool = True) -> None:
         raise TypeError("an index has no order of its own")
 
-    def update(self, source: Stream, key: str, aggregates: Mapping[str, F.Column] | Mapping) -> None:
-        """Accumulate rows of a source into one row for each value of a field; groups that change are computed anew, so all aggregates can shrink."""
-        self.change(source.group(key, aggregates))
-
 
 class Recompute(Stream):
     """Any function of whole sources: computed anew before and now, of which the difference is taken. For what no other stream can express."""
