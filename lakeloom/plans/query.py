@@ -36,6 +36,14 @@ class Stream:
     def changes(self) -> ChangeStream:
         raise NotImplementedError
 
+    def moved(self) -> bool:
+        """Whether any source changed between the two."""
+        raise NotImplementedError
+
+    def latest(self) -> ChangeStream:
+        """The rows of all ids that may have changed, as they are now; for what compares them with rows of its own."""
+        return self.changes().by_result_id()
+
     def filter(self, test: Callable[[Fields], Column]) -> Stream:
         return Linear(self, lambda c: c.filter(test))
 
@@ -93,6 +101,9 @@ class Source(Stream):
     def changes(self) -> ChangeStream:
         return ChangeStream(self.range.filter(net(self.frame.changes(self.collection))))
 
+    def moved(self) -> bool:
+        return self.frame.before.get(self.collection.changelog.path) != self.frame.see(self.collection)
+
 
 class Rows(Stream):
     """Rows of a DataFrame with a string ``id``, as a stream that never changes."""
@@ -106,6 +117,9 @@ class Rows(Stream):
     def changes(self) -> ChangeStream:
         return ChangeStream.of_rows(self.df.limit(0))
 
+    def moved(self) -> bool:
+        return False
+
 
 class Linear(Stream):
     """What treats each change by itself."""
@@ -121,25 +135,38 @@ class Linear(Stream):
     def changes(self) -> ChangeStream:
         return self.step(self.source.changes()).by_result_id()
 
+    def moved(self) -> bool:
+        return self.source.moved()
+
 
 class Lookup(Stream):
     def __init__(self, left: Stream, right: Stream, key: str, into: str):
         self.left, self.right, self.key, self.into = left, right, key, into
 
     def rows(self, when: str = "now", ids: DataFrame | None = None) -> DataFrame:
-        return lookup_join(self.left.rows(when, ids), self.right.rows(when), self.key, self.into)
+        left = self.left.rows(when, ids)
+        # with few left rows only the right rows they name are put together
+        right = self.right.rows(when, None if ids is None else left.filter(F.col(self.key).isNotNull()).select(F.col(self.key).alias("id")).distinct())
+        return lookup_join(left, right, self.key, self.into)
+
+    def _touched(self) -> DataFrame:
+        """Left rows that changed or that name a right row that did. A left row that no longer names it is itself a change, so looking at what names it now is enough."""
+        touched = self.left.changes().changes.select("id") if self.left.moved() else None
+        if self.right.moved():
+            of_right = self.right.changes().changes.select(F.col("id").alias("_right"))
+            left = self.left.rows("now").select("id", self.key)
+            named = left.join(of_right, left[self.key] == of_right["_right"], "left_semi").select("id")
+            touched = named if touched is None else touched.union(named)
+        return self.left.rows("now").select("id").limit(0) if touched is None else touched.distinct()
 
     def changes(self) -> ChangeStream:
-        """Recompute the left rows that changed or whose right row did, before and after, and keep what differs.
+        return _difference(self, self._touched())
 
-        Left rows that refer to changed right rows are found by a semi join, both before and after, as their field may have changed too.
-        """
-        touched = self.left.changes().changes.select("id")
-        of_right = self.right.changes().changes.select(F.col("id").alias("_right"))
-        for when in ("before", "now"):
-            left = self.left.rows(when)
-            touched = touched.union(left.join(of_right, left[self.key] == of_right["_right"], "left_semi").select("id"))
-        return _difference(self, touched.distinct())
+    def latest(self) -> ChangeStream:
+        return _as_now(self, self._touched())
+
+    def moved(self) -> bool:
+        return self.left.moved() or self.right.moved()
 
 
 class Group(Stream):
@@ -151,10 +178,19 @@ class Group(Stream):
         rows = restricted(rows.filter("_group is not null"), ids, "_group")
         return rows.groupBy(F.col("_group").alias("id")).agg(*[c.alias(n) for n, c in self.aggregates.items()])
 
-    def changes(self) -> ChangeStream:
+    def _touched(self) -> DataFrame:
         c = self.source.changes().changes
         sides = [c.select(F.col(f"{s}.{self.key}").cast("string").alias("id")) for s in ("obj", "old")]
-        return _difference(self, sides[0].union(sides[1]).filter("id is not null").distinct())
+        return sides[0].union(sides[1]).filter("id is not null").distinct()
+
+    def changes(self) -> ChangeStream:
+        return _difference(self, self._touched())
+
+    def latest(self) -> ChangeStream:
+        return _as_now(self, self._touched())
+
+    def moved(self) -> bool:
+        return self.source.moved()
 
 
 def _difference(node: Stream, ids: DataFrame) -> ChangeStream:
@@ -166,6 +202,16 @@ def _difference(node: Stream, ids: DataFrame) -> ChangeStream:
     return ChangeStream(both.filter(~F.col("obj").eqNullSafe(F.col("old"))).select(F.coalesce("_a", "_b").alias("id"), F.lit("").alias("seq"), "obj", "old"))
 
 
+def _as_now(node: Stream, ids: DataFrame) -> ChangeStream:
+    """The rows with these ids as they are now; of those that aren't there only the id is known, on the old side."""
+    ids = materialize(ids.select("id"), "touched")
+    now = node.rows("now", ids)
+    found = now.select(F.col("id").alias("_found"), doc_of(now).alias("obj"))
+    none = F.struct(*[(F.col("id") if f.name == "id" else F.lit(None)).cast(f.dataType).alias(f.name) for f in now.schema.fields])
+    both = ids.join(found, ids["id"] == found["_found"], "left")
+    return ChangeStream(both.select("id", F.lit("").alias("seq"), "obj", F.when(F.col("_found").isNull(), none).alias("old")))
+
+
 class Frame:
     """The moments a query looks at: for each source the version before and now. Without ``before`` everything is new."""
 
@@ -269,20 +315,21 @@ class Output:
         return self.database.open(kind, name)
 
     def changed(self) -> ChangeStream | None:
-        """What the changes of the sources do to the result; None where only comparing whole results can tell, as rows or deletes were said.
+        """All rows of the result that the changes of the sources may have changed, as they are now; None where only comparing whole results can tell, as rows or deletes were said.
 
         With several streams a row that one of them loses may still be held by another, so the ids that any of them touches are looked
-        up in all, before and now.
+        up in all.
         """
         if not all(isinstance(s, Stream) for s in self._said):
             return None
-        changes = [s.changes().by_result_id() for s in self._said]
-        if len(changes) == 1:
-            return changes[0]
-        ids = changes[0].changes.select("id")
-        for c in changes[1:]:
-            ids = ids.union(c.changes.select("id"))
-        return _difference(_Result(self), ids.distinct())
+        if len(self._said) == 1:
+            return self._said[0].latest()
+        ids = None
+        for stream in self._said:
+            if stream.moved():
+                own = stream.latest().changes.select("id")
+                ids = own if ids is None else ids.union(own)
+        return None if ids is None else _as_now(_Result(self), ids.distinct())
 
     def _changes(self, when: str = "now", ids: DataFrame | None = None) -> list[ChangeStream]:
         """What was said, streams as inserts of their rows."""

@@ -12,7 +12,7 @@ import json
 import time
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -167,8 +167,9 @@ class Changelog:
 
     def _publish(self, stamped: DataFrame, base: int, ms: int, note: dict | None) -> int:
         staged = f"{self.path}/staging/{uuid.uuid4().hex}"
-        stamped.write.parquet(staged)
-        n, first, last = self.spark.read.schema(stamped.schema).parquet(staged).agg(F.count("*"), F.min("seq"), F.max("seq")).first()
+        seen = Observation()
+        stamped.observe(seen, F.count(F.lit(1)).alias("n"), F.min("seq").alias("first"), F.max("seq").alias("last")).write.parquet(staged)
+        n, first, last = (seen.get[k] for k in ("n", "first", "last"))
         if not n and not note:
             self.files.delete(staged)
             return base

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -111,14 +112,18 @@ class Recompute(Stream):
         ids = self.rows("now").select("id").union(self.rows("before").select("id")).distinct()
         return _difference(self, ids)
 
+    def moved(self) -> bool:
+        return any(s.moved() for s in self.sources.values())
+
+
+_NAMES = re.compile(r"'(?:[^'\\]|\\.)*'|\b\w+\b")
+
 
 def sql_stream(input: Input, sources: Mapping[str, str], statement: str) -> Recompute:
-    """A stream of a SQL text over tables, by their names in the text; the text's rows must have a string ``id``."""
+    """A stream of a SQL text over tables, by their names in the text, which nothing else in it may have; the text's rows must have a string ``id``."""
 
     def compute(frames: Mapping[str, DataFrame]) -> DataFrame:
-        spark = input.database.spark
-        for n, df in frames.items():
-            df.createOrReplaceTempView(n)
-        return spark.sql(statement)
+        # frames are named in the call, so no view is left in the session
+        return input.database.spark.sql(_NAMES.sub(lambda m: f"{{{m[0]}}}" if m[0] in frames else m[0], statement.replace("{", "{{").replace("}", "}}")), **frames)
 
     return Recompute({n: input.table(t) for n, t in sources.items()}, compute)
