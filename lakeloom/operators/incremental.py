@@ -38,7 +38,9 @@ class IncrementalTarget:
 
     keys and version name columns of the source; outputs maps the other columns of the target to expressions over the source,
     one row of the target for each record. Source columns of other names don't matter. Empty sources and a target without any
-    version are fine; null keys match null keys. The source must have one row for each key (see latest_delivery).
+    version are fine; null keys match null keys. The source must have one row for each key (see latest_delivery). Each run adds a part;
+    of more than ``compact_after`` the last ones that aren't much larger than what follows them become one, so a row is written again
+    in proportion to the logarithm of the number of rows.
     """
 
     def __init__(self, table: VersionedTable, keys: Sequence[str], version: str, outputs: Mapping[str, Column] | None = None, compact_after: int = 8):
@@ -47,35 +49,45 @@ class IncrementalTarget:
     def rows(self, version: int | None = None) -> DataFrame | None:
         """The target's rows, one for each key: of several parts the newest holds."""
         m = self.table.manifest(version)
-        df = self.table.read(m["version"])
-        if df is None:
-            return None
-        if len(m["parts"]) == 1:
-            return df.drop("_part")
-        rest = [c for c in df.columns if c not in (*self.keys, "_part")]
+        return self._newest(m, m["parts"]) if m["parts"] else None
+
+    def _newest(self, manifest: dict, parts: Sequence[str], only: Sequence[str] | None = None) -> DataFrame:
+        df = self.table.read_parts(manifest, parts)
+        rest = [c for c in (df.columns if only is None else only) if c not in (*self.keys, "_part")]
+        if len(parts) == 1:
+            return df.select(*self.keys, *rest)
         best = df.groupBy(*self.keys).agg(F.max(F.struct("_part", *rest)).alias("_best"))
         return best.select(*self.keys, *[F.col(f"_best.{c}").alias(c) for c in rest])
 
     def pending(self, source: DataFrame, version: int | None = None) -> DataFrame:
         """Records of the source that the target doesn't hold in their version."""
-        rows = self.rows(version)
-        if rows is None:
+        m = self.table.manifest(version)
+        if not m["parts"]:
             return source
+        rows = self._newest(m, m["parts"], [self.version])
         held = rows.select(*[F.col(c).alias(f"_held_{c}") for c in (*self.keys, self.version)])
         same = null_safe((source[c], held[f"_held_{c}"]) for c in (*self.keys, self.version))
         return source.join(held, same, "left_anti")
 
     def run(self, source: DataFrame, *, before_publish: Callable[[], None] | None = None) -> int:
-        """Process what is pending and publish; returns the version that holds afterwards (a run that finds nothing publishes no new rows)."""
+        """Process what is pending and publish; returns the version that holds afterwards. A run that finds nothing publishes nothing."""
         base = self.table.manifest()
         shape = [*[F.col(c) for c in (*self.keys, self.version)], *[e.alias(n) for n, e in self.outputs.items()]]
         new = self.pending(source, base["version"]).select(*shape)
-        if len(base["parts"]) + 1 < self.compact_after:
-            return self.table.publish(new, append=True, base=base["version"], before_publish=before_publish)
-        old = self.rows(base["version"])
-        mine = new.select(*[F.col(c).alias(f"_new_{c}") for c in self.keys])
-        kept = old.join(mine, null_safe((old[c], mine[f"_new_{c}"]) for c in self.keys), "left_anti")
-        return self.table.publish(kept.unionByName(new), base=base["version"], before_publish=before_publish)
+        part, n = self.table.write_part(new)
+        if not n:
+            return base["version"]
+        parts, rows = [*base["parts"], part], base.get("rows", {}) | {part: n}
+        if len(parts) > self.compact_after:
+            first, held = len(parts) - 1, n
+            while first and (first > self.compact_after - 1 or rows[parts[first - 1]] <= 2 * held):
+                first -= 1
+                held += rows[parts[first]]
+            if first < len(parts) - 1:
+                manifest = base | {"parts": parts, "schema": new.schema.jsonValue()}
+                merged, n = self.table.write_part(self._newest(manifest, parts[first:]))
+                parts, rows = [*parts[:first], merged], rows | {merged: n}
+        return self.table.publish_parts(parts, rows, new.schema, base["version"], None, before_publish)
 
 
 def run_marks(runs: DataFrame, by: Sequence[str], status: str = "status", read_to: str = "read_to", done: str = "succeeded") -> DataFrame:

@@ -123,13 +123,9 @@ def _p4_changes(spark: SparkSession, d: str) -> DataFrame:
     return records(spark, d).select("store", "object_id", F.col("op_id").alias("seq"), F.lit("").alias("tie"), (~F.col("put")).alias("deleted"), F.when(F.col("put"), payload).alias("payload"))
 
 
-def _p4_log_rows(spark: SparkSession, d: str) -> int:
-    return table(spark, d, "op_log").count()
-
-
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     state = VersionedTable(spark, work_path(spark, "p4_state"))
-    apply_changes(state, _p4_changes(spark, d), _p4_log_rows(spark, d))
+    apply_changes(state, _p4_changes(spark, d))
     return current(state).select("store", "object_id", F.col("seq").alias("op_id"))
 
 
@@ -138,15 +134,16 @@ def p4_current_state(spark: SparkSession, d: str) -> DataFrame:
 
     Of rows of a base table with the same id the one that arrived last counts. op_id is empty for objects that op_log didn't touch.
     """
-    state, base, rows = VersionedTable(spark, work_path(spark, "p4_state")), None, _p4_log_rows(spark, d)
+    state, base = VersionedTable(spark, work_path(spark, "p4_state")), None
     for store, fields in (("users", {"name"}), ("messages", {"author", "text", "reactions"})):
-        rows += (df := table(spark, d, store)).count()
+        df = table(spark, d, store)
         payload = F.to_json(F.struct(*[(F.col(c) if c in fields else F.lit(None).cast(t)).alias(c) for c, t in (("name", "string"), ("author", "string"), ("text", "string"), ("reactions", "array<string>"))]))
         time = F.date_format("arrived_at", "yyyy-MM-dd HH:mm:ss.SSSSSS")
         # of rows that arrived at the same moment the greatest text counts
         changes = df.select(F.lit(store).alias("store"), F.col("id").alias("object_id"), F.lit("").alias("seq"), F.concat(F.coalesce(time, F.lit("")), F.lit(" "), payload).alias("tie"), F.lit(False).alias("deleted"), payload.alias("payload"))
         base = changes if base is None else base.unionByName(changes)
-    apply_changes(state, base.unionByName(_p4_changes(spark, d)), rows)
+    apply_changes(state, base)
+    apply_changes(state, _p4_changes(spark, d))
     content = F.from_json("payload", PAYLOAD)
     fields = [content[c].alias(c) for c in ("name", "author", "text")]
     return current(state).select("store", "object_id", F.col("seq").alias("op_id"), *fields, F.to_json(content["reactions"]).alias("reactions"))

@@ -10,9 +10,9 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,25 +41,37 @@ class VersionedTable:
     def read(self, version: int | None = None) -> DataFrame | None:
         """Rows of the version's parts, the number of the part in ``_part``; None before the first version."""
         m = self.manifest(version)
-        if not m["parts"]:
-            return None
-        schema, out = T.StructType.fromJson(m["schema"]), None
-        for i, part in enumerate(m["parts"]):
-            df = self.spark.read.schema(schema).parquet(f"{self.path}/data/{part}").withColumn("_part", F.lit(i))
+        return self.read_parts(m, m["parts"]) if m["parts"] else None
+
+    def read_parts(self, manifest: dict, parts: Sequence[str]) -> DataFrame:
+        """Rows of some parts, numbered by their place in the manifest."""
+        schema, out = T.StructType.fromJson(manifest["schema"]), None
+        for part in parts:
+            df = self.spark.read.schema(schema).parquet(f"{self.path}/data/{part}").withColumn("_part", F.lit(manifest["parts"].index(part)))
             out = df if out is None else out.unionByName(df)
         return out
 
+    def write_part(self, df: DataFrame) -> tuple[str, int]:
+        """Write rows as a part that no version lists yet; its name and how many rows it has."""
+        part, seen = uuid.uuid4().hex, Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(f"{self.path}/data/{part}")
+        return part, seen.get["n"]
+
     def publish(self, df: DataFrame, *, append: bool = False, meta: dict | None = None, base: int | None = None, before_publish: Callable[[], None] | None = None) -> int:
         """Write df and make it the next version, alone or after the parts of the version before (append).
 
         base: the version df was computed from; if it's no longer the current one, VersionConflict.
         """
         old = self.manifest(base)
-        part = uuid.uuid4().hex
-        df.write.parquet(f"{self.path}/data/{part}")
+        part, n = self.write_part(df)
+        parts, rows = ([*old["parts"], part], old.get("rows", {}) | {part: n}) if append else ([part], {part: n})
+        return self.publish_parts(parts, rows, df.schema, old["version"], meta, before_publish)
+
+    def publish_parts(self, parts: Sequence[str], rows: dict[str, int], schema: T.StructType, base: int, meta: dict | None = None, before_publish: Callable[[], None] | None = None) -> int:
+        """Make parts that are written the next version after base; rows: how many each has. If another writer was first, VersionConflict."""
         if before_publish:
             before_publish()
-        new = {"version": old["version"] + 1, "parts": [*(old["parts"] if append else []), part], "schema": df.schema.jsonValue(), "meta": meta or {}}
+        new = {"version": base + 1, "parts": [*parts], "rows": {p: rows[p] for p in parts if p in rows}, "schema": schema.jsonValue(), "meta": meta or {}}
         self.files.mkdirs(f"{self.path}/versions")
         tmp = f"{self.path}/versions/.{uuid.uuid4().hex}.tmp"
         self.files.write_text(tmp, json.dumps(new))
@@ -71,7 +83,7 @@ class VersionedTable:
     def vacuum(self, keep: int = 1) -> int:
         """Remove manifests but the last ``keep`` and the data that no kept manifest lists; no writer may be at work."""
         v = self.version()
-        kept = {p for i in range(max(1, v - keep + 1), v + 1) for p in self.manifest(i)["parts"]} if v else set()
+        kept = {p for i in range(max(1, v - keep + 1), v + 1) for p in (*self.manifest(i)["parts"], *self.manifest(i)["meta"].get("buckets", {}).values())} if v else set()
         gone = [n for n in self.files.names(f"{self.path}/data") if n not in kept and not n.startswith(".")]
         for n in self.files.names(f"{self.path}/versions"):
             if n.endswith(".tmp") or n.endswith(".json") and not n.startswith(".") and int(n[:-5]) <= v - keep:

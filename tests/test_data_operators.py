@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakeloom.functions.keys import numbered
-from lakeloom.operators.cdc import ROWS_A_BUCKET, _upsert_batches, apply_changes, current, reduce_changes
+from lakeloom.operators import cdc
+from lakeloom.operators.cdc import _upsert_batches, apply_changes, current, reduce_changes, state_of
 from lakeloom.operators.history import AttributeHistory, snapshot_events
 from lakeloom.operators.hotkeys import KeyProfile, distinct_elements, hot_keys, id_owner
 from lakeloom.operators.incremental import IncrementalTarget, fingerprint, latest_delivery, run_marks, state_at_marks
@@ -48,8 +49,23 @@ def test_runs_take_what_is_new_or_changed(spark, tmp_path):
         assert {(r.store, r.id, r.v, r.shown) for r in t.rows().collect()} == {(s, k, v, v and v.upper()) for s, k, v in rows}
         assert t.rows().count() == len(rows)
         assert len(t.table.manifest()["parts"]) <= 3
+    version = t.table.version()
     t.run(source(spark, []))
-    assert t.rows().count() == len(rows)
+    assert t.run(source(spark, rows)) == version and t.rows().count() == len(rows)  # nothing pending, nothing published
+
+
+def test_parts_are_merged_by_size(spark, tmp_path):
+    t, rows = target(spark, tmp_path, compact_after=3), [("a", str(i), "x") for i in range(300)]
+    t.run(source(spark, rows))
+    first = t.table.manifest()["parts"][0]
+    for i in range(9):
+        rows[i] = ("a", str(i), f"y{i}")
+        t.run(source(spark, rows))
+        m = t.table.manifest()
+        assert len(m["parts"]) <= 3 and m["parts"][0] == first  # the large part isn't written again
+    assert {(r.id, r.v) for r in t.rows().collect()} == {(i, v) for _, i, v in rows}
+    rows[0] = ("a", "0", "x")  # back to what an old part says
+    assert t.pending(source(spark, rows)).count() == 1
 
 
 def test_a_failed_run_leaves_nothing_and_the_next_takes_all(spark, tmp_path):
@@ -243,7 +259,8 @@ def test_changes_in_any_order(spark, tmp_path):
     for part in (rows[:1000], rows[1000:2000], rows[2000:], rows[:50], []):
         apply_changes(table, changes(spark, part).repartition(3))
     assert {tuple(r) for r in current(table).collect()} == brute(rows)
-    assert table.read().filter("deleted").count() > 0  # tombstones stay
+    assert state_of(table).filter("deleted").count() > 0  # tombstones stay
+    assert table.version() == 4  # the last changes were none
     assert reduce_changes(changes(spark, [])).count() == 0
 
 
@@ -256,7 +273,24 @@ def test_a_first_reduction_may_flush():
     assert len(flushed) == 28
     whole = [r for b in _upsert_batches(iter(batches)) for r in b.to_pylist()]
     assert {(r["object_id"], r["seq"]) for r in whole} == {(o, max(r["seq"] for r in flushed if r["object_id"] == o)) for o in {r["object_id"] for r in flushed}}
-    assert ROWS_A_BUCKET > 1000
+
+
+def test_only_touched_buckets_are_written(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(cdc, "ROWS_A_BUCKET", 10)
+    table, rows = VersionedTable(spark, f"file://{tmp_path}/state"), [("s", f"o{i}", "1", "", False, f"p{i}") for i in range(200)]
+    apply_changes(table, changes(spark, rows))
+    before = table.manifest()["meta"]
+    assert before["of"] == 20 and len(before["buckets"]) == 20
+    more = [("s", "o7", "2", "", True, None), ("s", "o7", "0", "", False, "late"), ("s", "new", "1", "", False, "n")]
+    apply_changes(table, changes(spark, more))
+    after = table.manifest()["meta"]
+    assert 1 <= sum(after["buckets"][b] != p for b, p in before["buckets"].items()) <= 2
+    assert {tuple(r) for r in current(table).collect()} == brute(rows + more)
+    many = [("s", f"x{i}", "1", "", False, "q") for i in range(1000)]
+    apply_changes(table, changes(spark, many))  # too many for the buckets there are
+    assert table.manifest()["meta"]["of"] > 80
+    assert {tuple(r) for r in current(table).collect()} == brute(rows + more + many)
+    assert table.vacuum() >= 2 and current(table).count() == 1200
 
 
 # p5
