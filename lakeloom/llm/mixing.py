@@ -54,9 +54,9 @@ class Mixture:
 
     def laid_out(self) -> DataFrame:
         """(source_key, doc_id, n_tokens, start, supply): where each text begins in one pass over its source, and the source's size."""
-        h = F.xxhash64("doc_id", F.lit(self.seed))
+        h = F.md5(F.concat_ws(":", "doc_id", F.lit(self.seed)))
         texts = self.sized.filter("source_key is not null and n_tokens > 0").withColumn("_h", h)
-        texts = texts.withColumn("_range", F.shiftrightunsigned("_h", 64 - self.bits) if self.bits else F.lit(0).cast("bigint"))
+        texts = texts.withColumn("_range", F.shiftright(F.conv(F.substring("_h", 1, 8), 16, 10).cast("bigint"), 32 - self.bits))
         sums = texts.groupBy("source_key", "_range").agg(F.sum("n_tokens").alias("_n"))
         by_source = Window.partitionBy("source_key")
         upto = F.sum("_n").over(by_source.orderBy("_range")) - F.col("_n")

@@ -9,6 +9,7 @@ before. Pieces without their overlaps, one after the other, are the text.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -24,6 +25,7 @@ LINE_END = re.compile(rb"\n")
 SENTENCE_END = re.compile(rb"[.!?]+[\"')\]]*\s+|\xe3\x80\x82|\xef\xbc\x81|\xef\xbc\x9f")
 WORD_END = re.compile(rb"\s+")
 LEVELS = ("section", "paragraph", "line", "sentence", "word", "character")
+LINE = LEVELS.index("line")
 PIECES = "limit_id int, doc_id long, piece_no int, start_token long, n_tokens long, overlap_tokens long, cut_at string, text string, long_blocks array<int>"
 _PIECES = pa.schema([("limit_id", pa.int32()), ("doc_id", pa.int64()), ("piece_no", pa.int32()), ("start_token", pa.int64()), ("n_tokens", pa.int64()), ("overlap_tokens", pa.int64()), ("cut_at", pa.string()), ("text", pa.string()), ("long_blocks", pa.list_(pa.int32()))])
 
@@ -63,8 +65,6 @@ def blocks(data: bytes) -> list[tuple[int, int, int]]:
 def _cuts(data: bytes, level: int, start: int, end: int, paragraphs: list[int]) -> list[int]:
     """Positions inside (start, end) where a separator of the level ends."""
     if level <= 1:
-        from bisect import bisect_left, bisect_right
-
         inside = paragraphs[bisect_right(paragraphs, start) : bisect_left(paragraphs, end)]
         return [p for p in inside if HEADING.match(data, p)] if level == 0 else inside
     found = (LINE_END, SENTENCE_END, WORD_END)[level - 2]
@@ -96,10 +96,14 @@ def parts(data: bytes, most: int, paragraphs: list[int]) -> Iterator[Part]:
 
 
 def split(data: bytes, limit: Limit) -> tuple[list[tuple[int, int, int, int]], list[int]]:
-    """(start, end, overlap, level of the cut) of each piece, and the numbers of the blocks that alone exceed the limit."""
+    """(start, end, overlap, level of the cut) of each piece, and the numbers of the blocks that alone exceed the limit.
+
+    Such a block is one that had to be divided at lines or finer, as no part exceeds the limit; of the blocks that were, its size decides.
+    """
     own = blocks(data)
-    long_blocks = [i for i, (start, end, _) in enumerate(own) if end - start > limit.max_tokens]
+    starts = [start for start, _, _ in own]
     out: list[tuple[int, int, int, int]] = []
+    long_blocks: list[int] = []
     start = begin = end = 0  # where the piece starts with its overlap, where its own content begins, where it ends
     level = 0
     for part in parts(data, limit.max_tokens - limit.overlap_tokens, [after for _, _, after in own]):
@@ -108,6 +112,8 @@ def split(data: bytes, limit: Limit) -> tuple[list[tuple[int, int, int, int]], l
             begin = end
             start = char_end(data, max(start, end - limit.overlap_tokens))
         end, level = part.end, part.level
+        if level >= LINE and (i := bisect_right(starts, end - 1) - 1) >= 0 and own[i][1] - own[i][0] > limit.max_tokens and (not long_blocks or long_blocks[-1] != i):
+            long_blocks.append(i)
     if end > begin:
         out.append((start, end, begin - start, level))
     return out, long_blocks
@@ -119,8 +125,8 @@ def split_documents(documents: DataFrame, limits: Sequence[Limit]) -> DataFrame:
     documents: (doc_id, text), doc_id unique; other columns don't matter. Null and empty texts and texts within the limit have no
     pieces. No piece has more tokens than the limit, none breaks a character (unless a single one is larger than the limit without
     its overlap). ``overlap_tokens`` is what a piece repeats of the one before: the limit's overlap, or up to three less where a
-    character would be broken, or all of a shorter piece. cut_at is the kind of boundary a piece ends at. long_blocks, the same in all
-    pieces of a document, numbers the blocks (non-empty parts between two or more line ends) that alone exceed the limit.
+    character would be broken, or all of a shorter piece. cut_at is the kind of boundary a piece ends at. long_blocks, in the first
+    piece of a document and null in the others, numbers the blocks (non-empty parts between two or more line ends) that alone exceed the limit.
     """
     if not limits:
         return documents.sparkSession.createDataFrame([], PIECES)
@@ -131,18 +137,18 @@ def split_documents(documents: DataFrame, limits: Sequence[Limit]) -> DataFrame:
         held = 0
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                data = text.as_py().encode()
+                data = text.as_buffer().to_pybytes()
                 for limit in limits:
                     if len(data) <= limit.max_tokens:
                         continue
                     pieces, long_blocks = split(data, limit)
                     for i, (start, end, overlap, level) in enumerate(pieces):
                         kind = "end" if end == len(data) else LEVELS[level]
-                        rows.append((limit.limit_id, doc_id, i, start, end - start, overlap, kind, data[start:end].decode("utf-8", "replace"), long_blocks))
+                        rows.append((limit.limit_id, doc_id, i, start, end - start, overlap, kind, data[start:end].decode("utf-8", "replace"), None if i else long_blocks))
                         held += end - start
-                if held > 4_000_000:
-                    yield _batch(rows)
-                    rows, held = [], 0
+                        if held > 4_000_000:
+                            yield _batch(rows)
+                            rows, held = [], 0
         if rows:
             yield _batch(rows)
 
