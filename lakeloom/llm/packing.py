@@ -407,12 +407,15 @@ class Index:
                     yield from _route(batch.slice(a, 1024), sent.value, Space(**space.value))
 
         self.routed = routed = materialize(queries.select("limit_id", "doc_id", "room", "terms").mapInArrow(route, "group long, limit_id int, doc_id long, room long, terms array<int>, units array<int>"), "routed")
-        blocks = routed.groupBy("group").agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks"))
+        # a row for each group that is asked; the size is known, so Spark broadcasts it while it's small
+        counted = routed.groupBy("group").agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks")).toArrow()
+        blocks = self.spark.createDataFrame(counted) if counted.num_rows else self.spark.createDataFrame([], "group long, _blocks int")
         plan = self.spark.createDataFrame(pa.table({"limit_id": pa.array(self.limit, pa.int32()), "cluster": pa.array(self.cluster, pa.int32()), "band": pa.array(self.band, pa.int32()), "unit": pa.array(np.arange(len(self.n)), pa.int32()), "_group0": pa.array(self.group0), "_pieces": pa.array(self.pieces)}))
         held = self.items.join(F.broadcast(plan), ["limit_id", "cluster", "band"]).withColumn("group", F.col("_group0") + F.pmod(_hash("doc_id"), F.col("_pieces")))
         held = held.select("group", "doc_id", "n_tokens", "unit", "terms", "tfs").join(blocks, "group").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).drop("_blocks")
         asking = routed.join(blocks, "group").withColumn("block", F.pmod(_hash("doc_id"), F.col("_blocks")).cast("int")).drop("_blocks")
-        by = ["group", "block"]
+        by, tasks = ["group", "block"], 2 * max(1, int(counted["_blocks"].to_numpy().sum()))
+        asking, held = asking.repartition(tasks, *by), held.repartition(tasks, *by)
         return asking.groupBy(*by).cogroup(held.groupBy(*by)).applyInArrow(lambda q, t: search_group(q, t, Space(**space.value), Bm25(**bm25.value), k, give_out), FOUND)
 
 
