@@ -39,14 +39,15 @@ class OrderedHistory:
             self.hot = not hot.isEmpty()
         if not self.hot:
             big.unpersist()
-            self.df = df.withColumn("_chunk", F.lit(0))
+            # partitioned once: windows and groups of an entity and whatever else need no exchange of their own
+            self.df = df.withColumn("_chunk", F.lit(0)).repartition(*keys)
             return
         hot = materialize(hot, "hot")
         big.unpersist()
         few = F.broadcast(hot.select(*[F.col(k).alias(f"_hot_{k}") for k in keys]))
         same = null_safe((df[k], few[f"_hot_{k}"]) for k in keys)
         cut = df.join(few, same, "left_semi").repartitionByRange(parts, *keys, order).withColumn("_chunk", F.spark_partition_id() + 1)
-        self.df = df.join(few, same, "left_anti").withColumn("_chunk", F.lit(0)).unionByName(materialize(cut, "chunks"))
+        self.df = df.join(few, same, "left_anti").withColumn("_chunk", F.lit(0)).unionByName(materialize(cut, "chunks")).repartition(*keys, "_chunk")
 
     def _window(self, extra: Sequence[str]):
         return Window.partitionBy(*self.keys, *extra, "_chunk").orderBy(self.order)
