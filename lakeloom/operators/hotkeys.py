@@ -134,9 +134,10 @@ def hot_keys(df: DataFrame, key: Column, percent: int = 1) -> DataFrame:
         raise ValueError("percent must be 1 to 100")
     keyed = df.select(key.alias("key"))
     hashed = F.when(F.col("key").isNotNull(), F.shiftrightunsigned(F.xxhash64("key"), 2))
-    profile = KeyProfile(keyed, F.lit(0), hashed)
-    step = max(1, -(-profile.total * percent // 100))
-    ranks = df.sparkSession.range(1, profile.total // step + 1).select(F.lit(0).alias("key"), F.col("id").cast("double").alias("q"), (F.col("id") * step).alias("rank"))
+    # all rows are one group; as 62 bits shifted by 62 it's no constant, on which Spark would join by nested loops
+    profile = KeyProfile(keyed, F.shiftrightunsigned(hashed, 62), hashed)
+    step = max(1, -(-profile.total * percent // 100))  # total counts rows without a key too
+    ranks = df.sparkSession.range(1, profile.total // step + 1).select(F.shiftrightunsigned("id", 62).alias("key"), F.col("id").cast("double").alias("q"), (F.col("id") * step).alias("rank"))
     found = sorted({r.value for r in profile.select(ranks).collect()})
     return keyed.filter(hashed.isin(found)).groupBy("key").agg(F.count("*").alias("n_rows")).filter(F.col("n_rows") * 100 >= F.lit(profile.total * percent))
 
