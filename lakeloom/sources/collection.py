@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Sequence
+from contextlib import contextmanager
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +26,16 @@ COMPACT_AFTER = 32
 ATTEMPTS = 50
 
 
+@contextmanager
+def _bad_ids():
+    try:
+        yield
+    except Exception as e:
+        if BAD_ID in str(e):
+            raise ValueError(BAD_ID) from e
+        raise
+
+
 class Rows:
     """Reading a keyed collection; everything is a lazy DataFrame, ordered by id where an order is promised."""
 
@@ -104,12 +115,14 @@ class Table(Rows):
         base: the version that wanted was made from; if it's no longer the current one, ConflictError. The snapshot is first restricted to
         the wanted ids by a semi join, so that a small write meets a large table as a broadcast of its ids.
         """
-        try:
+        if base is None and not self.changelog.version():
+            try:  # into an empty table all is new
+                with _bad_ids():
+                    return self._write_from(0, wanted, note, marker)
+            except ConflictError:
+                pass
+        with _bad_ids():
             wanted = materialize(wanted, "wanted")
-        except Exception as e:
-            if BAD_ID in str(e):
-                raise ValueError(BAD_ID) from e
-            raise
         write = lambda base: self._write_from(base, wanted, note, marker)
         version = self._retried(write) if base is None else write(base)
         release(wanted)
@@ -121,10 +134,18 @@ class Table(Rows):
             self.changelog.tidy()
 
     def _write_from(self, base: int, wanted: DataFrame, note: dict | None, marker: DataFrame | None) -> int:
-        rows = self.changelog.snapshot(base, wanted.select("id"))
-        now = rows.select(F.col("id").alias("_id"), F.struct(*[F.col(c) for c in self.schema.names]).alias("old"))
-        both = wanted.join(now, wanted["id"] == now["_id"], "left").filter(~F.col("obj").eqNullSafe(F.col("old")))
-        records = both.select(F.when(F.col("obj").isNull(), "delete").otherwise("put").alias("op"), "id", "obj", "old")
+        if base:
+            rows = self.changelog.snapshot(base, wanted.select("id"))
+            now = rows.select(F.col("id").alias("_id"), F.struct(*[F.col(c) for c in self.schema.names]).alias("old"))
+            both = wanted.join(now, wanted["id"] == now["_id"], "left")
+        else:
+            both = wanted.withColumn("old", F.lit(None).cast(self.schema))
+        return self._append(base, both, note, marker)
+
+    def _append(self, base: int, both: DataFrame, note: dict | None = None, marker: DataFrame | None = None) -> int:
+        """both: (id, obj, old), of which those that change something become records."""
+        changed = both.filter(~F.col("obj").eqNullSafe(F.col("old")))
+        records = changed.select(F.when(F.col("obj").isNull(), "delete").otherwise("put").alias("op"), "id", "obj", "old")
         if marker is not None:
             records = records.unionByName(marker, allowMissingColumns=True)
         return self.changelog.append(records, note=note, base=base)
@@ -152,16 +173,22 @@ class Table(Rows):
 
         Documents are read and written as of one version; if another writer comes in between, they're read again.
         """
-        wanted = ids.select(self._checked_id().alias("_want")).distinct()
+        with _bad_ids():
+            wanted = materialize(ids.select(self._checked_id().alias("_want")).distinct(), "wanted")
 
         def attempt(base: int) -> int:
             rows = self.changelog.snapshot(base, wanted)
             docs = wanted.join(rows, wanted["_want"] == rows["id"], "inner" if if_exists else "left")
-            docs = docs.select(*[(F.col("_want") if c == "id" else F.col(c)).alias(c) for c in self.schema.names])
-            changed = docs.select(compile_update(self.schema, operations, legacy=legacy).alias("doc"))
-            return self._write(self._conform(changed.select("doc.*")).select("id", F.struct(*self.schema.names).alias("obj")), base=base)
+            old = F.when(F.col("id").isNotNull(), F.struct(*self.schema.names))
+            docs = docs.select(old.alias("_old_document"), *[(F.col("_want") if c == "id" else F.col(c)).alias(c) for c in self.schema.names])
+            changed = docs.select("_old_document", compile_update(self.schema, operations, legacy=legacy).alias("_doc")).select("_old_document", "_doc.*")
+            obj = F.struct(*[(F.col(f.name) if f.name in changed.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in self.schema.fields])
+            return self._append(base, changed.select("id", obj.alias("obj"), F.col("_old_document").alias("old")))
 
-        return self._retried(attempt)
+        version = self._retried(attempt)
+        release(wanted)
+        self._tidy()
+        return version
 
     def clear_oplog(self, before_ms: int, limit: int | None = None) -> dict:
         return self.changelog.clear(before_ms, limit)

@@ -155,14 +155,14 @@ def test_no_update_is_lost(db, spark):
     first = db.create_table("counts", "id string, n bigint")
     first.put(frame(spark, [("a", 0), ("b", 0)], "id string, n bigint"))
     second, one = Database(spark, db.root).table("counts"), frame(spark, [("a",)], "id string")
-    add, write, others = [{"op": "add", "property": "n", "value": 1}], first._write_from, [lambda: second.update(one, add), lambda: second.delete(frame(spark, [("b",)], "id string"))]
+    add, write, others = [{"op": "add", "property": "n", "value": 1}], first._append, [lambda: second.update(one, add), lambda: second.delete(frame(spark, [("b",)], "id string"))]
 
     def late(*args):
         if others:
             others.pop(0)()
         return write(*args)
 
-    first._write_from = late
+    first._append = late
     first.update(one, add)
     assert first.object_get("a").first().n == 2
     first.put(frame(spark, [("b", 7)], "id string, n bigint"))
