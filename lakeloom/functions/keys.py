@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakeloom.session import materialize
+from lakeloom.session import materialize, owning
 
 #: Width of the time and of the counter in a sequence key, and what follows every key with a given prefix.
 TIME_WIDTH, COUNTER_WIDTH = 16, 6
@@ -45,7 +45,8 @@ def numbered(df: DataFrame, order: Sequence[str], into: str = "_n") -> DataFrame
     sizes = parted.groupBy("_part").count()
     before = F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
     starts = F.broadcast(sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_start")))  # one row for each partition
-    return parted.join(starts, "_part").withColumn(into, F.col("_start") + F.col("_at")).drop("_part", "_at", "_start")
+    out = parted.join(starts, "_part").withColumn(into, F.col("_start") + F.col("_at")).drop("_part", "_at", "_start")
+    return owning(out, parted)
 
 
 def json_text(value: Column, data_type: T.DataType) -> Column:

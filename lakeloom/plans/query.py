@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from lakeloom.operators.changes import ChangeStream, Fields, fold, net
 from lakeloom.operators.joins import lookup_join, restricted
 from lakeloom.operators.predicates import Range
-from lakeloom.session import materialize
+from lakeloom.session import materialize, owning
 from lakeloom.sources.changelog import TruncatedError
 
 
@@ -199,7 +199,9 @@ def _difference(node: Stream, ids: DataFrame) -> ChangeStream:
     a = now.select(F.col("id").alias("_a"), doc_of(now).alias("obj"))
     b = before.select(F.col("id").alias("_b"), doc_of(before).alias("old"))
     both = a.join(b, a["_a"] == b["_b"], "full")
-    return ChangeStream(both.filter(~F.col("obj").eqNullSafe(F.col("old"))).select(F.coalesce("_a", "_b").alias("id"), F.lit("").alias("seq"), "obj", "old"))
+    out = ChangeStream(both.filter(~F.col("obj").eqNullSafe(F.col("old"))).select(F.coalesce("_a", "_b").alias("id"), F.lit("").alias("seq"), "obj", "old"))
+    owning(out.changes, ids)
+    return out
 
 
 def _as_now(node: Stream, ids: DataFrame) -> ChangeStream:
@@ -209,7 +211,9 @@ def _as_now(node: Stream, ids: DataFrame) -> ChangeStream:
     found = now.select(F.col("id").alias("_found"), doc_of(now).alias("obj"))
     none = F.struct(*[(F.col("id") if f.name == "id" else F.lit(None)).cast(f.dataType).alias(f.name) for f in now.schema.fields])
     both = ids.join(found, ids["id"] == found["_found"], "left")
-    return ChangeStream(both.select("id", F.lit("").alias("seq"), "obj", F.when(F.col("_found").isNull(), none).alias("old")))
+    out = ChangeStream(both.select("id", F.lit("").alias("seq"), "obj", F.when(F.col("_found").isNull(), none).alias("old")))
+    owning(out.changes, ids)
+    return out
 
 
 class Frame:

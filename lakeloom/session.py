@@ -77,14 +77,20 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     path = work_path(spark, label)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    out._lakeloom_path = path
+    out._lakeloom_paths = [path]
     return out
 
 
+def owning(df: DataFrame, *tables: DataFrame) -> DataFrame:
+    """df, which reads tables that materialize wrote and that nobody else reads: releasing it removes them."""
+    df._lakeloom_paths = [p for t in tables for p in getattr(t, "_lakeloom_paths", ())]
+    return df
+
+
 def release(*tables: DataFrame) -> None:
     """Remove tables that materialize wrote, once nothing lazy reads them any more."""
     for df in tables:
-        if path := getattr(df, "_lakeloom_path", None):
+        for path in getattr(df, "_lakeloom_paths", ()):
             _remove(df.sparkSession, path)
 
 

@@ -221,11 +221,12 @@ class Log(Rows):
         ms = max(int(time.time() * 1000) if now_ms is None else now_ms, before["last_ts"] + 1)
         payload = [f for f in self.schema.fields if f.name not in ("id", "timestamp")]
         rows = df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in payload], *[F.col(c).alias(f"_by{i}") for i, c in enumerate(order or [])])
-        rows = numbered(rows, [f"_by{i}" for i in range(len(order or []))])
+        rows = counted = numbered(rows, [f"_by{i}" for i in range(len(order or []))])
         key = sequence_key(F.lit(ms), F.col("_n"))
         docs = F.struct(key.alias("id"), time_of(key).alias("timestamp"), *[F.col(f.name) for f in payload])
         stamped = rows.select(key.alias("seq"), time_of(key).alias("ts"), F.lit("put").alias("op"), key.alias("id"), docs.alias("obj"), F.lit(None).cast(self.schema).alias("old"), F.lit(None).cast("string").alias("from_seq"), F.lit(None).cast("string").alias("to_seq"))
         version = self.changelog._publish(stamped, base, ms, None if flag is None else {"flag": flag})
+        release(counted)
         if self.changelog.uncompacted() > COMPACT_AFTER:
             self.changelog.tidy()
         return version

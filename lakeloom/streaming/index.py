@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lakeloom.operators.changes import ChangeStream
 from lakeloom.plans.query import Frame, Input, Output, Stream, _difference
+from lakeloom.session import release
 from lakeloom.sources.changelog import TruncatedError
 from lakeloom.sources.collection import Table
 from lakeloom.streaming.follow import follow
@@ -55,6 +56,7 @@ class Index(Table):
             changes = self._rebuilt(output)
         marker = None if before else self.spark.createDataFrame([("indexed",)], "op string")
         self.write_changes(changes, {"sources": frame.now}, marker, base)
+        release(changes.changes)
         return True
 
     def _rebuilt(self, output: Output) -> ChangeStream:

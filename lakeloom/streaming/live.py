@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lakeloom.operators.predicates import Range
 from lakeloom.plans.query import Frame, Input, Output
-from lakeloom.session import work_path
+from lakeloom.session import release, work_path
 from lakeloom.sources.changelog import TruncatedError
 from lakeloom.streaming.follow import follow
 
@@ -82,6 +82,8 @@ class LiveList:
             try:
                 changed = output.changed()
                 changes = None if changed is None else changed.changes.select("id", "obj").limit(self.most + 1).collect()
+                if changed is not None:
+                    release(changed.changes)
             except TruncatedError:
                 changes = None
             if changes is None or len(changes) > self.most:  # maybe not all of them, though the result may have fewer rows
