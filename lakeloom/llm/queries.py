@@ -108,7 +108,7 @@ SQL = {
     "p6_round_trip": """SELECT limit_id, doc_id, md5(coalesce(text, '')) AS text_md5, true AS fits, 0 AS wrong_containers FROM documents JOIN text_limits ON purpose = 'pack'""",
     "p7_sequence": f"{_SEQUENCE} SELECT mix_id, source_key, doc_id, use_no, n_tokens, round(position, 9) AS position FROM s",
     "p7_shares": f"""{_SEQUENCE}, used AS (SELECT mix_id, source_key, sum(n_tokens) AS used_tokens, count(*) AS uses, count(DISTINCT doc_id) AS texts FROM s GROUP BY ALL),
-f AS (SELECT t.mix_id, t.k AS source_key, target_share, max_repeats, target AS target_tokens, coalesce(supply, 0) AS supply_tokens, coalesce(used_tokens, 0) AS used_tokens, coalesce(texts, 0) AS texts, coalesce(uses, 0) AS uses
+f AS (SELECT t.mix_id, t.k AS source_key, target_share, max_repeats, target AS target_tokens, CAST(coalesce(supply, 0) AS BIGINT) AS supply_tokens, CAST(coalesce(used_tokens, 0) AS BIGINT) AS used_tokens, coalesce(texts, 0) AS texts, coalesce(uses, 0) AS uses
   FROM t LEFT JOIN (SELECT DISTINCT k, supply FROM x) p USING (k) LEFT JOIN used ON used.mix_id = t.mix_id AND used.source_key = t.k)
 SELECT *, CASE WHEN sum(used_tokens) OVER (PARTITION BY mix_id) > 0 THEN used_tokens / sum(used_tokens) OVER (PARTITION BY mix_id) ELSE 0 END AS actual_share, supply_tokens * max_repeats < target_tokens AS exhausted FROM f""",
     "p8_round_trip": """SELECT limit_id, doc_id, md5(text) AS text_md5, true AS keeps, true AS repeats, true AS enough FROM documents JOIN text_limits ON purpose = 'split' AND octet_length(encode(text)) > max_tokens""",
