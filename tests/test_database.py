@@ -141,6 +141,20 @@ def test_writes_and_their_operations(db):
     assert {(r.op, r.id, r.old.name if r.old else None) for r in records} >= {("put", "k03", "Ines"), ("put", "k50", None)}
 
 
+def test_writes_of_nothing(db, spark):
+    table, log, none = db.create_table("t", "id string, n int"), db.create_log("l", "n int"), frame(spark, [], "id string, n int")
+    for write in (lambda: table.put(none), lambda: table.delete(none), lambda: table.update(none, [{"op": "set", "property": "n", "value": 1}]), lambda: log.put(none, ["n"]), lambda: log.put(none)):
+        assert write() == 0
+    table.put(frame(spark, [("a", 1)], "id string, n int"))
+    for write in (lambda: table.put(none), lambda: table.delete(none.filter("false")), lambda: table.update(none, [{"op": "set", "property": "n", "value": 1}])):
+        assert write() == 1
+    assert [tuple(r) for r in table.rows().collect()] == [("a", 1)] and log.rows().count() == 0
+    nothing = db.create_index("nothing", lambda i, o, p: i.table("t").filter(lambda f: f("n") > 5).to(o))
+    table.put(frame(spark, [("b", 2)], "id string, n int"))
+    nothing.update()
+    assert nothing.rows().count() == 0 and not nothing.update()
+
+
 def test_two_writers_conflict(db):
     log = fill(db).table("people").changelog
     record = db.spark.createDataFrame([("put", "k88")], "op string, id string")
