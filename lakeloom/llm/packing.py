@@ -615,7 +615,7 @@ def pack(documents: DataFrame, capacities: Mapping[int, int], *, rounds: int = R
     # what is left, with the containers still open
     cols = ["limit_id", "doc_id", "n_tokens", "room", "terms", "tfs"]
     left = _open(seeds, taken).select(*cols).unionByName(_free(loose, taken, False).withColumn("room", F.lit(None).cast("long")).select(*cols))
-    parts = {v: max(1, -(-sum(c.values()) // part)) for v, c in counts.items()}
+    parts = dict.fromkeys(capacities, 1) | {r[0]: -(-r[1] // part) for r in left.groupBy("limit_id").count().collect()}
     left = left.withColumn("part", F.pmod(_hash("doc_id"), per_limit(lambda v: F.lit(parts[v]))))
     last = left.groupBy("limit_id", "part").applyInArrow(lambda t: _fill_part(t, capacities, Bm25(**bm25.value), rounds + 1), TAKEN)
     own = seeds.select("limit_id", "doc_id", F.col("doc_id").alias("container"), F.lit(0).alias("round"), F.lit(0).alias("rank"), "n_tokens")
