@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
@@ -31,6 +32,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,19 +44,28 @@ SAMPLE, MOST_CLUSTERS, MOST_HEAVY = 8192, 512, 1024
 BANDS, REACH, LEAST_REACH = 8, 16, 1024
 FEW_WORDS, MOST_MORE = 128, 16  # a seed of fewer words reaches so many times as far as it has fewer, up to MOST_MORE times
 GROUP, BLOCK, PART = 32_768, 16_384, 16_384
+PAIRS, RANGE, HITS = 1 << 22, 512, 1 << 15  # scores that a search holds at a time; items whose postings lie together; words looked up at a time
+FIRST = 256  # neighbours that are put in order at once
 NEIGHBOURS, ROUNDS = 64, 3
 K1, B = 1.2, 0.75
 MOST_TIMES = 32_767  # a word counts no oftener in a text; its weight changes by less than a ten thousandth beyond
 #: Scripts written without blanks, in which each character is a word.
 _ALONE = "぀-ヿ㐀-䶿一-鿿豈-﫿"
 WORD = re.compile(rf"[{_ALONE}]|[^\W{_ALONE}]+")
+#: The same for ASCII: its words in lower case, blanks between them.
+_ASCII = bytes(ord(chr(c).lower()) if c < 128 and (chr(c).isalnum() or c == ord("_")) else ord(" ") for c in range(256))
 PACKED = "limit_id int, container_id string, position int, doc_id long, piece_no int, pieces int, start_token long, n_tokens long, container_tokens long, unused long"
 ITEMS = "limit_id int, doc_id long, piece_no int, pieces int, start_token long, n_tokens long, cluster int, fit float, length long, terms array<int>, tfs array<short>"
+#: Words as bytes, which are sent and written faster than lists: places of frequent words in Space.heavy, other words' terms, and how often each stands in the text.
+WORDS = {"heavy": np.uint16, "heavy_tfs": np.uint16, "rest": np.int32, "rest_tfs": np.uint16}
+_KINDS = WORDS | {"units": np.int32}
+COMPACT = ITEMS.replace("terms array<int>, tfs array<short>", ", ".join(f"{c} binary" for c in WORDS))
 TAKEN = "limit_id int, doc_id long, container long, round int, rank int, n_tokens long"
 _ITEMS = pa.schema([
     ("limit_id", pa.int32()), ("doc_id", pa.int64()), ("piece_no", pa.int32()), ("pieces", pa.int32()), ("start_token", pa.int64()), ("n_tokens", pa.int64()),
     ("cluster", pa.int32()), ("fit", pa.float32()), ("length", pa.int64()), ("terms", pa.list_(pa.int32())), ("tfs", pa.list_(pa.int16())),
 ])
+_COMPACT = pa.schema([*list(_ITEMS)[:-2], *((c, pa.binary()) for c in WORDS)])
 _TAKEN = pa.schema([("limit_id", pa.int32()), ("doc_id", pa.int64()), ("container", pa.int64()), ("round", pa.int32()), ("rank", pa.int32()), ("n_tokens", pa.int64())])
 FOUND = "limit_id int, doc_id long, n_tokens long, seed long, score float"
 _FOUND = pa.schema([("limit_id", pa.int32()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("seed", pa.int64()), ("score", pa.float32())])
@@ -77,7 +88,15 @@ def term_of(word: str) -> int:
 
 
 def words_of(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    return text.encode().translate(_ASCII).decode().split() if text.isascii() else WORD.findall(text.lower())
+
+
+class _Terms(dict):
+    """The terms of words that were asked for."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = term = term_of(word)
+        return term
 
 
 # items
@@ -92,10 +111,40 @@ def _lists(t: pa.Table | pa.RecordBatch, column: str) -> tuple[np.ndarray, np.nd
     return np.concatenate([[0], np.cumsum(np.diff(c.offsets.to_numpy()))]), c.flatten().to_numpy(zero_copy_only=False)
 
 
+def _bytes(t: pa.Table | pa.RecordBatch, column: str) -> tuple[np.ndarray, np.ndarray]:
+    """The same of a column of bytes."""
+    c = t[column]
+    if isinstance(c, pa.ChunkedArray):
+        c = pa.concat_arrays(c.chunks) if c.num_chunks else pa.array([], c.type)
+    wide = pa.types.is_large_binary(c.type)
+    _, offsets, data = c.buffers()
+    at = np.frombuffer(offsets, np.int64 if wide else np.int32)[c.offset : c.offset + len(c) + 1].astype(np.int64) if len(c) else np.zeros(1, np.int64)
+    values = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)
+    return (at - at[0]) // np.dtype(_KINDS[column]).itemsize, values.copy().view(_KINDS[column])
+
+
+def _as_bytes(values: np.ndarray, row: np.ndarray, n: int) -> pa.Array:
+    """Values, in the order of their rows, as a row of bytes each."""
+    ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n))]) * values.itemsize
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(values.tobytes())])
+
+
+def _words(t: pa.Table, space: Space, with_tfs: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """Offsets, terms and how often they stand there, by row of a table of WORDS."""
+    (h_offsets, heavy), (r_offsets, rest) = _bytes(t, "heavy"), _bytes(t, "rest")
+    row = np.concatenate([np.repeat(np.arange(t.num_rows), np.diff(o)) for o in (h_offsets, r_offsets)])
+    order = np.argsort(row, kind="stable")
+    tfs = np.concatenate([_bytes(t, "heavy_tfs")[1], _bytes(t, "rest_tfs")[1]])[order] if with_tfs else None
+    return h_offsets + r_offsets, np.concatenate([space.heavy[heavy], rest])[order], tfs
+
+
 def _matched(known: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where terms stand in a sorted array, and which of them do."""
     if not len(known):
         return np.zeros(len(terms), np.int64), np.zeros(len(terms), bool)
+    if len(terms) > len(known):
+        at = pa.compute.index_in(pa.array(terms), pa.array(known)).fill_null(-1).to_numpy()
+        return at, at >= 0
     at = np.minimum(np.searchsorted(known, terms), len(known) - 1)
     return at, known[at] == terms
 
@@ -156,38 +205,34 @@ class Space:
         cluster = along.argmax(1)
         return cluster.astype(np.int32), along[np.arange(len(along)), cluster].astype(np.float32)
 
-    def asked(self, offsets: np.ndarray, terms: np.ndarray) -> np.ndarray:
+    def asked(self, offsets: np.ndarray, heavy: np.ndarray) -> np.ndarray:
         """A row of 0 and 1 for the frequent words of each seed."""
-        at, known = _matched(self.heavy, terms)
         x = np.zeros((len(offsets) - 1, len(self.heavy)), np.float32)
-        x[np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[known], at[known]] = 1
+        x[np.repeat(np.arange(len(offsets) - 1), np.diff(offsets)), heavy] = 1
         return x
 
 
-def items_of(documents: DataFrame, capacities: Mapping[int, int], space: Space | None = None) -> DataFrame:
-    """Rows of ITEMS; terms and what is made of them are null for all pieces but the last, which fill their container. A text's words are counted once for all capacities that hold it whole."""
+def items_of(documents: DataFrame, capacities: Mapping[int, int], space: Space | None = None, compact: bool = False) -> DataFrame:
+    """Rows of ITEMS, or of COMPACT, with the words as bytes; terms and what is made of them are null for all pieces but the last, which fill their container. A text's words are counted once for all capacities that hold it whole."""
     sent = documents.sparkSession.sparkContext.broadcast(space and vars(space))
     limits = sorted(capacities.items())
     least = min(capacities.values())
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: dict[str, int] = {}
+        ids = _Terms()
         space = Space(**sent.value) if sent.value else None
 
-        def counted(text: str) -> tuple[list[int], list[int]]:
+        def counted(text: str) -> tuple[array, array]:
             found = Counter(words_of(text))
             if len(ids) > 200_000:
                 ids.clear()
-            for w in found:
-                if w not in ids:
-                    ids[w] = term_of(w)
-            return [ids[w] for w in found], [min(n, MOST_TIMES) for n in found.values()]
+            return array("i", map(ids.__getitem__, found)), array("i", found.values())
 
         for batch in batches:
             rows: list[tuple] = []  # as _ITEMS up to n_tokens
-            offsets, flat, tfs = [0], [], []
+            offsets, flat, tfs = [0], array("i"), array("i")
 
-            def add(row: tuple, terms: tuple[list[int], list[int]] | None) -> None:
+            def add(row: tuple, terms: tuple[array, array] | None) -> None:
                 rows.append(row)
                 if terms:
                     flat.extend(terms[0])
@@ -208,15 +253,16 @@ def items_of(documents: DataFrame, capacities: Mapping[int, int], space: Space |
                     for i, (s, n) in enumerate(pieces):
                         add((limit_id, doc_id, i, len(pieces), s, n), counted(data[s : s + n].decode("utf-8", "replace")) if i == len(pieces) - 1 else None)
                 if len(flat) > 4_000_000 or len(rows) > 50_000:
-                    yield _item_batch(rows, offsets, flat, tfs, space)
-                    rows, offsets, flat, tfs = [], [0], [], []
+                    yield _item_batch(rows, offsets, flat, tfs, space, compact)
+                    rows, offsets, flat, tfs = [], [0], array("i"), array("i")
             if rows:
-                yield _item_batch(rows, offsets, flat, tfs, space)
+                yield _item_batch(rows, offsets, flat, tfs, space, compact)
 
-    return documents.select("doc_id", "text").mapInArrow(cut, ITEMS)
+    return documents.select("doc_id", "text").mapInArrow(cut, COMPACT if compact else ITEMS)
 
 
-def _item_batch(rows: list[tuple], offsets: list, flat: list[int], tfs: list[int], space: Space | None) -> pa.RecordBatch:
+def _item_batch(rows: list[tuple], offsets: list, flat: array, tfs: array, space: Space | None, compact: bool) -> pa.RecordBatch:
+    flat, tfs = np.array(flat, np.int32), np.minimum(np.array(tfs, np.int32), MOST_TIMES).astype(np.int16)
     has = np.array([o is not None for o in offsets[1:]])
     ends = pa.array(np.maximum.accumulate([o or 0 for o in offsets]), pa.int32())
     lists = [pa.ListArray.from_arrays(ends, pa.array(v, t)) for v, t in ((flat, pa.int32()), (tfs, pa.int16()))]
@@ -226,10 +272,32 @@ def _item_batch(rows: list[tuple], offsets: list, flat: list[int], tfs: list[int
         for a in range(0, len(rows), 4096):
             cluster[a : a + 4096], fit[a : a + 4096] = space.place(pa.RecordBatch.from_arrays([c.slice(a, 4096) for c in lists], ["terms", "tfs"]))
     row = np.repeat(np.arange(len(rows)), np.diff(ends.to_numpy()))
-    length = np.bincount(row, tfs, len(rows)).astype(np.int64) if tfs else np.zeros(len(rows), np.int64)
+    length = np.bincount(row, tfs, len(rows)).astype(np.int64) if len(tfs) else np.zeros(len(rows), np.int64)
     none = pa.array(~has)
-    nulled = [pa.compute.if_else(none, pa.scalar(None, x.type), x) for x in (pa.array(cluster), pa.array(fit), pa.array(length), *lists)]
-    return pa.RecordBatch.from_arrays([*columns, *nulled], schema=_ITEMS)
+    words = _compacted(row, flat, tfs, len(rows), space) if compact else lists
+    nulled = [pa.compute.if_else(none, pa.scalar(None, x.type), x) for x in (pa.array(cluster), pa.array(fit), pa.array(length), *words)]
+    return pa.RecordBatch.from_arrays([*columns, *nulled], schema=_COMPACT if compact else _ITEMS)
+
+
+def _compacted(row: np.ndarray, terms: np.ndarray, tfs: np.ndarray, n: int, space: Space) -> list[pa.Array]:
+    """The columns of WORDS."""
+    at, heavy = _matched(space.heavy, terms)
+    return [_as_bytes(x[which].astype(kind), row[which], n) for (x, which), kind in zip(((at, heavy), (tfs, heavy), (terms, ~heavy), (tfs, ~heavy)), WORDS.values())]
+
+
+def compacted(table: DataFrame, space) -> DataFrame:
+    """terms, and tfs if there are any, of a table as the columns of WORDS."""
+    kept, has_tfs = [c for c in table.columns if c not in ("terms", "tfs")], "tfs" in table.columns
+
+    def compact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            offsets, terms = _lists(batch, "terms")
+            tfs = _lists(batch, "tfs")[1] if has_tfs else np.ones(len(terms), np.int16)
+            words = _compacted(np.repeat(np.arange(batch.num_rows), np.diff(offsets)), terms, tfs, batch.num_rows, Space(**space.value))
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in kept), *words], [*kept, *WORDS])
+
+    types = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in table.select(*kept).schema), *(f"{c} binary" for c in WORDS)])
+    return table.select(*table.columns).mapInArrow(compact, types)
 
 
 @dataclass
@@ -238,9 +306,22 @@ class Bm25:
     mean_length: float
 
     @classmethod
-    def of(cls, loose: DataFrame, n: int, length: int) -> Bm25:
-        """Frequencies over all items; at most SKETCH rows reach the driver."""
-        rows = loose.select(F.explode("terms").alias("term")).groupBy(F.col("term").bitwiseAND(F.lit(SKETCH - 1)).alias("entry")).agg(F.count("*").alias("n")).toArrow()
+    def of(cls, loose: DataFrame, n: int, length: int, space=None) -> Bm25:
+        """Frequencies over all items, with the space those of COMPACT; at most SKETCH rows reach the driver."""
+
+        def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            count, often = np.zeros(SKETCH, np.int64), np.zeros(len(space.value["heavy"]), np.int64)
+            for batch in batches:
+                count += np.bincount(_bytes(batch, "rest")[1] & (SKETCH - 1), minlength=SKETCH)
+                often += np.bincount(_bytes(batch, "heavy")[1], minlength=len(often))
+            np.add.at(count, space.value["heavy"] & (SKETCH - 1), often)
+            entry = np.flatnonzero(count)
+            yield pa.RecordBatch.from_arrays([pa.array(entry, pa.int32()), pa.array(count[entry], pa.int64())], ["entry", "n"])
+
+        if space is None:
+            rows = loose.select(F.explode("terms").alias("term")).groupBy(F.col("term").bitwiseAND(F.lit(SKETCH - 1)).alias("entry")).agg(F.count("*").alias("n")).toArrow()
+        else:
+            rows = loose.select("heavy", "rest").mapInArrow(counted, "entry int, n long").groupBy("entry").agg(F.sum("n").alias("n")).toArrow()
         df = np.zeros(SKETCH, np.float32)
         df[rows["entry"].to_numpy()] = rows["n"].to_numpy()
         return cls(np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32), max(1.0, length / max(1, n)))
@@ -262,17 +343,13 @@ class Postings:
         self.known, self.start = np.unique(terms[order], return_index=True)
         self.count = np.diff(np.append(self.start, len(terms)))
 
-    @classmethod
-    def of(cls, t: pa.Table, bm25: Bm25) -> Postings:
-        (offsets, terms), (_, tfs) = _lists(t, "terms"), _lists(t, "tfs")
-        item = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-        length = np.bincount(item, tfs, len(offsets) - 1)
-        return cls(item, terms, bm25.weights(terms, tfs, length[item]), len(offsets) - 1)
-
     def matches(self, query: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query, item, weight) of every posting of the queries' terms."""
         at, known = _matched(self.known, terms)
-        at, query = at[known], query[known]
+        return self.postings(query[known], at[known])
+
+    def postings(self, query: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same for terms given as places in ``known``."""
         count = self.count[at]
         before = np.cumsum(count) - count
         posting = np.arange(count.sum()) + np.repeat(self.start[at] - before, count)
@@ -283,6 +360,16 @@ class Postings:
         _, item, weight = self.matches(np.zeros(len(terms), np.int64), terms)
         return np.bincount(item, weight, self.n)
 
+    def only(self, chosen: np.ndarray) -> Postings:
+        """The index of some of its items, numbered in the order given."""
+        out, number = Postings.__new__(Postings), np.full(self.n, -1)
+        number[chosen] = np.arange(len(chosen))
+        item = number[self.item]
+        upto = np.concatenate([[0], np.cumsum(item >= 0)])
+        out.item, out.weight, out.n, out.known = item[item >= 0], self.weight[item >= 0], len(chosen), self.known
+        out.start, out.count = upto[self.start], upto[self.start + self.count] - upto[self.start]
+        return out
+
 
 def search_group(queries: pa.Table, items: pa.Table, space: Space, bm25: Bm25, k: int, give_out: bool = False) -> pa.Table:
     """The k best items of a group for each query: of its shards (``units``) those the query asks, items that fit its room, not the query itself.
@@ -292,64 +379,109 @@ def search_group(queries: pa.Table, items: pa.Table, space: Space, bm25: Bm25, k
     """
     if not queries.num_rows or not items.num_rows:
         return _FOUND.empty_table()
-    items = items.sort_by([("unit", "ascending"), ("doc_id", "ascending")])
+    items = items.sort_by([("unit", "ascending"), ("n_tokens", "ascending"), ("doc_id", "ascending")])
     n, unit, size, doc_id = items.num_rows, items["unit"].to_numpy(), items["n_tokens"].to_numpy(), items["doc_id"].to_numpy()
     units, first = np.unique(unit, return_index=True)
     last = np.append(first[1:], n)
-    (offsets, terms), (_, tfs) = _lists(items, "terms"), _lists(items, "tfs")
-    item = np.repeat(np.arange(n), np.diff(offsets))
-    weight = bm25.weights(terms, tfs, np.bincount(item, tfs, n)[item])
-    at, heavy = _matched(space.heavy, terms)
+    (h_offsets, heavy), (r_offsets, terms), (_, h_tfs), (_, tfs) = (_bytes(items, c) for c in ("heavy", "rest", "heavy_tfs", "rest_tfs"))
+    h_item, item = (np.repeat(np.arange(n), np.diff(o)) for o in (h_offsets, r_offsets))
+    length = np.bincount(h_item, h_tfs, n) + np.bincount(item, tfs, n)
     dense = np.zeros((n, len(space.heavy)), np.float32)
-    dense[item[heavy], at[heavy]] = weight[heavy]
-    rest = Postings(item[~heavy], terms[~heavy], weight[~heavy], n)
+    dense[h_item, heavy] = bm25.weights(space.heavy[heavy], h_tfs, length[h_item])
+    unit_of = np.repeat(np.arange(len(units)), last - first)
+    # the other words' postings lie by ranges of shards, so that a query passes over those of ranges it doesn't ask
+    known, at = np.unique(terms, return_inverse=True)
+    stretch = first // RANGE
+    rest = Postings(item, stretch[unit_of[item]] * len(known) + at, bm25.weights(terms, tfs, length[item]), n)
+    count = np.zeros((int(stretch[-1]) + 1) * len(known), np.int64)
+    count[rest.known] = rest.count
+    place = np.zeros(len(count), np.int64)
+    place[rest.known] = np.arange(len(rest.known))
     by_id = np.argsort(doc_id, kind="stable")
-    # queries that ask the same shards are looked at together, and only the items of those shards with them
-    u_offsets, asked = _lists(queries, "units")
-    queries = queries.take(np.argsort(asked[(u_offsets[:-1] + u_offsets[1:]) // 2], kind="stable"))
-    out = []
-    for a in range(0, queries.num_rows, 256):
-        q = queries.slice(a, 256)
-        m, (q_offsets, q_terms), (u_offsets, asked) = q.num_rows, _lists(q, "terms"), _lists(q, "units")
-        x = space.asked(q_offsets, q_terms)
-        pair_row, (pair_unit, there) = np.repeat(np.arange(m), np.diff(u_offsets)), _matched(units, asked)
-        order = np.argsort(pair_unit[there], kind="stable")
-        pair_row, pair_unit = pair_row[there][order], pair_unit[there][order]
-        cuts = np.searchsorted(pair_unit, np.arange(len(units) + 1))
-        present = np.flatnonzero(np.diff(cuts))
-        columns = np.concatenate([np.arange(first[u], last[u]) for u in present]) if len(present) else np.zeros(0, np.int64)
-        column = np.full(n, -1)
-        column[columns] = np.arange(len(columns))
-        scores, seen = np.zeros((m, len(columns)), np.float32), np.zeros((m, len(columns)), bool)
-        for u in present:
-            rows, at = pair_row[cuts[u] : cuts[u + 1]], int(column[first[u]])
-            own = slice(at, at + int(last[u] - first[u]))
-            scores[rows, own] = x[rows] @ dense[first[u] : last[u]].T
-            seen[rows, own] = True
-        row, hit, w = rest.matches(np.repeat(np.arange(m), np.diff(q_offsets)), q_terms)
-        hit = column[hit]
-        kept = hit >= 0
-        kept[kept] = seen[row[kept], hit[kept]]
-        np.add.at(scores, (row[kept], hit[kept]), w[kept])
-        seed, room = q["doc_id"].to_numpy(), q["room"].to_numpy()
-        scores[~seen | (size[columns][None, :] > room[:, None])] = 0
-        self_at, is_in = _matched(doc_id[by_id], seed)
-        mine = column[by_id[self_at[is_in]]]
-        scores[np.flatnonzero(is_in)[mine >= 0], mine[mine >= 0]] = 0
-        if len(columns) > k:
-            best = np.argpartition(-scores, k - 1, axis=1)[:, :k]
-        else:
-            best = np.broadcast_to(np.arange(len(columns)), scores.shape)
-        got = np.take_along_axis(scores, best, 1)
-        r, c = np.nonzero(got > 0)
-        out.append((columns[best[r, c]], a + r, got[r, c]))
+    # queries that ask the same shards are looked at together
+    u_offsets, asked = _bytes(queries, "units")
+    queries = queries.take(np.lexsort((queries["doc_id"].to_numpy(), asked[(u_offsets[:-1] + u_offsets[1:]) // 2])))
+    (q_offsets, q_terms), (u_offsets, asked) = _bytes(queries, "rest"), _bytes(queries, "units")
+    bits = np.frombuffer(b"".join(queries["bits"].to_pylist()), np.uint8).reshape(queries.num_rows, -1)
+    seeds, rooms = queries["doc_id"].to_numpy(), queries["room"].to_numpy()
+    (in_rest, is_rest), (self_at, is_in) = _matched(known, q_terms), _matched(doc_id[by_id], seeds)
+    # of each shard asked the items that fit, which come first in it
+    pair_unit, there = _matched(units, asked)
+    large = max(int(size.max()), int(rooms.max())) + 1
+    fit = np.searchsorted(unit_of * large + size, pair_unit * large + np.repeat(rooms, np.diff(u_offsets)), "right") - first[pair_unit]
+    there &= fit > 0
+    looks = np.concatenate([[0], np.cumsum(np.where(there, fit, 0))])[u_offsets]  # items that the queries before look at
+    out, a, most = [], 0, max(1, PAIRS // len(units))
+    while a < len(seeds):
+        b = max(a + 1, min(a + most, int(np.searchsorted(looks, looks[a] + PAIRS, "right")) - 1))
+        m, of = b - a, slice(u_offsets[a], u_offsets[b])
+        row, u = np.repeat(np.arange(m), np.diff(u_offsets[a : b + 1]))[there[of]], pair_unit[of][there[of]]
+        span = fit[of][there[of]]
+        of = slice(q_offsets[a], q_offsets[b])
+        # the scores of a shard's items for those that ask about as many of them are one block
+        cell = u * 64 + np.frexp(span)[1]
+        order = np.argsort(cell, kind="stable")
+        cuts = np.flatnonzero(np.diff(cell[order], prepend=-1, append=-1)) if len(u) else np.zeros(1, np.int64)
+        wide = np.maximum.reduceat(span[order], cuts[:-1]) if len(u) else np.zeros(0, np.int64)
+        starts, stops = np.zeros((2, len(u)), np.int64)
+        stops[order] = np.cumsum(np.repeat(wide, np.diff(cuts)))
+        starts[order] = stops[order] - np.repeat(wide, np.diff(cuts))
+        scores = np.empty(int(stops.max(initial=0)), np.float32)
+        x = np.unpackbits(bits[a:b], axis=1, count=len(space.heavy)).astype(np.float32)
+        term_row = np.repeat(np.arange(m), np.diff(q_offsets[a : b + 1]))
+        room = rooms[a:b]
+        for begin, end, n_first in zip(cuts.tolist(), cuts[1:].tolist(), wide.tolist()):
+            own, low = row[order[begin:end]], int(first[u[order[begin]]])
+            at = int(starts[order[begin]])
+            block = scores[at : at + len(own) * n_first].reshape(len(own), n_first)
+            np.matmul(x[own], dense[low : low + n_first].T, out=block)
+            if size[low + n_first - 1] > room[own].min():
+                block[size[low : low + n_first] > room[own][:, None]] = -np.inf
+        # where the scores of a query for a shard's items begin, less the number of the first of them; and the number of the last
+        base, upto = np.zeros((2, m, len(units)), np.int64)
+        base[row, u], upto[row, u] = starts - first[u], first[u] + stops - starts
+        # every other word of a query in every range it asks
+        ranges = np.unique(row * (int(stretch[-1]) + 1) + stretch[u])
+        asker, ranges = ranges // (int(stretch[-1]) + 1), ranges % (int(stretch[-1]) + 1)
+        word, word_row = in_rest[of][is_rest[of]], term_row[is_rest[of]]
+        word_ends = np.searchsorted(word_row, np.arange(m + 1))
+        words = np.diff(word_ends)[asker]
+        which = np.arange(words.sum()) + np.repeat(word_ends[asker] - np.cumsum(words) + words, words)
+        key = np.repeat(ranges * len(known), words) + word[which]
+        found = np.flatnonzero(count[key])
+        asker, key = np.repeat(asker, words)[found], place[key[found]]
+        for c in range(0, len(key), HITS):
+            query, hit, w = rest.postings(asker[c : c + HITS], key[c : c + HITS])
+            at = query * len(units) + unit_of[hit]
+            kept = np.flatnonzero(hit < upto.ravel()[at])
+            np.add.at(scores, base.ravel()[at[kept]] + hit[kept], w[kept])
+        mine, asker = by_id[self_at[a:b][is_in[a:b]]], np.flatnonzero(is_in[a:b])
+        kept = mine < upto[asker, unit_of[mine]]
+        scores[base[asker[kept], unit_of[mine[kept]]] + mine[kept]] = -np.inf
+        ends = np.searchsorted(row, np.arange(m + 1)).tolist()
+        before, width = first[u], stops - starts
+        starts, stops = starts.tolist(), stops.tolist()
+        for q in range(m):
+            pairs = slice(ends[q], ends[q + 1])
+            if pairs.start == pairs.stop:
+                continue
+            own = np.concatenate([scores[s:e] for s, e in zip(starts[pairs], stops[pairs])])
+            best = np.argpartition(own, len(own) - k)[len(own) - k :] if len(own) > k else np.arange(len(own))
+            best = best[own[best] > 0]
+            if not len(best):
+                continue
+            upto = np.cumsum(width[pairs])
+            shard = np.searchsorted(upto, best, "right")
+            out.append(((before[pairs] - upto + width[pairs])[shard] + best, np.full(len(best), a + q), own[best]))
+        a = b
+    if not out:
+        return _FOUND.empty_table()
     i, r, score = (np.concatenate(c) for c in zip(*out))
-    seed, room = queries["doc_id"].to_numpy(), queries["room"].to_numpy()
     if give_out:
-        order = np.lexsort((seed[r], doc_id[i], -score))
-        kept = order[_given_out(i[order], r[order], size, room)]
+        order = np.lexsort((seeds[r], doc_id[i], -score))
+        kept = order[_given_out(i[order], r[order], size, rooms)]
         i, r, score = i[kept], r[kept], score[kept]
-    columns = [np.full(len(r), queries["limit_id"][0].as_py()), doc_id[i], size[i], seed[r], score]
+    columns = [np.full(len(r), queries["limit_id"][0].as_py()), doc_id[i], size[i], seeds[r], score]
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _FOUND)], schema=_FOUND)
 
 
@@ -369,7 +501,7 @@ def _hash(*columns: str) -> Column:
 
 
 class Index:
-    """The index of unused items: (limit_id, doc_id, n_tokens, cluster, fit, terms, tfs). Its plan has one row for each shard: at most limits x MOST_CLUSTERS x BANDS."""
+    """The index of unused items: (limit_id, doc_id, n_tokens, cluster, fit, WORDS). Its plan has one row for each shard: at most limits x MOST_CLUSTERS x BANDS."""
 
     def __init__(self, items: DataFrame, edges: Mapping[int, list[int]], space, bm25, group: int = GROUP, reach: int = REACH):
         self.spark, self.space, self.bm25 = items.sparkSession, space, bm25
@@ -395,7 +527,7 @@ class Index:
         return {c: getattr(self, c) for c in keep}
 
     def search(self, queries: DataFrame, k: int, block: int = BLOCK, give_out: bool = False) -> DataFrame:
-        """Rows of FOUND: for each of the queries (limit_id, doc_id, room, terms) its k best items of every group it asks, which hold the k best of all it asks.
+        """Rows of FOUND: for each of the queries (limit_id, doc_id, room, heavy, rest) its k best items of every group it asks, which hold the k best of all it asks.
 
         give_out: every task gives its items out, each to one query.
         """
@@ -406,13 +538,13 @@ class Index:
                 for a in range(0, batch.num_rows, 1024):
                     yield from _route(batch.slice(a, 1024), sent.value, Space(**space.value))
 
-        self.routed = routed = materialize(queries.select("limit_id", "doc_id", "room", "terms").mapInArrow(route, "group long, limit_id int, doc_id long, room long, terms array<int>, units array<int>"), "routed")
+        self.routed = routed = materialize(queries.select("limit_id", "doc_id", "room", "heavy", "rest").mapInArrow(route, "group long, limit_id int, doc_id long, room long, bits binary, rest binary, units binary"), "routed")
         # a row for each group that is asked; the size is known, so Spark broadcasts it while it's small
         counted = routed.groupBy("group").agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks")).toArrow()
         blocks = self.spark.createDataFrame(counted) if counted.num_rows else self.spark.createDataFrame([], "group long, _blocks int")
         plan = self.spark.createDataFrame(pa.table({"limit_id": pa.array(self.limit, pa.int32()), "cluster": pa.array(self.cluster, pa.int32()), "band": pa.array(self.band, pa.int32()), "unit": pa.array(np.arange(len(self.n)), pa.int32()), "_group0": pa.array(self.group0), "_pieces": pa.array(self.pieces)}))
         held = self.items.join(F.broadcast(plan), ["limit_id", "cluster", "band"]).withColumn("group", F.col("_group0") + F.pmod(_hash("doc_id"), F.col("_pieces")))
-        held = held.select("group", "doc_id", "n_tokens", "unit", "terms", "tfs").join(blocks, "group").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).drop("_blocks")
+        held = held.select("group", "doc_id", "n_tokens", "unit", *WORDS).join(blocks, "group").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).drop("_blocks")
         asking = routed.join(blocks, "group").withColumn("block", F.pmod(_hash("doc_id"), F.col("_blocks")).cast("int")).drop("_blocks")
         by, tasks = ["group", "block"], 2 * max(1, int(counted["_blocks"].to_numpy().sum()))
         asking, held = asking.repartition(tasks, *by), held.repartition(tasks, *by)
@@ -430,8 +562,10 @@ def _band(edges: Mapping[int, list[int]]) -> Column:
 
 def _route(batch: pa.RecordBatch, r: dict, space: Space) -> Iterator[pa.RecordBatch]:
     """Each seed once for every group it asks, with the shards it asks there."""
-    offsets, terms = _lists(batch, "terms")
-    affinity = space.asked(offsets, terms) @ space.centres.T
+    (offsets, heavy), (r_offsets, _) = _bytes(batch, "heavy"), _bytes(batch, "rest")
+    asked = space.asked(offsets, heavy)
+    affinity, words = asked @ space.centres.T, np.diff(offsets + r_offsets)
+    bits = pa.array([x.tobytes() for x in np.packbits(asked > 0, axis=1)], pa.binary())
     limits, ids, rooms = (batch[c].to_numpy() for c in ("limit_id", "doc_id", "room"))
     for v in np.unique(limits).tolist():
         rows, units = np.flatnonzero(limits == v), np.flatnonzero(r["limit"] == v)
@@ -439,12 +573,20 @@ def _route(batch: pa.RecordBatch, r: dict, space: Space) -> Iterator[pa.RecordBa
             continue
         promise = affinity[rows][:, r["cluster"][units]] * r["fit"][units].astype(np.float32) + np.float32(1e-9)  # a seed without frequent words may ask any
         promise[r["low"][units][None, :] > rooms[rows][:, None]] = 0
-        order = np.argsort(-promise, axis=1, kind="stable")
-        n = r["n"][units][order]
-        before = np.cumsum(n, axis=1) - n
-        reach = (r["reach"][v] * np.clip(FEW_WORDS / np.maximum(1, np.diff(offsets)[rows]), 1, MOST_MORE)).astype(np.int64)
-        row, at = np.nonzero((before < reach[:, None]) & (np.take_along_axis(promise, order, 1) > 0))
-        unit, wanted = units[order[row, at]], reach[row] - before[row, at]
+        reach = (r["reach"][v] * np.clip(FEW_WORDS / np.maximum(1, words[rows]), 1, MOST_MORE)).astype(np.int64)
+        parts, still, few = [], np.arange(len(rows)), 64
+        while len(still):
+            some, few = promise[still], min(few * 4, len(units))
+            best = np.sort(np.argpartition(-some, few - 1, axis=1)[:, :few], axis=1) if few < len(units) else np.broadcast_to(np.arange(few), some.shape)
+            best = np.take_along_axis(best, np.argsort(-np.take_along_axis(some, best, 1), axis=1, kind="stable"), 1)
+            n = r["n"][units][best]
+            before = np.cumsum(n, axis=1) - n
+            last = best[:, -1:]
+            done = (before[:, -1] + n[:, -1] >= reach[still]) | (np.take_along_axis(some, last, 1)[:, 0] <= 0) | (few == len(units))
+            row, at = np.nonzero(done[:, None] & (before < reach[still][:, None]) & (np.take_along_axis(some, best, 1) > 0))
+            parts.append((still[row], units[best[row, at]], reach[still[row]] - before[row, at]))
+            still = still[~done]
+        row, unit, wanted = (np.concatenate(c) for c in zip(*parts))
         # of a shard cut into several groups so many as the seed still wants, beginning anywhere
         pieces = r["pieces"][unit]
         some = np.minimum(pieces, -(-wanted * pieces // r["n"][unit]))
@@ -455,14 +597,14 @@ def _route(batch: pa.RecordBatch, r: dict, space: Space) -> Iterator[pa.RecordBa
         row, group, unit = row[order], group[order], unit[order]
         starts = np.flatnonzero(np.r_[True, (np.diff(row) != 0) | (np.diff(group) != 0)]) if len(row) else np.zeros(0, np.int64)
         seed = pa.array(rows[row[starts]])
-        lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(row)), pa.int32()), pa.array(unit, pa.int32()))
-        yield pa.RecordBatch.from_arrays([pa.array(group[starts], pa.int64()), *(batch[c].take(seed) for c in ("limit_id", "doc_id", "room", "terms")), lists], ["group", "limit_id", "doc_id", "room", "terms", "units"])
+        lists = _as_bytes(unit.astype(np.int32), np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(row)))), len(starts))
+        yield pa.RecordBatch.from_arrays([pa.array(group[starts], pa.int64()), *(batch[c].take(seed) for c in ("limit_id", "doc_id", "room")), bits.take(seed), batch["rest"].take(seed), lists], ["group", "limit_id", "doc_id", "room", "bits", "rest", "units"])
 
 
 def nearest(items: DataFrame, queries: DataFrame, edges, space, bm25, k: int, **settings) -> DataFrame:
     """(limit_id, seed, doc_id, n_tokens, score): the k best items of each query, as the index finds them."""
     best = Window.partitionBy("limit_id", "seed").orderBy(F.desc("score"), "doc_id")
-    found = Index(items, edges, space, bm25, **settings).search(queries, k)
+    found = Index(compacted(items, space), edges, space, bm25, **settings).search(compacted(queries, space), k)
     return found.withColumn("_rank", F.row_number().over(best)).filter(F.col("_rank") <= k).drop("_rank")
 
 
@@ -475,7 +617,6 @@ def fill(index: Postings, sizes: np.ndarray, terms: list[np.ndarray], capacity:
     A container takes the unused items that fit in the order of their scores, then the largest that fit.
     """
     order = np.argsort(-sizes, kind="stable")
-    ranked = sizes[order]
     unused = np.ones(len(sizes), bool)
 
     def take(near: np.ndarray, room: int, inside: list[int]) -> int:
@@ -489,17 +630,31 @@ def fill(index: Postings, sizes: np.ndarray, terms: list[np.ndarray], capacity:
             near = near[sizes[near] <= room]
         return room
 
-    def close(asked: np.ndarray, room: int, inside: list[int]) -> list[int]:
-        fits = order[np.searchsorted(-ranked, -room) :]
-        fits = fits[unused[fits]]
+    live, near_index = order, index.only(order)  # the unused items and few others, the largest first
+
+    def close(asked: np.ndarray, room: int, inside: list[int], most: int = capacity) -> list[int]:
+        """most: the largest room of any container that is still to be closed."""
+        nonlocal live, near_index
+        begin = int(np.searchsorted(-sizes[live], -most))
+        if np.count_nonzero(unused[live[begin:]]) < len(live) // 2:
+            chosen = begin + np.flatnonzero(unused[live[begin:]])
+            live, near_index = live[chosen], near_index.only(chosen)
+        begin = int(np.searchsorted(-sizes[live], -room))
+        fits = begin + np.flatnonzero(unused[live[begin:]])
         if fits.size:
-            scores = index.scores(asked)[fits].astype(np.float32)  # sums in another order are equal
-            near = fits[np.lexsort((fits, -scores))][: int((scores > 0).sum())]
-            room = take(near, room, inside)
+            scores, fits = near_index.scores(asked)[fits].astype(np.float32), live[fits]  # sums in another order are equal
+            near, scores = fits[scores > 0], scores[scores > 0]
+            while near.size:
+                best = scores >= (np.partition(scores, len(scores) - FIRST)[len(scores) - FIRST] if len(scores) > 2 * FIRST else 0)
+                room = take(near[best][np.lexsort((near[best], -scores[best]))], room, inside)
+                still = ~best & (sizes[near] <= room)
+                near, scores = near[still], scores[still]
             take(fits[unused[fits] & (sizes[fits] <= room)], room, inside)
         return inside
 
-    before = [close(asked, room, []) for asked, room in opened]
+    most = np.maximum.accumulate([room for _, room in opened][::-1])[::-1].tolist()
+    before = [close(asked, room, [], later) for (asked, room), later in zip(opened, most)]
+    live, near_index = order, index.only(order)
     new = []
     for seed in order.tolist():
         if unused[seed]:
@@ -508,15 +663,17 @@ def fill(index: Postings, sizes: np.ndarray, terms: list[np.ndarray], capacity:
     return before, new
 
 
-def _fill_part(t: pa.Table, capacities: Mapping[int, int], bm25: Bm25, last_round: int) -> pa.Table:
+def _fill_part(t: pa.Table, capacities: Mapping[int, int], space: Space, bm25: Bm25, last_round: int) -> pa.Table:
     """Rows of _TAKEN for the items of a part; rows with a room are containers already open."""
     limit_id = t["limit_id"][0].as_py()
     t = t.sort_by([("n_tokens", "descending"), ("doc_id", "ascending")])
     is_open = np.array(t["room"].is_valid())
     opened, items = t.filter(pa.array(is_open)).sort_by([("room", "descending"), ("doc_id", "ascending")]), t.filter(pa.array(~is_open))
-    lists = lambda t: (lambda offsets, flat: [flat[a:b] for a, b in zip(offsets, offsets[1:])])(*_lists(t, "terms"))
+    (offsets, terms, tfs), (o_offsets, o_terms, _) = _words(items, space), _words(opened, space, False)
+    item = np.repeat(np.arange(items.num_rows), np.diff(offsets))
+    index = Postings(item, terms, bm25.weights(terms, tfs, np.bincount(item, tfs, items.num_rows)[item]), items.num_rows)
     sizes, ids = items["n_tokens"].to_numpy(), items["doc_id"].to_numpy()
-    before, new = fill(Postings.of(items, bm25), sizes, lists(items), capacities[limit_id], list(zip(lists(opened), opened["room"].to_pylist())))
+    before, new = fill(index, sizes, np.split(terms, offsets[1:-1]), capacities[limit_id], list(zip(np.split(o_terms, o_offsets[1:-1]), opened["room"].to_pylist())))
     both = [*zip(opened["doc_id"].to_pylist(), before), *((int(ids[c[0]]), c) for c in new)]
     item = np.array([i for _, c in both for i in c], np.int64)
     lengths = [len(c) for _, c in both]
@@ -584,22 +741,24 @@ def pack(documents: DataFrame, capacities: Mapping[int, int], *, rounds: int = R
     some = documents if n_documents <= asked else documents.filter(F.pmod(_hash("doc_id"), F.lit(1 << 30)) < F.lit(int(asked / n_documents * (1 << 30)))).limit(2 * asked)
     sample = items_of(some, capacities).filter("terms is not null").select("terms", "tfs").toArrow()
     fitted = Space.fit(sample, min(MOST_CLUSTERS, max(1, math.isqrt(n_documents) // 2)))
-    items = materialize(items_of(documents, capacities, fitted), "items")
-    loose = items.filter("terms is not null")
+    items = materialize(items_of(documents, capacities, fitted, compact=True), "items")
+    loose = items.filter("rest is not null")
     counts: dict[int, dict[int, int]] = {v: {} for v in capacities}
     n, length = 0, 0
     for r in loose.groupBy("limit_id", "n_tokens").agg(F.count("*").alias("n"), F.sum("length").alias("length")).collect():
         counts[r.limit_id][r.n_tokens], n, length = r.n, n + r.n, length + r.length
     # as plain values: executors don't have this package
-    space, bm25 = (spark.sparkContext.broadcast(vars(x)) for x in (fitted, Bm25.of(loose, n, length)))
+    space = spark.sparkContext.broadcast(vars(fitted))
+    bm25 = spark.sparkContext.broadcast(vars(Bm25.of(loose, n, length, space)))
     starts = {v: Start.of(c, capacities[v]) for v, c in counts.items()}
     edges = {v: s.edges for v, s in starts.items()}
     per_limit = lambda f: F.coalesce(*[F.when(F.col("limit_id") == v, f(v)) for v in capacities])
     loose = loose.withColumn("seed", per_limit(lambda v: starts[v].is_seed()))
-    seeds = loose.filter("seed").withColumn("_capacity", per_limit(lambda v: F.lit(capacities[v])).cast("long"))
+    seeds = loose.filter("seed").select("limit_id", "doc_id", "n_tokens", per_limit(lambda v: F.lit(capacities[v])).cast("long").alias("_capacity"), "heavy", "rest")
+    others = loose.filter("not seed").select("limit_id", "doc_id", "n_tokens", "cluster", "fit", "length", *WORDS)
     taken: DataFrame | None = None
     for r in range(1, rounds + 1):
-        open_now, free = _open(seeds, taken), _free(loose, taken)
+        open_now, free = _open(seeds, taken), _free(others, taken)
         index = Index(free, edges, space, bm25, group)
         if not len(index.n):
             break
@@ -613,11 +772,11 @@ def pack(documents: DataFrame, capacities: Mapping[int, int], *, rounds: int = R
             break
         taken = got if taken is None else taken.unionByName(got)
     # what is left, with the containers still open
-    cols = ["limit_id", "doc_id", "n_tokens", "room", "terms", "tfs"]
-    left = _open(seeds, taken).select(*cols).unionByName(_free(loose, taken, False).withColumn("room", F.lit(None).cast("long")).select(*cols))
+    cols = ["limit_id", "doc_id", "n_tokens", "room", *WORDS]
+    left = _open(seeds, taken).withColumns({c: F.lit(None).cast("binary") for c in ("heavy_tfs", "rest_tfs")}).select(*cols).unionByName(_free(others, taken, False).withColumn("room", F.lit(None).cast("long")).select(*cols))
     parts = dict.fromkeys(capacities, 1) | {r[0]: -(-r[1] // part) for r in left.groupBy("limit_id").count().collect()}
     left = left.withColumn("part", F.pmod(_hash("doc_id"), per_limit(lambda v: F.lit(parts[v]))))
-    last = left.groupBy("limit_id", "part").applyInArrow(lambda t: _fill_part(t, capacities, Bm25(**bm25.value), rounds + 1), TAKEN)
+    last = left.groupBy("limit_id", "part").applyInArrow(lambda t: _fill_part(t, capacities, Space(**space.value), Bm25(**bm25.value), rounds + 1), TAKEN)
     own = seeds.select("limit_id", "doc_id", F.col("doc_id").alias("container"), F.lit(0).alias("round"), F.lit(0).alias("rank"), "n_tokens")
     whole = own.unionByName(materialize(last, "last"))
     return _containers(items, whole if taken is None else whole.unionByName(taken), per_limit(lambda v: F.lit(capacities[v])).cast("long"))
@@ -632,10 +791,9 @@ def _open(seeds: DataFrame, taken: DataFrame | None) -> DataFrame:
     return seeds.withColumn("room", room).filter("room > 0")
 
 
-def _free(loose: DataFrame, taken: DataFrame | None, with_words: bool = True) -> DataFrame:
+def _free(others: DataFrame, taken: DataFrame | None, with_words: bool = True) -> DataFrame:
     """Unused items; for the index, those that have words."""
-    free = loose.filter("not seed")
-    free = free.filter("length > 0") if with_words else free
+    free = others.filter("length > 0") if with_words else others
     return free if taken is None else free.join(taken.select("limit_id", "doc_id"), ["limit_id", "doc_id"], "left_anti")
 
 
@@ -644,8 +802,8 @@ def _containers(items: DataFrame, taken: DataFrame, capacity: Column) -> DataFra
     placed = taken.select(
         "limit_id", "doc_id", F.concat(F.lit("c"), "container").alias("container_id"), (F.row_number().over(by.orderBy("round", "rank", "doc_id")) - 1).alias("position"), F.sum("n_tokens").over(by).alias("container_tokens")
     )
-    loose = items.filter("terms is not null").select("limit_id", "doc_id", "piece_no", "pieces", "start_token", "n_tokens").join(placed, ["limit_id", "doc_id"])
-    full = items.filter("terms is null").withColumns({"container_id": F.concat(F.lit("f"), "doc_id", F.lit("-"), "piece_no"), "position": F.lit(0), "container_tokens": F.col("n_tokens")})
+    loose = items.filter("rest is not null").select("limit_id", "doc_id", "piece_no", "pieces", "start_token", "n_tokens").join(placed, ["limit_id", "doc_id"])
+    full = items.filter("rest is null").withColumns({"container_id": F.concat(F.lit("f"), "doc_id", F.lit("-"), "piece_no"), "position": F.lit(0), "container_tokens": F.col("n_tokens")})
     columns = ["limit_id", "container_id", "position", "doc_id", "piece_no", "pieces", "start_token", "n_tokens", "container_tokens", (capacity - F.col("container_tokens")).alias("unused")]
     return loose.select(*columns).unionByName(full.select(*columns))
 

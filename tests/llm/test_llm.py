@@ -11,6 +11,7 @@ from oracle import TABLES_AT, compare, connect
 from pyspark.sql import functions as F
 from recall import measured
 
+from lakeloom.llm import packing
 from lakeloom.llm import queries as llm
 from lakeloom.llm.mixing import Mixture, ramp_schedule
 from lakeloom.llm.packing import B, K1, SKETCH, Bm25, Postings, Start, _given_out, divide, fill, items_of, pack, term_of, with_texts, words_of
@@ -75,6 +76,58 @@ def test_scores_are_bm25():
         np.testing.assert_allclose(index.scores(np.unique(items[seed])), want, rtol=1e-5)
 
 
+def test_the_index_of_some_items_scores_them_alike():
+    rng = np.random.default_rng(2)
+    items = [rng.integers(0, 40, rng.integers(1, 30)) for _ in range(60)]
+    index, _ = postings(items)
+    chosen = rng.permutation(60)[:25]
+    for seed in (0, 31):
+        np.testing.assert_allclose(index.only(chosen).scores(np.unique(items[seed])), index.scores(np.unique(items[seed]))[chosen])
+
+
+@given(st.text(st.characters(max_codepoint=127)))
+def test_words_of_ascii(t):
+    assert words_of(t) == packing.WORD.findall(t.lower())
+
+
+@pytest.mark.parametrize("pairs", [1 << 22, 500])
+def test_a_group_is_searched_as_by_brute_force(monkeypatch, pairs):
+    """Of the shards a query asks the best items that fit, with all queries at a time or few; frequent words are sent as a bit each."""
+    monkeypatch.setattr(packing, "PAIRS", pairs)
+    monkeypatch.setattr(packing, "RANGE", 50)
+    monkeypatch.setattr(packing, "HITS", 64)
+    rng = np.random.default_rng(4)
+    texts = [rng.integers(0, 60, rng.integers(1, 30)) for _ in range(300)]
+    rows, (index, bm25) = [np.unique(x, return_counts=True) for x in texts], postings(texts)
+    space = packing.Space(np.arange(0, 60, 3, dtype=np.int32), np.ones(20, np.float32), 1.0, np.zeros((1, 20), np.float32))
+    row, (terms, tfs) = np.repeat(np.arange(300), [len(t) for t, _ in rows]), (np.concatenate(c) for c in zip(*rows))
+    words = dict(zip(packing.WORDS, packing._compacted(row, terms.astype(np.int32), tfs, 300, space)))
+    units, sizes, rooms = rng.integers(0, 12, 300), rng.integers(1, 100, 300), rng.integers(0, 120, 40)
+    items = packing.pa.table({"doc_id": np.arange(300), "n_tokens": sizes, "unit": packing.pa.array(units, packing.pa.int32()), **words})
+    asked = [np.sort(rng.choice(12, rng.integers(1, 6), replace=False)) for _ in range(40)]
+    bits = [np.packbits(np.isin(space.heavy, texts[q])).tobytes() for q in range(40)]
+    assert {len(b) for b in bits} == {3}
+    queries = packing.pa.table({"limit_id": np.ones(40, np.int32), "doc_id": np.arange(40), "room": rooms, "bits": bits, "rest": words["rest"].slice(0, 40), "units": [u.astype(np.int32).tobytes() for u in asked]})
+    found = packing.search_group(queries, items, space, bm25, 5).to_pylist()
+    for q in range(40):
+        score = index.scores(np.unique(texts[q]))
+        score[(sizes > rooms[q]) | ~np.isin(units, asked[q]) | (np.arange(300) == q)] = 0
+        mine = [r for r in found if r["seed"] == q]
+        np.testing.assert_allclose([score[r["doc_id"]] for r in mine], [r["score"] for r in mine], rtol=1e-4)
+        np.testing.assert_allclose(sorted(r["score"] for r in mine), [x for x in np.sort(score)[-5:] if x > 0], rtol=1e-4)
+
+
+def test_words_as_bytes_are_the_words(spark):
+    docs = spark.createDataFrame([(1, "one two two three"), (2, "two " * 50), (3, None), (4, "three four")], "doc_id long, text string")
+    plain = items_of(docs, {1: 40, 2: 300}).orderBy("limit_id", "doc_id", "piece_no").toArrow()
+    space = packing.Space(np.sort(np.array([term_of("two"), term_of("never")], np.int32)), np.ones(2, np.float32), 1.0, np.zeros((1, 2), np.float32))
+    got = items_of(docs, {1: 40, 2: 300}, space, compact=True).orderBy("limit_id", "doc_id", "piece_no").toArrow()
+    offsets, terms, tfs = packing._words(got, space)
+    for i, (want, n) in enumerate(zip(plain["terms"].to_pylist(), plain["tfs"].to_pylist())):
+        assert (got["rest"][i].as_py() is None) == (want is None)
+        assert dict(zip(terms[offsets[i] : offsets[i + 1]], tfs[offsets[i] : offsets[i + 1]])) == dict(zip(want or (), n or ()))
+
+
 def test_containers_are_full_or_nothing_fits():
     rng = np.random.default_rng(1)
     sizes = rng.integers(0, 100, 300)
