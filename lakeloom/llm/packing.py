@@ -45,7 +45,7 @@ BANDS, REACH, LEAST_REACH = 8, 16, 1024
 FEW_WORDS, MOST_MORE = 128, 16  # a seed of fewer words reaches so many times as far as it has fewer, up to MOST_MORE times
 GROUP, BLOCK, PART = 32_768, 16_384, 16_384
 PAIRS, RANGE, HITS = 1 << 22, 512, 1 << 15  # scores that a search holds at a time; items whose postings lie together; words looked up at a time
-FIRST = 256  # neighbours that are put in order at once
+FIRST, GIVEN = 256, 1 << 14  # neighbours that are put in order at once; pairs between two looks at what is used
 NEIGHBOURS, ROUNDS = 64, 3
 K1, B = 1.2, 0.75
 MOST_TIMES = 32_767  # a word counts no oftener in a text; its weight changes by less than a ten thousandth beyond
@@ -222,22 +222,23 @@ def items_of(documents: DataFrame, capacities: Mapping[int, int], space: Space |
         ids = _Terms()
         space = Space(**sent.value) if sent.value else None
 
-        def counted(text: str) -> tuple[array, array]:
-            found = Counter(words_of(text))
-            if len(ids) > 200_000:
-                ids.clear()
-            return array("i", map(ids.__getitem__, found)), array("i", found.values())
-
         for batch in batches:
             rows: list[tuple] = []  # as _ITEMS up to n_tokens
+            which: list[int | None] = []  # the words of each
             offsets, flat, tfs = [0], array("i"), array("i")
 
-            def add(row: tuple, terms: tuple[array, array] | None) -> None:
+            def counted(text: str) -> int:
+                found = Counter(words_of(text))
+                if len(ids) > 200_000:
+                    ids.clear()
+                flat.extend(map(ids.__getitem__, found))
+                tfs.extend(found.values())
+                offsets.append(len(flat))
+                return len(offsets) - 2
+
+            def add(row: tuple, words: int | None) -> None:
                 rows.append(row)
-                if terms:
-                    flat.extend(terms[0])
-                    tfs.extend(terms[1])
-                offsets.append(len(flat) if terms is not None else None)
+                which.append(words)
 
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = text.as_py() or ""
@@ -246,37 +247,33 @@ def items_of(documents: DataFrame, capacities: Mapping[int, int], space: Space |
                 whole = None
                 for limit_id, capacity in limits:
                     if size <= capacity:
-                        whole = whole or counted(text)
+                        whole = counted(text) if whole is None else whole
                         add((limit_id, doc_id, 0, 1, 0, size), whole)
                         continue
                     pieces = divide(data, capacity)
                     for i, (s, n) in enumerate(pieces):
                         add((limit_id, doc_id, i, len(pieces), s, n), counted(data[s : s + n].decode("utf-8", "replace")) if i == len(pieces) - 1 else None)
                 if len(flat) > 4_000_000 or len(rows) > 50_000:
-                    yield _item_batch(rows, offsets, flat, tfs, space, compact)
-                    rows, offsets, flat, tfs = [], [0], array("i"), array("i")
+                    yield _item_batch(rows, which, offsets, flat, tfs, space, compact)
+                    rows, which, offsets, flat, tfs = [], [], [0], array("i"), array("i")
             if rows:
-                yield _item_batch(rows, offsets, flat, tfs, space, compact)
+                yield _item_batch(rows, which, offsets, flat, tfs, space, compact)
 
     return documents.select("doc_id", "text").mapInArrow(cut, COMPACT if compact else ITEMS)
 
 
-def _item_batch(rows: list[tuple], offsets: list, flat: array, tfs: array, space: Space | None, compact: bool) -> pa.RecordBatch:
-    flat, tfs = np.array(flat, np.int32), np.minimum(np.array(tfs, np.int32), MOST_TIMES).astype(np.int16)
-    has = np.array([o is not None for o in offsets[1:]])
-    ends = pa.array(np.maximum.accumulate([o or 0 for o in offsets]), pa.int32())
-    lists = [pa.ListArray.from_arrays(ends, pa.array(v, t)) for v, t in ((flat, pa.int32()), (tfs, pa.int16()))]
+def _item_batch(rows: list[tuple], which: list[int | None], offsets: list[int], flat: array, tfs: array, space: Space | None, compact: bool) -> pa.RecordBatch:
+    flat, tfs, n = np.array(flat, np.int32), np.minimum(np.array(tfs, np.int32), MOST_TIMES).astype(np.int16), len(offsets) - 1
+    lists = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(v, t)) for v, t in ((flat, pa.int32()), (tfs, pa.int16()))]
     columns = [pa.array(c, f.type) for c, f in zip(zip(*rows), _ITEMS)]
-    cluster, fit = np.zeros(len(rows), np.int32), np.zeros(len(rows), np.float32)
+    cluster, fit = np.zeros(n, np.int32), np.zeros(n, np.float32)
     if space is not None:
-        for a in range(0, len(rows), 4096):
+        for a in range(0, n, 4096):
             cluster[a : a + 4096], fit[a : a + 4096] = space.place(pa.RecordBatch.from_arrays([c.slice(a, 4096) for c in lists], ["terms", "tfs"]))
-    row = np.repeat(np.arange(len(rows)), np.diff(ends.to_numpy()))
-    length = np.bincount(row, tfs, len(rows)).astype(np.int64) if len(tfs) else np.zeros(len(rows), np.int64)
-    none = pa.array(~has)
-    words = _compacted(row, flat, tfs, len(rows), space) if compact else lists
-    nulled = [pa.compute.if_else(none, pa.scalar(None, x.type), x) for x in (pa.array(cluster), pa.array(fit), pa.array(length), *words)]
-    return pa.RecordBatch.from_arrays([*columns, *nulled], schema=_COMPACT if compact else _ITEMS)
+    row = np.repeat(np.arange(n), np.diff(offsets))
+    length = np.bincount(row, tfs, n).astype(np.int64)
+    words, at = _compacted(row, flat, tfs, n, space) if compact else lists, pa.array(which, pa.int32())
+    return pa.RecordBatch.from_arrays([*columns, *(x.take(at) for x in (pa.array(cluster), pa.array(fit), pa.array(length), *words))], schema=_COMPACT if compact else _ITEMS)
 
 
 def _compacted(row: np.ndarray, terms: np.ndarray, tfs: np.ndarray, n: int, space: Space) -> list[pa.Array]:
@@ -461,24 +458,27 @@ def search_group(queries: pa.Table, items: pa.Table, space: Space, bm25: Bm25, k
         ends = np.searchsorted(row, np.arange(m + 1)).tolist()
         before, width = first[u], stops - starts
         starts, stops = starts.tolist(), stops.tolist()
-        for q in range(m):
-            pairs = slice(ends[q], ends[q + 1])
-            if pairs.start == pairs.stop:
-                continue
-            own = np.concatenate([scores[s:e] for s, e in zip(starts[pairs], stops[pairs])])
-            best = np.argpartition(own, len(own) - k)[len(own) - k :] if len(own) > k else np.arange(len(own))
-            best = best[own[best] > 0]
-            if not len(best):
-                continue
-            upto = np.cumsum(width[pairs])
-            shard = np.searchsorted(upto, best, "right")
-            out.append(((before[pairs] - upto + width[pairs])[shard] + best, np.full(len(best), a + q), own[best]))
+        best, worth = [], []
+        for begin, end in zip(ends, ends[1:]):
+            if begin < end:
+                own = np.concatenate([scores[s:e] for s, e in zip(starts[begin:end], stops[begin:end])])
+                some = np.argpartition(own, len(own) - k)[len(own) - k :] if len(own) > k else np.arange(len(own))
+                best.append(some)
+                worth.append(own[some])
+        if best:
+            upto, counts = np.cumsum(width), [len(x) for x in best]
+            asks = np.flatnonzero(np.diff(ends))
+            at, worth = np.concatenate(best) + np.repeat((upto - width)[np.array(ends)[asks]], counts), np.concatenate(worth)
+            positive = worth > 0
+            at, worth = at[positive], worth[positive]
+            pair = np.searchsorted(upto, at, "right")
+            out.append(((before - upto + width)[pair] + at, np.repeat(a + asks, counts)[positive], worth))
         a = b
     if not out:
         return _FOUND.empty_table()
     i, r, score = (np.concatenate(c) for c in zip(*out))
     if give_out:
-        order = np.lexsort((seeds[r], doc_id[i], -score))
+        order = np.argsort(-score, kind="stable")
         kept = order[_given_out(i[order], r[order], size, rooms)]
         i, r, score = i[kept], r[kept], score[kept]
     columns = [np.full(len(r), queries["limit_id"][0].as_py()), doc_id[i], size[i], seeds[r], score]
@@ -487,12 +487,18 @@ def search_group(queries: pa.Table, items: pa.Table, space: Space, bm25: Bm25, k
 
 def _given_out(item: np.ndarray, query: np.ndarray, size: np.ndarray, room: np.ndarray) -> list[int]:
     """Of pairs in the order of their worth those that hold if each item goes to one query with room for it."""
-    sizes, rooms, unused, kept = size.tolist(), room.tolist(), [True] * len(size), []
-    for at, (i, q) in enumerate(zip(item.tolist(), query.tolist())):
-        if unused[i] and sizes[i] <= rooms[q]:
-            unused[i] = False
-            rooms[q] -= sizes[i]
-            kept.append(at)
+    sizes, rooms, unused, kept = size.tolist(), room.tolist(), np.ones(len(size), bool), []
+    left = np.arange(len(item))
+    while len(left):
+        some, left = left[:GIVEN], left[GIVEN:]
+        some = some[unused[item[some]]]
+        used = set()
+        for at, i, q in zip(some.tolist(), item[some].tolist(), query[some].tolist()):
+            if i not in used and sizes[i] <= rooms[q]:
+                used.add(i)
+                rooms[q] -= sizes[i]
+                kept.append(at)
+        unused[list(used)] = False
     return kept
 
 
@@ -635,12 +641,12 @@ def fill(index: Postings, sizes: np.ndarray, terms: list[np.ndarray], capacity:
     def close(asked: np.ndarray, room: int, inside: list[int], most: int = capacity) -> list[int]:
         """most: the largest room of any container that is still to be closed."""
         nonlocal live, near_index
-        begin = int(np.searchsorted(-sizes[live], -most))
-        if np.count_nonzero(unused[live[begin:]]) < len(live) // 2:
-            chosen = begin + np.flatnonzero(unused[live[begin:]])
+        chosen = np.flatnonzero(unused[live])
+        chosen = chosen[np.searchsorted(-sizes[live[chosen]], -most) :]
+        if len(chosen) < len(live) // 2:
             live, near_index = live[chosen], near_index.only(chosen)
-        begin = int(np.searchsorted(-sizes[live], -room))
-        fits = begin + np.flatnonzero(unused[live[begin:]])
+            chosen = np.arange(len(live))
+        fits = chosen[np.searchsorted(-sizes[live[chosen]], -room) :]
         if fits.size:
             scores, fits = near_index.scores(asked)[fits].astype(np.float32), live[fits]  # sums in another order are equal
             near, scores = fits[scores > 0], scores[scores > 0]
