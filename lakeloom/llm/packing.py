@@ -44,8 +44,8 @@ SAMPLE, MOST_CLUSTERS, MOST_HEAVY = 8192, 512, 1024
 BANDS, REACH, LEAST_REACH = 8, 16, 1024
 FEW_WORDS, MOST_MORE = 128, 16  # a seed of fewer words reaches so many times as far as it has fewer, up to MOST_MORE times
 GROUP, BLOCK, PART = 32_768, 16_384, 16_384
-PAIRS, RANGE, HITS = 1 << 22, 512, 1 << 15  # scores that a search holds at a time; items whose postings lie together; words looked up at a time
-FIRST, GIVEN = 256, 1 << 14  # neighbours that are put in order at once; pairs between two looks at what is used
+PAIRS, NEAR, RANGE, HITS = 1 << 22, 1 << 17, 512, 1 << 15  # scores that a search holds at a time, and finishes at a time; items whose postings lie together; words looked up at a time
+FIRST, GIVEN, AHEAD = 256, 1 << 14, 32  # neighbours that are put in order at once; pairs between two looks at what is used; containers scored at once
 NEIGHBOURS, ROUNDS = 64, 3
 K1, B = 1.2, 0.75
 MOST_TIMES = 32_767  # a word counts no oftener in a text; its weight changes by less than a ten thousandth beyond
@@ -54,6 +54,7 @@ _ALONE = "぀-ヿ㐀-䶿一-鿿豈-﫿"
 WORD = re.compile(rf"[{_ALONE}]|[^\W{_ALONE}]+")
 #: The same for ASCII: its words in lower case, blanks between them.
 _ASCII = bytes(ord(chr(c).lower()) if c < 128 and (chr(c).isalnum() or c == ord("_")) else ord(" ") for c in range(256))
+_UTF8 = _ASCII[:128] + bytes(range(128, 256))  # other characters stay
 PACKED = "limit_id int, container_id string, position int, doc_id long, piece_no int, pieces int, start_token long, n_tokens long, container_tokens long, unused long"
 ITEMS = "limit_id int, doc_id long, piece_no int, pieces int, start_token long, n_tokens long, cluster int, fit float, length long, terms array<int>, tfs array<short>"
 #: Words as bytes, which are sent and written faster than lists: places of frequent words in Space.heavy, other words' terms, and how often each stands in the text.
@@ -91,6 +92,15 @@ def words_of(text: str) -> list[str]:
     return text.encode().translate(_ASCII).decode().split() if text.isascii() else WORD.findall(text.lower())
 
 
+def _counted(text: str) -> Counter[str]:
+    """How often each of words_of(text) stands there. Only what isn't ASCII between signs of ASCII needs the slower WORD."""
+    if text.isascii():
+        return Counter(words_of(text))
+    found = Counter(text.lower().encode().translate(_UTF8).decode().split())
+    found.update(WORD.findall(" ".join([x for x in found.copy() if not x.isascii() for _ in range(found.pop(x))])))
+    return found
+
+
 class _Terms(dict):
     """The terms of words that were asked for."""
 
@@ -228,7 +238,7 @@ def items_of(documents: DataFrame, capacities: Mapping[int, int], space: Space |
             offsets, flat, tfs = [0], array("i"), array("i")
 
             def counted(text: str) -> int:
-                found = Counter(words_of(text))
+                found = _counted(text)
                 if len(ids) > 200_000:
                     ids.clear()
                 flat.extend(map(ids.__getitem__, found))
@@ -357,6 +367,20 @@ class Postings:
         _, item, weight = self.matches(np.zeros(len(terms), np.int64), terms)
         return np.bincount(item, weight, self.n)
 
+    def parted(self) -> tuple[Postings, np.ndarray, np.ndarray]:
+        """The index without its frequent terms; the columns of these in the matrix of their weights, -1 for the others; and the matrix."""
+        frequent = np.sort(np.argsort(-self.count, kind="stable")[:MOST_HEAVY])
+        frequent = frequent[self.count[frequent] >= max(2, self.n / 100)]
+        column = np.full(len(self.known), -1)
+        column[frequent] = np.arange(len(frequent))
+        of = np.repeat(column, self.count)
+        matrix = np.zeros((self.n, len(frequent)), np.float32)
+        matrix[self.item[of >= 0], of[of >= 0]] = self.weight[of >= 0]
+        out = Postings.__new__(Postings)
+        out.item, out.weight, out.n, out.known, out.count = self.item[of < 0], self.weight[of < 0], self.n, self.known, np.where(column < 0, self.count, 0)
+        out.start = np.cumsum(out.count) - out.count
+        return out, column, matrix
+
     def only(self, chosen: np.ndarray) -> Postings:
         """The index of some of its items, numbered in the order given."""
         out, number = Postings.__new__(Postings), np.full(self.n, -1)
@@ -389,10 +413,9 @@ def search_group(queries: pa.Table, items: pa.Table, space: Space, bm25: Bm25, k
     # the other words' postings lie by ranges of shards, so that a query passes over those of ranges it doesn't ask
     known, at = np.unique(terms, return_inverse=True)
     stretch = first // RANGE
+    ranges = int(stretch[-1]) + 1
     rest = Postings(item, stretch[unit_of[item]] * len(known) + at, bm25.weights(terms, tfs, length[item]), n)
-    count = np.zeros((int(stretch[-1]) + 1) * len(known), np.int64)
-    count[rest.known] = rest.count
-    place = np.zeros(len(count), np.int64)
+    place = np.full(ranges * len(known), -1, np.int32)
     place[rest.known] = np.arange(len(rest.known))
     by_id = np.argsort(doc_id, kind="stable")
     # queries that ask the same shards are looked at together
@@ -406,79 +429,85 @@ def search_group(queries: pa.Table, items: pa.Table, space: Space, bm25: Bm25, k
     pair_unit, there = _matched(units, asked)
     large = max(int(size.max()), int(rooms.max())) + 1
     fit = np.searchsorted(unit_of * large + size, pair_unit * large + np.repeat(rooms, np.diff(u_offsets)), "right") - first[pair_unit]
-    there &= fit > 0
-    looks = np.concatenate([[0], np.cumsum(np.where(there, fit, 0))])[u_offsets]  # items that the queries before look at
-    out, a, most = [], 0, max(1, PAIRS // len(units))
+    there = np.flatnonzero(there & (fit > 0))
+    row, pair_unit, fit = np.repeat(np.arange(len(seeds)), np.diff(u_offsets))[there], pair_unit[there], fit[there]
+    pair_ends, looks = np.searchsorted(row, np.arange(len(seeds) + 1)), np.concatenate([[0], np.cumsum(fit)])  # items that the pairs before look at
+    upto = looks[pair_ends]  # that the queries before look at
+    r_ends, in_rest = np.concatenate([[0], np.cumsum(is_rest)])[q_offsets], in_rest[is_rest]
+    out, a, line, counted = [], 0, np.zeros((0, len(space.heavy)), np.float32), np.zeros(0, np.int64)
+
+    def until(a: int, most: int) -> int:
+        """The query up to which those from a on look at so many items."""
+        return max(a + 1, min(a + max(1, most // len(units)), int(np.searchsorted(upto, upto[a] + most, "right")) - 1))
+
     while a < len(seeds):
-        b = max(a + 1, min(a + most, int(np.searchsorted(looks, looks[a] + PAIRS, "right")) - 1))
-        m, of = b - a, slice(u_offsets[a], u_offsets[b])
-        row, u = np.repeat(np.arange(m), np.diff(u_offsets[a : b + 1]))[there[of]], pair_unit[of][there[of]]
-        span = fit[of][there[of]]
-        of = slice(q_offsets[a], q_offsets[b])
+        b = until(a, PAIRS)
+        of = slice(pair_ends[a], pair_ends[b])
+        u, span = pair_unit[of], fit[of]
         # the scores of a shard's items for those that ask about as many of them are one block
         cell = u * 64 + np.frexp(span)[1]
         order = np.argsort(cell, kind="stable")
         cuts = np.flatnonzero(np.diff(cell[order], prepend=-1, append=-1)) if len(u) else np.zeros(1, np.int64)
         wide = np.maximum.reduceat(span[order], cuts[:-1]) if len(u) else np.zeros(0, np.int64)
-        starts, stops = np.zeros((2, len(u)), np.int64)
-        stops[order] = np.cumsum(np.repeat(wide, np.diff(cuts)))
-        starts[order] = stops[order] - np.repeat(wide, np.diff(cuts))
-        scores = np.empty(int(stops.max(initial=0)), np.float32)
-        x = np.unpackbits(bits[a:b], axis=1, count=len(space.heavy)).astype(np.float32)
-        term_row = np.repeat(np.arange(m), np.diff(q_offsets[a : b + 1]))
-        room = rooms[a:b]
-        for begin, end, n_first in zip(cuts.tolist(), cuts[1:].tolist(), wide.tolist()):
-            own, low = row[order[begin:end]], int(first[u[order[begin]]])
-            at = int(starts[order[begin]])
-            block = scores[at : at + len(own) * n_first].reshape(len(own), n_first)
-            np.matmul(x[own], dense[low : low + n_first].T, out=block)
-            if size[low + n_first - 1] > room[own].min():
-                block[size[low : low + n_first] > room[own][:, None]] = -np.inf
-        # where the scores of a query for a shard's items begin, less the number of the first of them; and the number of the last
-        base, upto = np.zeros((2, m, len(units)), np.int64)
-        base[row, u], upto[row, u] = starts - first[u], first[u] + stops - starts
-        # every other word of a query in every range it asks
-        ranges = np.unique(row * (int(stretch[-1]) + 1) + stretch[u])
-        asker, ranges = ranges // (int(stretch[-1]) + 1), ranges % (int(stretch[-1]) + 1)
-        word, word_row = in_rest[of][is_rest[of]], term_row[is_rest[of]]
-        word_ends = np.searchsorted(word_row, np.arange(m + 1))
-        words = np.diff(word_ends)[asker]
-        which = np.arange(words.sum()) + np.repeat(word_ends[asker] - np.cumsum(words) + words, words)
-        key = np.repeat(ranges * len(known), words) + word[which]
-        found = np.flatnonzero(count[key])
-        asker, key = np.repeat(asker, words)[found], place[key[found]]
-        for c in range(0, len(key), HITS):
-            query, hit, w = rest.postings(asker[c : c + HITS], key[c : c + HITS])
-            at = query * len(units) + unit_of[hit]
-            kept = np.flatnonzero(hit < upto.ravel()[at])
-            np.add.at(scores, base.ravel()[at[kept]] + hit[kept], w[kept])
-        mine, asker = by_id[self_at[a:b][is_in[a:b]]], np.flatnonzero(is_in[a:b])
-        kept = mine < upto[asker, unit_of[mine]]
-        scores[base[asker[kept], unit_of[mine[kept]]] + mine[kept]] = -np.inf
-        ends = np.searchsorted(row, np.arange(m + 1)).tolist()
-        before, width = first[u], stops - starts
-        starts, stops = starts.tolist(), stops.tolist()
-        best, worth = [], []
-        for begin, end in zip(ends, ends[1:]):
-            if begin < end:
-                own = np.concatenate([scores[s:e] for s, e in zip(starts[begin:end], stops[begin:end])])
-                some = np.argpartition(own, len(own) - k)[len(own) - k :] if len(own) > k else np.arange(len(own))
-                best.append(some)
-                worth.append(own[some])
-        if best:
-            upto, counts = np.cumsum(width), [len(x) for x in best]
-            asks = np.flatnonzero(np.diff(ends))
-            at, worth = np.concatenate(best) + np.repeat((upto - width)[np.array(ends)[asks]], counts), np.concatenate(worth)
-            positive = worth > 0
-            at, worth = at[positive], worth[positive]
-            pair = np.searchsorted(upto, at, "right")
-            out.append(((before - upto + width)[pair] + at, np.repeat(a + asks, counts)[positive], worth))
-        a = b
+        width = np.repeat(wide, np.diff(cuts))
+        blocks, starts = np.empty(int(width.sum()), np.float32), np.zeros(len(u), np.int64)
+        starts[order] = np.cumsum(width) - width
+        x, askers = np.unpackbits(bits[a:b], axis=1, count=len(space.heavy)).astype(np.float32), row[of][order] - a
+        if len(line) < b - a:
+            line = np.empty_like(x)
+        lows, ats = first[u[order[cuts[:-1]]]].tolist(), starts[order[cuts[:-1]]].tolist()
+        for begin, end, n_first, low, at in zip(cuts.tolist(), cuts[1:].tolist(), wide.tolist(), lows, ats):
+            own = np.take(x, askers[begin:end], 0, line[: end - begin], "clip")
+            np.matmul(own, dense[low : low + n_first].T, out=blocks[at : at + (end - begin) * n_first].reshape(end - begin, n_first))
+        # the rest for so few queries at a time that their scores stay near
+        while a < b:
+            c = min(b, until(a, NEAR))
+            mine = slice(pair_ends[a] - of.start, pair_ends[c] - of.start)
+            u, span, asker, begins = pair_unit[of][mine], fit[of][mine], row[of][mine] - a, looks[of][mine] - upto[a]
+            # the scores of a query lie together, a shard's after the other's
+            at = np.repeat(starts[mine] - begins, span)
+            if len(counted) < len(at):
+                counted = np.arange(len(at))
+            at += counted[: len(at)]
+            scores = blocks[at]
+            # where the scores of a query for a shard's items begin, less the number of the first of them; and the number of the last
+            base, stop = np.zeros((2, (c - a) * len(units)), np.int64)
+            base[asker * len(units) + u], stop[asker * len(units) + u] = begins - first[u], first[u] + span
+            # every other word of a query in every range it asks
+            asks = np.unique(asker * ranges + stretch[u])
+            word, word_ends = in_rest[r_ends[a] : r_ends[c]], r_ends[a : c + 1] - r_ends[a]
+            words = np.diff(word_ends)[asks // ranges]
+            which = np.repeat(word_ends[asks // ranges] - np.cumsum(words) + words, words)
+            if len(counted) < len(which):
+                counted = np.arange(len(which))
+            which += counted[: len(which)]
+            key = np.repeat(asks % ranges * len(known), words)
+            key += word[which]
+            key = place[key]
+            found = np.flatnonzero(key >= 0)
+            key, query = key[found], np.repeat(asks // ranges * len(units), words)[found]
+            for h in range(0, len(key), HITS):
+                at, hit, w = rest.postings(query[h : h + HITS], key[h : h + HITS])
+                at += unit_of[hit]
+                kept = np.flatnonzero(hit < stop[at])
+                np.add.at(scores, base[at[kept]] + hit[kept], w[kept])
+            own, query = by_id[self_at[a:c][is_in[a:c]]], np.flatnonzero(is_in[a:c])
+            at = query * len(units) + unit_of[own]
+            kept = own < stop[at]
+            scores[base[at[kept]] + own[kept]] = -np.inf
+            ends = (upto[a : c + 1] - upto[a]).tolist()
+            best = [np.argpartition(scores[s:e], e - s - k)[e - s - k :] + s if e - s > k else np.arange(s, e) for s, e in zip(ends, ends[1:])]
+            at, query = np.concatenate(best), np.repeat(np.arange(a, c), [len(x) for x in best])
+            kept = scores[at] > 0
+            at, query = at[kept], query[kept]
+            pair = np.searchsorted(begins, at, "right") - 1
+            out.append(((first[u] - begins)[pair] + at, query, scores[at]))
+            a = c
     if not out:
         return _FOUND.empty_table()
     i, r, score = (np.concatenate(c) for c in zip(*out))
     if give_out:
-        order = np.argsort(-score, kind="stable")
+        order = np.sort((-score.view(np.int32).astype(np.int64) << 32) + np.arange(len(score))) & 0xFFFFFFFF  # from the best score, all above 0, down
         kept = order[_given_out(i[order], r[order], size, rooms)]
         i, r, score = i[kept], r[kept], score[kept]
     columns = [np.full(len(r), queries["limit_id"][0].as_py()), doc_id[i], size[i], seeds[r], score]
@@ -580,16 +609,17 @@ def _route(batch: pa.RecordBatch, r: dict, space: Space) -> Iterator[pa.RecordBa
         promise = affinity[rows][:, r["cluster"][units]] * r["fit"][units].astype(np.float32) + np.float32(1e-9)  # a seed without frequent words may ask any
         promise[r["low"][units][None, :] > rooms[rows][:, None]] = 0
         reach = (r["reach"][v] * np.clip(FEW_WORDS / np.maximum(1, words[rows]), 1, MOST_MORE)).astype(np.int64)
-        parts, still, few = [], np.arange(len(rows)), 64
+        # promises, which aren't negative, above the numbers of the shards, from the last down: sorted as whole numbers, alike promises in the order of the shards
+        ranked = (promise.view(np.int32).astype(np.int64) << 32) + np.arange(len(units))[::-1]
+        parts, still, few = [], np.arange(len(rows)), 32
         while len(still):
-            some, few = promise[still], min(few * 4, len(units))
-            best = np.sort(np.argpartition(-some, few - 1, axis=1)[:, :few], axis=1) if few < len(units) else np.broadcast_to(np.arange(few), some.shape)
-            best = np.take_along_axis(best, np.argsort(-np.take_along_axis(some, best, 1), axis=1, kind="stable"), 1)
+            few = min(few * 4, len(units))
+            best = np.sort(np.partition(ranked[still], len(units) - few, axis=1)[:, len(units) - few :] if few < len(units) else ranked[still], axis=1)[:, ::-1]
+            best, some = len(units) - 1 - (best & 0xFFFFFFFF), best >> 32
             n = r["n"][units][best]
             before = np.cumsum(n, axis=1) - n
-            last = best[:, -1:]
-            done = (before[:, -1] + n[:, -1] >= reach[still]) | (np.take_along_axis(some, last, 1)[:, 0] <= 0) | (few == len(units))
-            row, at = np.nonzero(done[:, None] & (before < reach[still][:, None]) & (np.take_along_axis(some, best, 1) > 0))
+            done = (before[:, -1] + n[:, -1] >= reach[still]) | (some[:, -1] == 0) | (few == len(units))
+            row, at = np.nonzero(done[:, None] & (before < reach[still][:, None]) & (some > 0))
             parts.append((still[row], units[best[row, at]], reach[still[row]] - before[row, at]))
             still = still[~done]
         row, unit, wanted = (np.concatenate(c) for c in zip(*parts))
@@ -599,7 +629,7 @@ def _route(batch: pa.RecordBatch, r: dict, space: Space) -> Iterator[pa.RecordBa
         step = np.arange(some.sum()) - np.repeat(np.cumsum(some) - some, some)
         row, unit, pieces = np.repeat(row, some), np.repeat(unit, some), np.repeat(pieces, some)
         group = r["group0"][unit] + (ids[rows[row]] + step) % pieces
-        order = np.lexsort((unit, group, row))
+        order = np.argsort((row * (int(group.max(initial=0)) + 1) + group) * (int(unit.max(initial=0)) + 1) + unit)
         row, group, unit = row[order], group[order], unit[order]
         starts = np.flatnonzero(np.r_[True, (np.diff(row) != 0) | (np.diff(group) != 0)]) if len(row) else np.zeros(0, np.int64)
         seed = pa.array(rows[row[starts]])
@@ -620,7 +650,8 @@ def nearest(items: DataFrame, queries: DataFrame, edges, space, bm25, k: int, **
 def fill(index: Postings, sizes: np.ndarray, terms: list[np.ndarray], capacity: int, opened: list[tuple[np.ndarray, int]] = ()) -> tuple[list[list[int]], list[list[int]]]:
     """What each container already open, given by its seed's terms and its room, takes, and the containers of the items left, whose seed is the largest.
 
-    A container takes the unused items that fit in the order of their scores, then the largest that fit.
+    A container takes the unused items that fit in the order of their scores, then the largest that fit. Scores of frequent terms are a
+    matrix product for AHEAD containers at a time, those of the others come from the postings.
     """
     order = np.argsort(-sizes, kind="stable")
     unused = np.ones(len(sizes), bool)
@@ -636,36 +667,61 @@ def fill(index: Postings, sizes: np.ndarray, terms: list[np.ndarray], capacity:
             near = near[sizes[near] <= room]
         return room
 
-    live, near_index = order, index.only(order)  # the unused items and few others, the largest first
-
-    def close(asked: np.ndarray, room: int, inside: list[int], most: int = capacity) -> list[int]:
-        """most: the largest room of any container that is still to be closed."""
-        nonlocal live, near_index
+    others, column, matrix = index.parted()
+    live, near_index, near = order, others.only(order), matrix[order]  # the unused items and few others, the largest first
+    low, ahead = 0, {}  # scores for containers that come next of the items live from low on
+
+    def look_ahead(coming: list[tuple[int, np.ndarray, int]]) -> None:
+        nonlocal low, ahead
+        low = int(np.searchsorted(-sizes[live], -max(room for _, _, room in coming)))
+        x, places = np.zeros((len(coming), matrix.shape[1]), np.float32), []
+        for line, (_, asked, _) in zip(x, coming):
+            at, known = _matched(index.known, asked)
+            at = at[known]
+            line[column[at[column[at] >= 0]]] = 1
+            places.append(at[column[at] < 0])
+        ahead = {who: both for (who, _, _), *both in zip(coming, x @ near[low:].T, places)}
+
+    def close(who: int, room: int, inside: list[int], coming, most: int = capacity) -> list[int]:
+        """coming: this and the next containers, as (who, terms, room). most: the largest room of any container that is still to be closed."""
+        nonlocal live, near_index, near, ahead
         chosen = np.flatnonzero(unused[live])
         chosen = chosen[np.searchsorted(-sizes[live[chosen]], -most) :]
         if len(chosen) < len(live) // 2:
-            live, near_index = live[chosen], near_index.only(chosen)
+            live, near_index, near, ahead = live[chosen], near_index.only(chosen), near[chosen], {}
             chosen = np.arange(len(live))
         fits = chosen[np.searchsorted(-sizes[live[chosen]], -room) :]
         if fits.size:
-            scores, fits = near_index.scores(asked)[fits].astype(np.float32), live[fits]  # sums in another order are equal
-            near, scores = fits[scores > 0], scores[scores > 0]
-            while near.size:
+            if who not in ahead:
+                look_ahead(coming())
+            frequent, places = ahead.pop(who)
+            _, item, weight = near_index.postings(places, places)
+            scores = frequent[fits - low]
+            if len(item):
+                scores += np.bincount(item, weight, near_index.n)[fits].astype(np.float32)
+            fits = live[fits]
+            some, scores = fits[scores > 0], scores[scores > 0]
+            while some.size:
                 best = scores >= (np.partition(scores, len(scores) - FIRST)[len(scores) - FIRST] if len(scores) > 2 * FIRST else 0)
-                room = take(near[best][np.lexsort((near[best], -scores[best]))], room, inside)
-                still = ~best & (sizes[near] <= room)
-                near, scores = near[still], scores[still]
+                room = take(some[best][np.lexsort((some[best], -scores[best]))], room, inside)
+                still = ~best & (sizes[some] <= room)
+                some, scores = some[still], scores[still]
             take(fits[unused[fits] & (sizes[fits] <= room)], room, inside)
         return inside
 
     most = np.maximum.accumulate([room for _, room in opened][::-1])[::-1].tolist()
-    before = [close(asked, room, [], later) for (asked, room), later in zip(opened, most)]
-    live, near_index = order, index.only(order)
+    before = [close(k, opened[k][1], [], lambda k=k: [(i, *opened[i]) for i in range(k, min(k + AHEAD, len(opened)))], later) for k, later in enumerate(most)]
+    live, near_index, near, ahead = order, others.only(order), matrix[order], {}
     new = []
-    for seed in order.tolist():
+
+    def next_seeds(k: int) -> list[tuple[int, np.ndarray, int]]:
+        later = order[k + 1 : k + AHEAD]
+        return [(i, terms[i], capacity - int(sizes[i])) for i in [int(order[k]), *later[unused[later]].tolist()]]
+
+    for k, seed in enumerate(order.tolist()):
         if unused[seed]:
             unused[seed] = False
-            new.append(close(terms[seed], capacity - int(sizes[seed]), [seed]))
+            new.append(close(seed, capacity - int(sizes[seed]), [seed], lambda k=k: next_seeds(k)))
     return before, new
 
 

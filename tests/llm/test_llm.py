@@ -186,6 +186,53 @@ def test_pack_holds_every_text_whole(spark):
         assert len(by_container) <= total / capacity * 1.1 + 10
 
 
+def test_filling_walks_no_postings_of_frequent_terms(monkeypatch):
+    """Their scores are a matrix product for many containers; only the other terms' postings are looked at for each container."""
+    walked, postings_of = [], Postings.postings
+    monkeypatch.setattr(Postings, "postings", lambda self, query, at: walked.append(self.count[at].sum()) or postings_of(self, query, at))
+    rng = np.random.default_rng(6)
+    items = [np.append(rng.choice(30, 15, replace=False), 1000 + i // 2) for i in range(400)]  # half of 30 terms, and one that two items have
+    new = fill(postings(items)[0], np.full(400, 20), [np.unique(x) for x in items], 100)[1]
+    assert sorted(i for c in new for i in c) == list(range(400)) and {len(c) for c in new} == {5}
+    assert sum(walked) <= 2 * len(new)
+
+
+@pytest.mark.parametrize("near", [1, 90, 700])
+def test_scores_finished_for_few_queries_at_a_time_are_the_same(monkeypatch, near):
+    rng = np.random.default_rng(8)
+    rows = [np.unique(rng.integers(0, 60, rng.integers(1, 30)), return_counts=True) for _ in range(300)]
+    _, bm25 = postings([np.repeat(*x) for x in rows])
+    space = packing.Space(np.arange(0, 60, 3, dtype=np.int32), np.ones(20, np.float32), 1.0, np.zeros((1, 20), np.float32))
+    row, (terms, tfs) = np.repeat(np.arange(300), [len(t) for t, _ in rows]), (np.concatenate(c) for c in zip(*rows))
+    words = dict(zip(packing.WORDS, packing._compacted(row, terms.astype(np.int32), tfs, 300, space)))
+    items = packing.pa.table({"doc_id": np.arange(300), "n_tokens": rng.integers(1, 100, 300), "unit": packing.pa.array(rng.integers(0, 12, 300), packing.pa.int32()), **words})
+    bits = [np.packbits(np.isin(space.heavy, rows[q][0])).tobytes() for q in range(40)]
+    units = [np.sort(rng.choice(14, rng.integers(0, 6), replace=False)).astype(np.int32).tobytes() for _ in range(40)]  # none, or some that the group hasn't
+    queries = packing.pa.table({"limit_id": np.ones(40, np.int32), "doc_id": np.arange(40), "room": rng.integers(0, 120, 40), "bits": bits, "rest": words["rest"].slice(0, 40), "units": units})
+    for give_out in (False, True):
+        want = packing.search_group(queries, items, space, bm25, 5, give_out)
+        with monkeypatch.context() as m:
+            m.setattr(packing, "NEAR", near)
+            got = packing.search_group(queries, items, space, bm25, 5, give_out)
+        assert want.num_rows and got.equals(want)
+
+
+def test_shards_of_equal_promise_are_asked_in_their_order():
+    """Seeds without frequent words may ask any shard, here 500 of ten items each, and ask the first."""
+    space = packing.Space(np.arange(4, dtype=np.int32), np.ones(4, np.float32), 1.0, np.eye(4, dtype=np.float32))
+    zeros = np.zeros(500, np.int64)
+    routes = {"limit": zeros + 1, "cluster": zeros, "n": zeros + 10, "fit": np.ones(500), "low": zeros, "pieces": zeros + 1, "group0": zeros, "reach": {1: 95}}
+    words = {"heavy": [b""] * 3, "rest": [np.arange(200, dtype=np.int32).tobytes()] * 3}
+    batch = packing.pa.table({"limit_id": np.ones(3, np.int32), "doc_id": np.arange(3), "room": np.full(3, 50), **words}).to_batches()[0]
+    got = [r for b in packing._route(batch, routes, space) for r in b.to_pylist()]
+    assert [np.frombuffer(r["units"], np.int32).tolist() for r in got] == [list(range(10))] * 3
+
+
+@given(st.text(st.sampled_from("aAÀßẞİKſς_ -.\n\t٣デ漢👩\u200d\x1c\u3000\u0345"), max_size=30))
+def test_words_are_counted_as_they_are_found(t):
+    assert packing._counted(t) == Counter(words_of(t))
+
+
 @pytest.mark.parametrize("settings", [{}, {"group": 700}])
 def test_the_index_finds_nine_of_ten_neighbours(spark, settings):
     """Against brute force over all items, whole and with shards that are cut."""
